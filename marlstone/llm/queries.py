@@ -28,10 +28,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    scored = score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({k: F.round(k, 6) for k in ("base_score", "score")})
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs), keep={"doc_id": docs["doc_id"], "held_out": held_out(docs["doc_id"], 3)})
+    return found.withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_lm_score": op9_lm_score,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
