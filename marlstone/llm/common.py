@@ -76,3 +76,33 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a number ``row`` each, the same in every scan. Plans that shuffle are written first, since their rows may come in another order the next time."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = materialize(df, name)
+    return df.withColumn("row", F.monotonically_increasing_id())
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """Connected components of (a, b): node, label (the least node of the component).
+
+    Each round hooks every label to its least neighbour, follows that twice, and contracts the edges; rounds are
+    logarithmic in the longest path. Edges stay distributed; each round's tables are written.
+    """
+    pair = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialize(pair(edges), f"{name}-edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    labels = materialize(nodes.withColumn("label", F.col("node")), f"{name}-labels")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hook = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), f"{name}-hooks")
+        for _ in range(2):
+            above = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            hook = hook.join(above, "up").select("a", F.col("top").alias("up"))
+        hook = materialize(hook, f"{name}-tops")
+        labels = materialize(labels.join(hook.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{name}-labels")
+        moved = edges.join(hook, "a").select(F.col("up").alias("a"), "b").join(hook.select(F.col("a").alias("b"), F.col("up").alias("to")), "b").select("a", F.col("to").alias("b"))
+        edges = materialize(pair(moved), f"{name}-edges")
+    return labels

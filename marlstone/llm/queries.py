@@ -28,6 +28,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", "n_links", "n_classes")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
 }
