@@ -16,6 +16,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0]
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -51,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_warc_zip": op3_warc_zip,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_jaccard_join": op8_jaccard_join,
@@ -60,6 +67,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op3_warc_zip"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, (unhex(hex)::BIT)::VARCHAR AS bits FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN bits[5 * k + j + 1] = '1' THEN 1 << (4 - j)::INTEGER ELSE 0 END)))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
 ORACLE_SQL["op5_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
