@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +109,31 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         moved = edges.join(hook, "a").select(F.col("up").alias("a"), "b").join(hook.select(F.col("a").alias("b"), F.col("up").alias("to")), "b").select("a", F.col("to").alias("b"))
         edges = materialize(pair(moved), f"{name}-edges")
     return labels
+
+
+def _filter_bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = keys.view(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) % np.uint64(bits)
+
+
+def filter_of(keys: DataFrame, most_bits: int) -> bytes:
+    """One-probe Bloom filter of a column of longs, of ``most_bits`` bits at most. It only spares work: what it lets through is joined exactly."""
+    bits = 1 << max(10, min(most_bits.bit_length() - 1, (keys.count() * 16).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            b = _filter_bit(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(out, (b >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (b & np.uint64(7))).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+
+    parts = keys.coalesce(8).mapInArrow(fill, "bits binary").collect()  # 8 filters
+    return np.bitwise_or.reduce([np.frombuffer(bytes(p["bits"]), np.uint8) for p in parts] or [np.zeros(bits // 8, np.uint8)]).tobytes()
+
+
+def filter_has(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a filter."""
+    table = np.frombuffer(bits, np.uint8)
+    b = _filter_bit(keys, len(bits) * 8)
+    return (table[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1

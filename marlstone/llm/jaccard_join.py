@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, materialize, numbered, partitions, reclaim, utf8
+from .common import ascii_words, components, filter_has, filter_of, materialize, numbered, partitions, reclaim, utf8
 
 SIGNATURE = 64
 LIMIT = 1024
@@ -198,21 +198,12 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, threshold: float) -
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "links", "classes", "root"])
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    out = np.zeros(bits // 8, np.uint8)
-    for batch in batches:
-        h = _mix(batch.column(0).to_numpy().view(np.uint64)) % _U(bits)
-        np.bitwise_or.at(out, (h >> _U(3)).astype(np.int64), (_U(1) << (h & _U(7))).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch], sent, n: int) -> Iterator[pa.RecordBatch]:
     """Shingles of the texts that the filter lets through."""
-    bits, hashes = np.frombuffer(sent.value, np.uint8), _Hashes()
+    hashes = _Hashes()
     for batch in batches:
         row = batch.column("row").to_numpy()
-        h = _mix(row.view(np.uint64)) % _U(len(bits) * 8)
-        some = np.flatnonzero((bits[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8)) & 1)
+        some = np.flatnonzero(filter_has(sent.value, row))
         text = batch.column("text")
         sets = [shingles(text[i].as_py(), n, hashes).tobytes() for i in some.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(sets, pa.binary())], ["rep", "set"])
@@ -252,10 +243,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = groups.join(sizes, "label").select(F.col("node").alias("rep"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     placed = materialize(placed, "join-placed")
-    n = placed.count()
-    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (n * 16).bit_length()))
-    parts = placed.select("rep").coalesce(8).mapInArrow(lambda it: _filter_bits(it, bits), "bits binary").collect()  # 8 filters of FILTER_BITS at most
-    sent = spark.sparkContext.broadcast(np.bitwise_or.reduce([np.frombuffer(bytes(p["bits"]), np.uint8) for p in parts] or [np.zeros(bits // 8, np.uint8)]).tobytes())
+    sent = spark.sparkContext.broadcast(filter_of(placed.select("rep"), FILTER_BITS))
     sets = rows.select("row", "text").mapInArrow(lambda it: _sets(it, sent, words), "rep long, set binary")
     members = placed.join(classes.select("rep", "n"), "rep").join(sketches.select(F.col("row").alias("rep"), "sig"), "rep").join(sets, "rep")
     members = materialize(members, "join-members")
