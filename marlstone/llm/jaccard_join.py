@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, components, filter_has, filter_of, materialize, numbered, partitions, reclaim, utf8
 
 SIGNATURE = 64
-LIMIT = 1024
+LIMIT = 4096
 LEVELS = 5
 BLOCK = 512
 BATCH_WORDS = 1 << 20
@@ -106,16 +106,17 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
-def _roots(alike: np.ndarray) -> np.ndarray:
-    """The least index that each is connected to, by breadth-first search over a symmetric matrix."""
-    root = np.full(len(alike), -1)
-    for i in range(len(alike)):
-        if root[i] < 0:
-            root[i] = i
-            front = np.array([i])
-            while len(front):
-                front = np.flatnonzero(alike[front].any(0) & (root < 0))
-                root[front] = i
+def _roots(sig: np.ndarray, least: float) -> np.ndarray:
+    """The least index that each signature is connected to by pairs that are alike, breadth first."""
+    root = np.full(len(sig), -1)
+    left = np.arange(len(sig))
+    while len(left):
+        top, front, left = left[0], left[:1], left[1:]
+        root[top] = top
+        while len(front) and len(left):
+            met = _alike(sig[left], sig[front], least).any(1)
+            front, left = left[met], left[~met]
+            root[front] = top
     return root
 
 
@@ -138,7 +139,7 @@ def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
     a, b = [], []
     for rows in _groups(batches, ("key", "rep", "sig")):
         sig = _signatures([r[2] for r in rows])
-        root = _roots(_alike(sig, sig, least))
+        root = _roots(sig, least)
         for i in np.flatnonzero(root != np.arange(len(rows))).tolist():
             a.append(rows[i][1])
             b.append(rows[root[i]][1])
