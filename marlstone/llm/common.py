@@ -40,18 +40,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the scratch tables of earlier operators, except those that ``keep`` still reads."""
+def scratch_paths() -> list[str]:
+    """Scratch paths that aren't deleted yet, in the order they were made."""
+    return list(_SCRATCH)
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> list[str]:
+    """Delete scratch tables, except those that ``keep`` still reads; returns the ones left."""
     used = list(keep._jdf.inputFiles()) if keep is not None else []
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_SCRATCH):
+    left = []
+    for path in paths:
         tail = path.rsplit("/", 1)[1]
-        if not any(tail in f for f in used):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-            _SCRATCH.remove(path)
+        if any(tail in f for f in used):
+            left.append(path)
+            continue
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _SCRATCH.remove(path)
     reclaim(spark)
+    return left
 
 
 def reclaim(spark: SparkSession) -> None:

@@ -18,12 +18,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, materialize, utf8
+from .common import ascii_words, materialize, numbered, utf8
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -48,11 +47,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def _shards(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     ids: list = []
+    rows: list[int] = []
     lengths: list[int] = []
     parts: list[np.ndarray] = []
     held = 0
     get = terms.get
-    shard = TaskContext.get().partitionId() << 24
 
     def flush() -> pa.RecordBatch:
         starts = np.cumsum([0, *(n + 1 for n in lengths)])[:-1]
@@ -63,19 +62,19 @@ def _shards(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], id_type:
         at = at[np.argsort(flat[at], kind="stable")]
         found, counts = np.unique(flat[at], return_counts=True)
         cell = lambda x, t: pa.array([x], pa.list_(t))
-        return pa.RecordBatch.from_arrays([pa.array([shard]), cell(ids, id_type), cell(lengths, pa.int32()), cell(found, pa.int32()), cell(counts, pa.int32()), cell(at, pa.int32())], ["shard", "ids", "lengths", "terms", "counts", "positions"])
+        return pa.RecordBatch.from_arrays([cell(rows, pa.int64()), cell(ids, id_type), cell(lengths, pa.int32()), cell(found, pa.int32()), cell(counts, pa.int32()), cell(at, pa.int32())], ["rows", "ids", "lengths", "terms", "counts", "positions"])
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for row, i, t in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
             words = ascii_words(t.as_py())
+            rows.append(row)
             ids.append(i)
             lengths.append(len(words))
             parts.append(np.array([get(w, -1) for w in words], np.int32))
             held += len(words)
             if held >= SHARD_BYTES // 8 or len(ids) >= SHARD_DOCS:
                 yield flush()
-                shard += 1
-                ids, lengths, parts, held = [], [], [], 0
+                rows, ids, lengths, parts, held = [], [], [], [], 0
     if ids:
         yield flush()
 
@@ -96,7 +95,7 @@ def intersect(postings: dict[int, np.ndarray], plan: list[tuple[int, int]], slop
 def _search(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, int, list[tuple[int, int]]]], names: list[str], id_type: pa.DataType, slop: int) -> Iterator[pa.RecordBatch]:
     """Per document: words, words hit, ids of the matching items, and the hit runs as (start, end) pairs."""
     for batch in batches:
-        for shard, ids, lengths, found, counts, at in zip(*(batch.column(n) for n in ("shard", "ids", "lengths", "terms", "counts", "positions")), strict=True):
+        for rows, ids, lengths, found, counts, at in zip(*(batch.column(n) for n in ("rows", "ids", "lengths", "terms", "counts", "positions")), strict=True):
             ids, lengths = ids.as_py(), lengths.values.to_numpy()
             at, ends = at.values.to_numpy(), np.cumsum(counts.values.to_numpy())
             postings = dict(zip(found.values.to_numpy().tolist(), np.split(at, ends[:-1]), strict=True)) if len(ends) else {}
@@ -121,16 +120,16 @@ def _search(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, int, lis
                 own = np.concatenate(([0], hit[starts[k] : starts[k] + lengths[k]].astype(np.int8), [0]))
                 runs[k] = np.flatnonzero(np.diff(own)).tolist()
             names_of = [sorted({names[i] for i in items.get(k, ())}) for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array([shard.as_py() * SHARD_DOCS + k for k in range(len(ids))], pa.int64()), pa.array(ids, id_type), pa.array(lengths, pa.int64()), pa.array(names_of, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32()))], ["row", "id", "n_words", "items", "runs"])
+            yield pa.RecordBatch.from_arrays([rows.values, pa.array(ids, id_type), pa.array(lengths, pa.int64()), pa.array(names_of, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32()))], ["row", "id", "n_words", "items", "runs"])
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: id, n_words, items (sorted ids of the items with a match), runs (bounds of the word runs that are hit)."""
+    """Per document: row (its number), id, n_words, items (sorted ids of the items with a match), runs (bounds of the word runs that are hit)."""
     id_field = docs.schema[id_col].dataType
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
-    rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"))
+    rows = numbered(docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text")), "decontaminate-docs")
     ints = T.ArrayType(T.IntegerType())
-    index_type = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(id_field)), *(T.StructField(n, ints) for n in ("lengths", "terms", "counts", "positions"))])
+    index_type = T.StructType([T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(id_field)), *(T.StructField(n, ints) for n in ("lengths", "terms", "counts", "positions"))])
     out_type = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_field), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", ints)])
     vocabulary = {w for block in item_blocks(items, item_id_col, item_text_col, block_bytes) for texts in block.values() for words in texts for w in words}
     terms = {w: k for k, w in enumerate(sorted(vocabulary))}
@@ -148,18 +147,18 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                         windows[k, tuple(plan)] = (k, size, sorted(plan, key=lambda x: (seen[x[0]], x[1])))
         parts.append(index.mapInArrow(lambda it, windows=list(windows.values()), names=names: _search(it, windows, names, id_type, slop), out_type))
     if len(parts) == 1:
-        return parts[0].drop("row")
+        return parts[0]
     words_hit = F.flatten(F.collect_list(F.transform(F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: (i % 2 == 0) & (F.size("runs") > 0)), lambda i: F.sequence(F.get("runs", i), F.get("runs", i + 1) - 1))))
     merged = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(words_hit)).alias("hit"))
-    return merged.select("id", "n_words", "items", F.flatten(F.transform("hit", lambda p: F.array(p, p + 1))).alias("runs"))
+    return merged.select("row", "id", "n_words", "items", F.flatten(F.transform("hit", lambda p: F.array(p, p + 1))).alias("runs"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: row (its number), id, n_words, n_hit, n_items, items_sha256, contaminated."""
     id_col = options.get("id_col", "doc_id")
     found = phrase_matches(docs, items, **options)
     odd = F.filter("runs", lambda x, i: i % 2 == 1)
     even = F.filter("runs", lambda x, i: i % 2 == 0)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     hit = total(odd) - total(even)
-    return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return found.select("row", F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

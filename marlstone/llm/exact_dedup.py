@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, reclaim, utf8
+from .common import materialize, numbered, partitions, reclaim, utf8
 
 WINDOW_BYTES = 16 << 20
 WINDOW_ROWS = 50_000
@@ -88,6 +88,7 @@ def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
     base = TaskContext.get().partitionId() << 36
     serial = 0
     ids: list = []
+    rows_at: list[int] = []
     entry: list[int] = []
     chains: dict[bytes, list] = {}  # dict compares the bytes of texts whose hashes collide
     held = 0
@@ -106,12 +107,12 @@ def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
                 head[i], text[i], size[i], top[i] = True, t, c[2], ids[c[1]]
         key = [int.from_bytes(s[:8], "big", signed=True) for s in sha]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, id_type), pa.array(entry, pa.int64()), pa.array(best), pa.array(sha, pa.binary()), pa.array(key, pa.int64()), pa.array(head), pa.array(size, pa.int64()), pa.array(top, id_type), pa.array(text, pa.binary())],
-            ["id", "entry", "best", "sha", "key", "head", "size", "top", "text"],
+            [pa.array(rows_at, pa.int64()), pa.array(ids, id_type), pa.array(entry, pa.int64()), pa.array(best), pa.array(sha, pa.binary()), pa.array(key, pa.int64()), pa.array(head), pa.array(size, pa.int64()), pa.array(top, id_type), pa.array(text, pa.binary())],
+            ["row", "id", "entry", "best", "sha", "key", "head", "size", "top", "text"],
         )
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for row, i, t in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
             t = t.as_py()
             c = chains.get(t)
             if c is None:
@@ -121,11 +122,12 @@ def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
             elif i is not None and (ids[c[1]] is None or i > ids[c[1]]):
                 c[1] = len(ids)
             c[2] += 1
+            rows_at.append(row)
             ids.append(i)
             entry.append(c[0])
             if held >= WINDOW_BYTES or len(ids) >= WINDOW_ROWS:
                 yield flush()
-                ids, entry, chains, held = [], [], {}, 0
+                rows_at, ids, entry, chains, held = [], [], [], {}, 0
     if ids:
         yield flush()
 
@@ -169,15 +171,15 @@ def _own(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256. ``capacity``: entries of a bucket."""
+    """One row per document: row (its number), id, keep_id, group_size, kept, text_sha256. ``capacity``: entries of a bucket."""
     spark = docs.sparkSession
     id_field = docs.schema[id_col].dataType
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
     local = T.StructType(
-        [T.StructField("id", id_field), T.StructField("entry", T.LongType()), T.StructField("best", T.BooleanType()), T.StructField("sha", T.BinaryType()), T.StructField("key", T.LongType())]
+        [T.StructField("row", T.LongType()), T.StructField("id", id_field), T.StructField("entry", T.LongType()), T.StructField("best", T.BooleanType()), T.StructField("sha", T.BinaryType()), T.StructField("key", T.LongType())]
         + [T.StructField("head", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("top", id_field), T.StructField("text", T.BinaryType())]
     )
-    rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"))
+    rows = numbered(docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text")), "dedup-docs")
     entries = materialize(rows.mapInArrow(lambda it: _local_chains(it, id_type), local), "dedup-entries")
     heads = entries.where("head")
 
@@ -201,4 +203,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reclaim(spark)
 
     kept = (F.col("keep_entry") == F.col("entry")) & F.col("best")
-    return entries.select("id", "entry", "best", "sha").join(found, "entry").select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return entries.select("row", "id", "entry", "best", "sha").join(found, "entry").select("row", F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -131,12 +131,12 @@ def posterior(texts: list[str], matrix: np.ndarray) -> np.ndarray:
 def _predict(batches: Iterator[pa.RecordBatch], model, extra: int) -> Iterator[pa.RecordBatch]:
     langs, matrix = model.value
     for batch in batches:
-        n, clear = batch.num_rows, batch.column("letters").to_pylist()
+        n, clear = batch.num_rows, batch.column(extra + 1).to_pylist()
         lang, score = [UNKNOWN] * n, [0.0] * n
         todo = [i for i in range(n) if clear[i]] if langs else []
         for k in range(0, len(todo), 512):
             part = todo[k : k + 512]
-            p = posterior([batch.column("text")[i].as_py() for i in part], matrix)
+            p = posterior([batch.column(extra)[i].as_py() for i in part], matrix)
             p -= p.max(1, keepdims=True)
             best = p.argmax(1)
             sure = 1 / np.exp(p).sum(1)
@@ -148,7 +148,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, extra: int) -> Iterator[p
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns ``keep`` (by name) of each row, lang_pred and score."""
     text, extra = docs[text_col].cast("string"), len(keep or {})
-    kept = docs.select(*(c.alias(k) for k, c in (keep or {}).items()), text.alias("text"), letters(text).alias("letters"))
+    kept = docs.select(*(c.alias(k) for k, c in (keep or {}).items()), text.alias("text of the row"), letters(text).alias("has letters"))
     schema = T.StructType([*kept.schema.fields[:extra], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return kept.mapInArrow(lambda it: _predict(it, sent, extra), schema)
