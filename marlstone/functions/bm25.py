@@ -83,16 +83,12 @@ def statistics(df: DataFrame, terms: list[str], name: str) -> tuple[int, float,
     return row["n"], max(1.0, row["length"] or 1.0), [row[f"d{k}"] for k in range(len(terms))]
 
 
-def _is(term: str):
-    return lambda word: word == F.lit(term)
-
-
 def score(terms: list[str], stats: tuple[int, float, list[int]], name: str) -> Column:
     """Sum over the query's terms; 0 without terms."""
     n, mean, found = stats
     out = F.lit(0.0)
     for t, d in zip(terms, found, strict=True):
         if d:
-            tf = F.size(F.filter(name, _is(t))).cast("double")
+            tf = (F.size(name) - F.size(F.array_remove(name, t))).cast("double")
             out = out + F.lit(math.log((n - d + 0.5) / (d + 0.5) + 1)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(name) / mean))
     return out

@@ -63,7 +63,7 @@ def number_text(column: Column, integral: bool) -> Column:
 
 def tokens(column: Column) -> Column:
     """Runs of ASCII letters and digits, lower-cased."""
-    return F.filter(F.split(fold(column), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(column), "[^a-z0-9]+"), "")
 
 
 def tokenize(text: str) -> list[str]:
