@@ -17,10 +17,14 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .license_tables import GRANT, LATER, NAMES, NEUTRAL, RULES, SENTENCES, TAIL, TITLE
-
-#: A text without any of these words has no known sentence.
-_TRIGGER = re.compile(r"licen[cs]|copyright|permission|warrant|redistribut|spdx|public domain|rights reserved|free software|free and unencumbered|free to copy|liable|gnu |apache|mozilla public|\bmpl\b|\bmit\b|\bisc\b|creative commons|\bcc[ -]", re.I)
+from .license_tables import GRANT, LATER, NAMES, NEUTRAL, RULES, SENTENCES
+
+#: A text without any of these, in lower case, has no known sentence.
+_TRIGGERS = (
+    *"licen copyright permission warrant redistribut spdx unencumbered liable apache".split(),
+    *("public domain", "rights reserved", "free software", "free to copy", "gnu ", "mozilla public", "creative commons"),
+    *(f"under {the}{name}" for the in ("", "the ") for name in "mit isc bsd cc gpl lgpl agpl mpl epl zlib boost expat wtfpl asl eclipse simplified".split()),
+)
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n|:\s*\n")
 _NUMBER = re.compile(r"\W*\w{0,3}\W*")
 _TAG = re.compile(r"spdx-license-identifier:\s*([\w.+()-]+(?: (?:or|and|with) [\w.+()-]+)*)", re.I)
@@ -28,6 +32,11 @@ _NOISE = re.compile(r"[^a-z0-9]+")
 _MARKS = re.compile(r"^[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--)[ \t]*", re.M)
 
 
+def _may(text: str) -> bool:
+    low = text.lower()
+    return any(t in low for t in _TRIGGERS)
+
+
 def normalise(sentence: str) -> str:
     return _NOISE.sub(" ", sentence.translate(_LOWER)).replace("licence", "license").strip()
 
@@ -37,32 +46,37 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 @cache
 def _patterns() -> tuple[re.Pattern, list[tuple[re.Pattern, str]], re.Pattern]:
-    """Grants (one named group for each licence), sentences with gaps, copyright lines."""
-    names = "|".join(f"(?P<n{k}>{re.sub(r'[?]P<[a-f]>', '?:', p)})" for k, p in enumerate(NAMES.values()))
-    grant = re.compile(rf"(?:.*\b)?(?:{GRANT})(?:{TITLE})(?:{names}){TAIL}|{TITLE}(?:{names.replace('?P<n', '?P<t')}) license")
-    gaps = [(re.compile(re.escape(s).replace(r"\*", r"(?:\S+ ?){0,12}").replace(r"\ ", " *")), k) for k, s in SENTENCES.items() if "*" in s]
-    return grant, gaps, re.compile(r"(?:(?:copyright|c) )+(?:c )?\d{4}.*|copyright .{0,80}|portions copyright .*")
+    """Names of licences (a group for each), sentences with gaps (over words, each before a blank), copyright lines."""
+    names = re.compile("|".join(rf"(?P<n{k}>\b(?:{re.sub('[?]P<[a-f]>', '?:', p)})\b)" for k, p in enumerate(NAMES.values())))
+    gap = lambda s: "".join(r"(?:\S+ ){0,12}?" if w == "*" else re.escape(w) + " " for w in s.split())
+    return names, [(re.compile(gap(s)), k) for k, s in SENTENCES.items() if "*" in s], re.compile(r"(?:copyright|c) (?:copyright |c )*\d{4}.*|copyright .{0,80}|portions copyright .*")
+
+
+_GRANT_END = re.compile(GRANT + r"\Z")
+
+
+def _grant(sentence: str) -> str | None:
+    """The licence by whose name a sentence grants, or whose title it is."""
+    if " not " in sentence:
+        return None
+    for m in _patterns()[0].finditer(sentence):
+        title = m.start() == (4 if sentence.startswith("the ") else 0) and sentence[m.end() :] in ("", " license") and "license" in sentence
+        if title or _GRANT_END.search(sentence, max(0, m.start() - 120), m.start()):
+            name, pattern = list(NAMES.items())[int(m.lastgroup[1:])]
+            version = re.fullmatch(pattern, m[0])
+            number = next((v for v in version.groupdict().values() if v), "") if version else ""
+            later = re.match(LATER, sentence[m.end() :])
+            return f"grant:{name}" + (f"-{number.replace(' ', '.')}" if number else "") + ("-or-later" if later else "")
+    return None
 
 
 def identify(sentence: str) -> str | None:
-    """Identifier of a normalised sentence."""
-    known = _exact().get(sentence)
+    """Identifier of a normalised sentence; takes time in proportion to its length."""
+    known = _exact().get(sentence) or _grant(sentence)
     if known:
         return known
-    grant, gaps, owner = _patterns()
-    m = grant.fullmatch(sentence)
-    if m:
-        k = int(next(g for g, v in m.groupdict().items() if v is not None)[1:])
-        name, pattern = list(NAMES.items())[k]
-        text = m[f"n{k}"] or m[f"t{k}"]
-        version = re.fullmatch(pattern, text)
-        number = next((v for v in version.groupdict().values() if v), "") if version else ""
-        name += f"-{number.replace(' ', '.')}" if number else ""
-        return f"grant:{name}" + ("-or-later" if re.search(LATER, sentence) else "")
-    for p, k in gaps:
-        if p.fullmatch(sentence):
-            return k
-    return "copyright" if owner.fullmatch(sentence) else None
+    _, gaps, owner = _patterns()
+    return next((k for p, k in gaps if p.fullmatch(sentence + " ")), "copyright" if owner.fullmatch(sentence) else None)
 
 
 @cache
@@ -74,7 +88,7 @@ def sequence(text: str) -> list[str | None]:
     """Identifiers of the sentences, None for unknown ones; an SPDX tag gives ``spdx:`` and its expression."""
     out: list[str | None] = []
     for part in _SENTENCE.split(_MARKS.sub("", text)):
-        if not _TRIGGER.search(part):
+        if not _may(part):
             if not _NUMBER.fullmatch(part):  # numbers of list items are no sentences
                 out.append(None)
             continue
@@ -131,7 +145,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ids, names = [], [], []
         for t in batch.column("text"):
             text = t.as_py()
-            found = sequence(text) if text and _TRIGGER.search(text) else []
+            found = sequence(text) if text and _may(text) else []
             known = [x for x in found if x]
             n.append(len(known))
             ids.append(",".join(known))

@@ -29,11 +29,9 @@ NAMES: dict[str, str] = {
     "WTFPL": r"(?:do what the fuck you want to public license|wtfpl)(?: v(?:ersion)? ?)?(?: ?2)?",
 }
 
-#: What may stand before and after the name in a sentence that grants a licence.
-GRANT = r"(?:(?:this|the|these|all|our|it|its|and) ?(?:[a-z0-9]+ ){0,4}?)?(?:(?:is|are|be|may be|was|were) )?(?:dual )?(?:licensed|released|distributed|available|made available|provided|published|offered|shared|covered|redistributed|used)(?: to you)? (?:under|by|with)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?(?: either)? "
-TAIL = r"(?: license)?(?: the license)?(?: or (?:at your option )?(?:any )?later(?: version)?)?(?: see (?:the )?[a-z0-9 ]{1,60})?"
-LATER = r" or (?:at your option )?(?:any )?later"
-TITLE = r"(?:the )?"
+#: What stands before the name in a sentence that grants a licence, and after it.
+GRANT = r"\b(?:licensed|released|distributed|available|provided|published|offered|shared|covered|redistributed|used)(?: to you)? (?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:either )?"
+LATER = r"(?: license)?(?: as published by the free software foundation)? or (?:at your option )?(?:any )?later"
 
 #: Sentences with a fixed wording: identifier and normalised sentence, ``*`` for up to twelve words.
 SENTENCES: dict[str, str] = {
