@@ -41,34 +41,41 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
     return run_stage
 
 
-def _without(docs: DataFrame, numbered: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """The documents but those whose row number is in ``gone``; written first, so that Spark knows its size and plans by it."""
-    return numbered.join(common.materialize(gone.select("row"), name), "row", "left_anti").select(*docs.columns)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _without(docs: DataFrame, name: str, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents but those whose row numbers (``row``) the operator gives back. They are written first, so that Spark knows their size and plans by it."""
+    number = "row number"
+    while number in docs.columns:
+        number += "_"
+    rows = common.numbered(docs, name, number)
+    dropped = common.materialize(gone(docs.select("doc_id", "text")).select(F.col("row").alias(number)), f"{name}-dropped")
+    return rows.join(dropped, number, "left_anti").select(*map(_quoted, docs.columns))
 
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, fit(docs), keep={c: docs[c] for c in docs.columns})
+    found = identify(docs, fit(docs), keep={f"own {k}": docs[_quoted(c)] for k, c in enumerate(docs.columns)})
     sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).select(*docs.columns)
+    return found.where(sure).select(*(F.col(f"`own {k}`").alias(c) for k, c in enumerate(docs.columns)))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = common.numbered(docs, "pipeline-exact")
-    return _without(docs, rows, exact_dedup(rows.select("doc_id", "text")).where("NOT kept"), "pipeline-copies")
+    return _without(docs, "pipeline-exact", lambda d: exact_dedup(d).where("NOT kept"))
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = common.numbered(docs, "pipeline-near")
-    return _without(docs, rows, similarity_join(rows.select("doc_id", "text")).where("NOT first"), "pipeline-near-copies")
+    return _without(docs, "pipeline-near", lambda d: similarity_join(d).where("NOT first"))
 
 
 @_stage
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = common.numbered(docs, "pipeline-leaks")
-    return _without(docs, rows, decontaminate(rows.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark")).where("contaminated"), "pipeline-leaking")
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    return _without(docs, "pipeline-leaks", lambda d: decontaminate(d, benchmark).where("contaminated"))
 
 
 @_stage

@@ -90,11 +90,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """The rows with a number ``row`` each, the same in every scan. Plans that shuffle are written first, since their rows may come in another order the next time."""
+def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
+    """The rows with a number each, the same in every scan. Plans that shuffle are written first, since their rows may come in another order the next time."""
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = materialize(df, name)
-    return df.withColumn("row", F.monotonically_increasing_id())
+    return df.withColumn(column, F.monotonically_increasing_id())
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
