@@ -28,7 +28,7 @@ MOST = 2.0
 #: Words of a block, at most; small corpora get smaller ones.
 BLOCK_WORDS = 8192
 #: Rows of one hash range of a source, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Hexadecimal digits of the hash that ranges are cut by.
 DIGITS = 5
 #: Slots that are ranked at once.
