@@ -43,7 +43,7 @@ GROUP_BYTES = 64 << 20
 HEAD = 1 << 20
 FIT_DOCS = 2_000
 SEGMENT_TEXT = 16 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xD1B54A32D192ED03)
 _U = np.uint64
@@ -318,7 +318,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     n_docs, n_bytes = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     segments = max(16, -(-(n_bytes or 0) // SEGMENT_TEXT))
     packed = train.select("text").mapInArrow(lambda it: _count(it, segments), "segment int, kind byte, keys binary, counts binary")
-    owned = packed.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_own, "segment int, words array<long>, counts array<long>, bits binary")
+    owned = packed.repartitionById(segments, F.col("segment")).sortWithinPartitions("segment").mapInArrow(_own, "segment int, words array<long>, counts array<long>, bits binary")
     table = materialize(owned, "lm-segments")
     reclaim(spark)
 
