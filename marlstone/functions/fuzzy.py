@@ -19,7 +19,7 @@ def bound(term: str) -> int:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Damerau-Levenshtein distance with adjacent transpositions of edited text; ``most + 1`` as soon as it is more."""
+    """Damerau-Levenshtein distance in which transposed letters may be edited further; ``most + 1`` if the lengths alone rule it out."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     last: dict[str, int] = {}
@@ -36,8 +36,6 @@ def distance(a: str, b: str, most: int) -> int:
             row.append(best)
         last[x] = i
         rows.append(row)
-        if most < min(row) - len(a):  # even dropping the rest can't come back
-            return most + 1
     return rows[-1][-1]
 
 

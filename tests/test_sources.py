@@ -58,3 +58,17 @@ def test_stream(spark, sf, tmp_path):
     for refused in ("a ORDER BY b", "LIMIT 5", "SELECT SCORE"):
         with pytest.raises(QueryError):
             stream_search(data, refused)
+
+
+def test_distance_is_the_unrestricted_one():
+    import random
+
+    import duckdb
+
+    from marlstone.functions.fuzzy import distance
+
+    r = random.Random(1)
+    pairs = [tuple("".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(2)) for _ in range(500)] + [("ca", "abc")]
+    con = duckdb.connect()
+    for a, b in pairs:
+        assert distance(a, b, 10) == con.execute("SELECT damerau_levenshtein(?, ?)", [a, b]).fetchall()[0][0]
