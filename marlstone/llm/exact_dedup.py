@@ -196,7 +196,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = (
         heads.select("key", "entry", "size", "top", "text", slot.alias("slot"))
         .join(F.broadcast(slots), "slot")  # at most 2 ** MAX_DEPTH slots of 12 bytes
-        .repartition(max(partitions(spark), min(len(directory.buckets), 20_000)), "bucket")
+        .repartition(partitions(spark), "bucket")
         .sortWithinPartitions("bucket", "key", "entry")
     )
     found = materialize(owned.select("key", "entry", "size", "top", "text").mapInArrow(lambda it: _own(it, id_type), index), "dedup-index")
