@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fuzzy as fz
-from .text import fold, folded, number_text
+from .text import folded, holds, number_text
 from .values import Flags, Records
 
 _TEST: dict[str, Callable[[str, str], bool]] = {"contains": lambda s, t: t in s, "starts": str.startswith, "ends": str.endswith}
@@ -43,7 +43,7 @@ def _text_test(kind: T.DataType, text: str, how: str, flags: Flags) -> Callable[
     def test(shown: Callable[[Column], Column]) -> Callable[[Column], Column]:
         if how == "fuzzy":
             return lambda c: fz.fuzzy(shown(c), text, flags.case_sensitive)
-        return lambda c: {"contains": Column.contains, "starts": Column.startswith, "ends": Column.endswith}[how](fold(shown(c), flags.case_sensitive), want)
+        return lambda c: holds(shown(c), text, flags.case_sensitive, how)
 
     if isinstance(kind, T.StringType | T.VarcharType | T.CharType):
         return test(lambda c: c)
@@ -159,5 +159,5 @@ def _json_term(record: Column, source: Column, text: str, how: str, flags: Flags
     want = folded(text, sensitive)
     # letters and blanks are spelled as they are in canonical JSON; numbers, escapes and quotes may not be
     plain = how != "fuzzy" and re.fullmatch(r"[A-Za-z_ ]{2,}", want) and not re.fullmatch(r"(?i)[infae]*", want)
-    may = F.when(fold(F.to_json(record), sensitive).contains(want), source) if plain else source
+    may = F.when(holds(F.to_json(record), text, sensitive), source) if plain else source
     return F.coalesce(found(may), F.lit(False))

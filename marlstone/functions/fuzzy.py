@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, folded, tokens
+from .text import folded, holds, tokens
 
 
 def bound(term: str) -> int:
@@ -57,7 +57,7 @@ def fuzzy(column: Column, term: str, case_sensitive: bool) -> Column:
     t = folded(term, case_sensitive)
     if not t:
         return F.lit(False) & column.isNotNull()
-    contains = fold(column, case_sensitive).contains(t)
+    contains = holds(column, t, case_sensitive)
     most = bound(t)
     if not most:
         return contains | F.array_contains(tokens(column), t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.syntax import Literal, Predicate, Ref
 from .fuzzy import fuzzy
-from .text import fold, folded, java_pattern, like
+from .text import holds, java_pattern, like
 from .values import Flags, Records, Typed, Value, _any
 
 _FLIPPED = {">": "<=", ">=": "<", "<": ">=", "<=": ">"}
@@ -128,5 +128,4 @@ def _on_text(value: Value, op: str, literal: Literal, flags: Flags) -> Column:
         return like(text, literal, flags.case_sensitive)
     if op == "REGEX":
         return text.rlike(java_pattern(literal, flags.case_sensitive))
-    test = {"CONTAINS": Column.contains, "STARTS": Column.startswith, "ENDS": Column.endswith}[op]
-    return test(fold(text, flags.case_sensitive), folded(literal, flags.case_sensitive))
+    return holds(text, literal, flags.case_sensitive, op.lower())

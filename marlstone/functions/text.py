@@ -63,16 +63,37 @@ def number_text(column: Column, integral: bool) -> Column:
 
 def tokens(column: Column) -> Column:
     """Runs of ASCII letters and digits, lower-cased."""
-    return F.array_remove(F.split(fold(column), "[^a-z0-9]+"), "")
+    # Unicode lower case differs within ASCII letters for two characters only: the Kelvin sign and the dotted capital I
+    lower = F.when(column.rlike("[\u212a\u0130]"), fold(column)).otherwise(F.lower(column))
+    return F.array_remove(F.split(lower, "[^a-z0-9]+"), "")
 
 
 def tokenize(text: str) -> list[str]:
     return [t for t in re.split("[^a-z0-9]+", ascii_lower(text)) if t]
 
 
+def _quoted(text: str) -> str:
+    return re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", text)
+
+
+def holds(column: Column, text: str, case_sensitive: bool, where: str = "contains") -> Column:
+    """Whether a text contains, starts with or ends with another, after folding. Java's ``(?i)`` folds ASCII letters only and spares a folded copy of the column."""
+    if case_sensitive or not any(c in string.ascii_letters for c in text):
+        return {"contains": Column.contains, "starts": Column.startswith, "ends": Column.endswith}[where](column, text)
+    return column.rlike("(?i)" + {"contains": "{}", "starts": r"\A{}", "ends": r"{}\z"}[where].format(_quoted(text)))
+
+
 def like(column: Column, pattern: str, case_sensitive: bool) -> Column:
     """% any run, _ any character, nothing escapes them; the whole text, line breaks included."""
-    return F.like(fold(column, case_sensitive), F.lit(folded(pattern, case_sensitive)), F.lit("\x01"))
+    if case_sensitive:
+        return F.like(column, F.lit(pattern), F.lit("\x01"))
+    parts = re.split("(%+|_)", pattern)
+    if len(parts) in (1, 3, 5) and all(p in ("", "%") or not set(p) & set("%_") for p in parts):  # no inner wild cards
+        inner = [p for p in parts if p and p != "%"]
+        if len(inner) == 1 and len(parts) > 1:
+            where = "contains" if parts[0] == "" and parts[-1] == "" and len(parts) == 5 else "starts" if parts[-1] == "" else "ends"
+            return holds(column, inner[0], case_sensitive, where)
+    return column.rlike(r"(?is)\A" + "".join(".*" if p.startswith("%") else "." if p == "_" else _quoted(p) for p in parts) + r"\z")
 
 
 def java_pattern(pattern: str, case_sensitive: bool) -> str:

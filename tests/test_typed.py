@@ -100,3 +100,14 @@ def test_nested_types(spark):
     assert ids("a NOT IN (1)") == [1] and ids("a != 1") == [0] and ids("a CONTAINS 5") == [0]
     (row,) = search(Dataset(df), "SELECT m.k.z, a.0, nothing LIMIT 1").collect()
     assert row.asDict(True) == {"m": {"k": {"z": "Q"}}, "a": {"0": 1}}
+
+
+def test_folding_is_ascii_only(spark):
+    rows = ["K", "k", "K", "İ", "i", "Ä%_.x", "ä%_.X", "a\nb", "A.B", "axb", "x\\Qy", "%", ""]
+    df = spark.createDataFrame(list(enumerate(rows)), f"{ROW_ID} long, s string")
+    found = lambda q: [rows[r[0]] for r in row_ids(Dataset(df), q).collect()]
+    assert found('s CONTAINS "k"') == ["K", "k"] and found('s LIKE "i"') == ["i"] and found('s LIKE "%K"') == ["K", "k"]
+    assert found('s STARTS WITH "ä%_.x"') == ["ä%_.X"] and found('s ENDS WITH ".X"') == ["Ä%_.x", "ä%_.X"]
+    assert found('s LIKE "a_b"') == ["a\nb", "A.B", "axb"] and found('s LIKE "a%B"') == ["a\nb", "A.B", "axb"] and found('s CONTAINS "a.b"') == ["A.B"]
+    assert found('s LIKE "%"') == rows and found('s LIKE ""') == [""] and found('s LIKE "%%"') == rows
+    assert found("s CONTAINS 'Qy'") == ["x\\Qy"] and found("s LIKE '%.%' CASE SENSITIVE") == ["Ä%_.x", "ä%_.X", "A.B"]
