@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.syntax import Node, Predicate, Term, walk
+from .spread import spread
 from .text import tokenize, tokens
 from .values import Records
 
@@ -73,14 +74,6 @@ def _variant_text(column: Column) -> Column:
     return F.coalesce(strings(F.to_json(column)), F.lit(""))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than half the cores (a small file has one row group) is dealt over all of them before costly work."""
-    plan, cores = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext.defaultParallelism
-    if "Scan" not in plan.toString() or "Exchange" in plan.toString() or "StreamingRelation" in plan.toString():
-        return df
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def with_tokens(df: DataFrame, records: Records, name: str) -> DataFrame:
     df = spread(df)
     return df.withColumn(name, tokens(document_text(records)))
