@@ -7,7 +7,9 @@ Filter. A count c is quantised to the level 1 + floor(log_BASE c); level j of an
 that. Each segment is a Bloom filter of its own. Words are held if they are
 among the ``HEAD`` most frequent, pairs from ``PAIR_CUTOFF`` (the usual
 cut-off: most pairs occur once and say nothing that the word's own count does not). A level is read by repeated probes, until one fails.
-Segments of pairs go to the workers in groups of at most ``GROUP_BYTES``; each group scores the pairs it holds in a pass of its own.
+A filter of at most ``GROUP_BYTES`` goes to the workers whole. A larger one goes out in
+groups of segments: the texts' pairs are written once, dealt by group, each group answers its own, and the answers meet the texts
+again by chunk. That takes time in proportion to the texts, whatever the number of groups.
 
 Model. P(w|h) = a * c(h w) / c(h) + (1 - a) * P(w), P(w) smoothed as the base score. ``a`` depends on how frequent the
 context h is, and is fitted by leaving each token of a bounded sample of training texts out of its own counts. A rare word
@@ -21,6 +23,7 @@ Null and empty texts consist of the end token alone. Null ids hash like an empty
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, reclaim, utf8
+from .common import materialize, partitions, reclaim, scratch, utf8
 from .langid import held_out
 
 BASE = 1.5
@@ -47,6 +50,7 @@ CHUNK = 1 << 19
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xD1B54A32D192ED03)
 _U = np.uint64
+_PART = "chunk long, part int, data binary"
 
 
 class _Ids(dict):
@@ -236,13 +240,44 @@ class Filter:
 
 @dataclass
 class Model:
-    pairs: Filter
+    pairs: Filter | None
     words: Filter
     head: np.ndarray  # hashes of the frequent words, sorted
     counts: np.ndarray
     space: float  # N + 0.5 (V + 1)
     weights: np.ndarray  # of a pair's share, by the size of the count before it
-    first: bool = True
+
+
+@dataclass
+class Chunk:
+    """Some texts as tokens, with what is known of their words."""
+
+    rows: list
+    words: np.ndarray  # hashes of the distinct words
+    tokens: np.ndarray
+    starts: np.ndarray
+    known: np.ndarray  # whether a word is frequent
+    exact: np.ndarray  # its count, 0 if it isn't
+    rough: np.ndarray  # its quantised count
+
+    @staticmethod
+    def of(model: Model, rows: list, texts: list[bytes]) -> Chunk:
+        words, tokens, starts = _tokens(texts)
+        at = np.minimum(np.searchsorted(model.head, words), max(0, len(model.head) - 1))
+        known = model.head[at] == words if len(model.head) else np.zeros(len(words), bool)
+        exact = np.where(known, model.counts[at] if len(model.head) else 0, 0)
+        return Chunk(rows, words, tokens, starts, known, exact, np.where(known, model.words.count(words), 0))
+
+    def pairs(self) -> np.ndarray:
+        flat = self.words[self.tokens]
+        return pair_hash(_before(flat, self.starts), flat)
+
+    def contexts(self, c_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the token before and of the token, for each token; at least that of the pair."""
+        own = self.rough[self.tokens]
+        before = np.concatenate(([0.0], own[:-1]))
+        before[self.starts] = self.rough[0]  # as many texts begin as end
+        return np.maximum(before, c_pair), np.maximum(own, c_pair)
 
 
 def _context(count: np.ndarray) -> np.ndarray:
@@ -250,32 +285,18 @@ def _context(count: np.ndarray) -> np.ndarray:
     return np.minimum(3, np.where(count > 0, 1 + np.log10(np.maximum(count, 1)).astype(np.int64), 0))
 
 
-def _evidence(model: Model, words: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token: whether its word is frequent, that word's exact count, quantised counts of pair, context and word, whether the pair's segment is here."""
-    at = np.searchsorted(model.head, words)
-    at = np.minimum(at, max(0, len(model.head) - 1))
-    known = model.head[at] == words if len(model.head) else np.zeros(len(words), bool)
-    exact = np.where(known, model.counts[at] if len(model.head) else 0, 0)
-    rough = np.where(known, model.words.count(words), 0)
-    flat = words[tokens]
-    pair = pair_hash(_before(flat, starts), flat)
-    c_pair = model.pairs.count(pair)
-    c_own = rough[tokens]
-    c_before = np.concatenate(([0.0], c_own[:-1]))
-    c_before[starts] = rough[0]  # as many texts begin as end
-    return known[tokens], exact[tokens], c_pair, np.maximum(c_before, c_pair), np.maximum(c_own, c_pair), model.pairs.has(pair)
-
-
 GRID = np.linspace(0, 0.95, 20)
 
 
 def _fit(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Log-likelihood by class of context and weight, each token left out of its counts."""
-    model = sent.value
+    """Log-likelihood by class of context and weight, each token left out of its counts; over the pairs whose segment is in the filter."""
+    model: Model = sent.value
     sums = np.zeros((4, len(GRID)))
     for _, texts in _texts(batches, CHUNK):
-        words, tokens, starts = _tokens(texts)
-        _, _, c_pair, c_before, c_own, here = _evidence(model, words, tokens, starts)
+        chunk = Chunk.of(model, [], texts)
+        pair = chunk.pairs()
+        c_pair, here = model.pairs.count(pair), model.pairs.has(pair)
+        c_before, c_own = chunk.contexts(c_pair)
         kind = _context(c_before)
         share = np.minimum(1, np.maximum(c_pair - 1, 0) / np.maximum(c_before - 1, 1))
         base = (np.maximum(c_own - 1, 0) + 0.5) / model.space
@@ -285,28 +306,78 @@ def _fit(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
 
 
+def _sums(chunk: Chunk, c_pair: np.ndarray, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
+    """Per text what frequent words add to both scores, and the rare words with what they are needed for: 1 base score, 3 both."""
+    starts, tokens = chunk.starts, chunk.tokens
+    known, exact = chunk.known[tokens], chunk.exact[tokens]
+    c_before, c_own = chunk.contexts(c_pair)
+    a = model.weights[_context(c_before)]
+    rest = ~known & (c_pair == 0)  # its probability is (1 - a) times that of the base score
+    p = a * np.minimum(1, c_pair / np.maximum(c_before, 1)) + (1 - a) * np.where(rest, 1, (c_own + 0.5) / model.space)
+    score = np.add.reduceat(np.log10(p), starts)
+    base = np.add.reduceat(np.where(known, np.log10((exact + 0.5) / model.space), 0), starts)
+    some = np.flatnonzero(~known)
+    cuts = np.append(np.searchsorted(some, starts), len(some)).astype(np.int32)
+    rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(chunk.words[tokens[some]].view(np.int64)))
+    needs = pa.ListArray.from_arrays(pa.array(cuts), pa.array((1 + 2 * rest[some]).astype(np.int8)))
+    size = np.diff(np.append(starts, len(tokens)))
+    row, ids, held = zip(*chunk.rows, strict=True)
+    columns = [pa.array(row, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), rare, needs]
+    return pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "need"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Per text what frequent words add to both scores, and the rare words with what they are needed for: 1 base score, 2 score, 3 both."""
+    """With a filter that holds all pairs."""
     model: Model = sent.value
-    names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "need"]
     for rows, texts in _texts(batches, CHUNK // 2):
-        words, tokens, starts = _tokens(texts)
-        known, exact, c_pair, c_before, c_own, here = _evidence(model, words, tokens, starts)
-        a = model.weights[_context(c_before)]
-        rest = ~known & (c_pair == 0)  # its probability is (1 - a) times that of the base score
-        p = a * np.minimum(1, c_pair / np.maximum(c_before, 1)) + (1 - a) * np.where(rest, 1, (c_own + 0.5) / model.space)
-        score = np.add.reduceat(np.where(here, np.log10(p), 0), starts)
-        base = np.add.reduceat(np.where(known, np.log10((exact + 0.5) / model.space), 0), starts) if model.first else np.zeros(len(starts))
-        need = (~known & model.first) + 2 * (rest & here)
-        some = np.flatnonzero(need)
-        cuts = np.append(np.searchsorted(some, starts), len(some)).astype(np.int32)
-        rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(words[tokens[some]].view(np.int64)))
-        needs = pa.ListArray.from_arrays(pa.array(cuts), pa.array(need[some].astype(np.int8)))
-        size = np.diff(np.append(starts, len(tokens)))
-        row, ids, held = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), rare, needs], names
-        )
+        chunk = Chunk.of(model, rows, texts)
+        yield _sums(chunk, model.pairs.count(chunk.pairs()), model, id_type)
+
+
+# with a filter that goes out in groups of segments: each group answers the probes of its own segments, of all chunks
+
+
+def _probe(batches: Iterator[pa.RecordBatch], sent, bounds: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk its tokens (part -1), and for each group the distinct pairs that fall to it. ``bounds``: first segment of each group but the first."""
+    model: Model = sent.value
+    number = TaskContext.get().partitionId() << 32
+    for rows, texts in _texts(batches, CHUNK // 2):
+        chunk = Chunk.of(model, rows, texts)
+        pairs, place = np.unique(chunk.pairs(), return_inverse=True)
+        group = np.searchsorted(bounds, _segment(pairs, segments), "right")
+        cuts = np.searchsorted(group, np.arange(len(bounds) + 2))
+        parts = [(-1, pickle.dumps((chunk, place.astype(np.int32))))] + [(g, pairs[a:b].tobytes()) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(parts), pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], ["chunk", "part", "data"])
+        number += 1
+
+
+def _answer(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Quantised counts of the pairs that a group is asked for."""
+    pairs: Filter = sent.value
+    for batch in batches:
+        data = [pairs.count(np.frombuffer(d.as_py(), np.uint64)).astype(np.float32).tobytes() for d in batch.column("data")]
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("part"), pa.array(data, pa.binary())], ["chunk", "part", "data"])
+
+
+def _join(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The parts of each chunk, which come together and in order, as scores."""
+    model: Model = sent.value
+    at, parts = None, []
+
+    def close() -> pa.RecordBatch:
+        chunk, place = pickle.loads(parts[0])
+        counts = np.frombuffer(b"".join(parts[1:]), np.float32).astype(np.float64)
+        return _sums(chunk, counts[place], model, id_type)
+
+    for batch in batches:
+        for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+            if number != at:
+                if parts:
+                    yield close()
+                at, parts = number, []
+            parts.append(data.as_py())
+    if parts:
+        yield close()
 
 
 def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -344,34 +415,47 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
             held = 0
         groups[-1].append(k)
         held += n
-    weights, parts = None, []
-    for g, group in enumerate(groups):
-        pairs = Filter.of({k: bytes(b) for k, b in table.where(F.col("segment").isin(group)).select("segment", "bits").collect()}, segments)  # group_bytes at most
-        model = Model(pairs, words, head[order], counts[order], space, np.zeros(4) if weights is None else weights, g == 0)
-        if weights is None:
-            luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_docs / max(1, n_docs)) * (1 << 20)
-            sent = spark.sparkContext.broadcast(model)
-            sums = sum((np.array(r["sums"]) for r in train.where(luck).select("text").mapInArrow(lambda it, sent=sent: _fit(it, sent), "sums array<double>").collect()), np.zeros(4 * len(GRID)))
-            model.weights = weights = GRID[sums.reshape(4, -1).argmax(1)]
-            sent.unpersist()
-        sent = spark.sparkContext.broadcast(model)
-        schema = T.StructType(
-            [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
-            + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("need", T.ArrayType(T.ByteType()))]
-        )
-        parts.append(materialize(rows.mapInArrow(lambda it, sent=sent: _score(it, sent, id_type), schema), "lm-scored"))
+    load = lambda group: Filter.of({k: bytes(b) for k, b in table.where(F.col("segment").between(group[0], group[-1])).select("segment", "bits").collect()}, segments)  # noqa: E731  group_bytes at most
+    model = Model(None, words, head[order], counts[order], space, np.zeros(4))
+    luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_docs / max(1, n_docs)) * (1 << 20)
+    send = spark.sparkContext.broadcast
+    sums = np.zeros(4 * len(GRID))
+    for group in groups:  # each token counts once, with the group that its pair falls to
+        model.pairs = load(group) if group else Filter.of({}, segments)
+        sent = send(model)
+        sums += sum(np.array(r["sums"]) for r in train.where(luck).select("text").mapInArrow(lambda it, sent=sent: _fit(it, sent), "sums array<double>").collect())
         sent.unpersist()
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    model.weights = GRID[sums.reshape(4, -1).argmax(1)]
+    schema = T.StructType(
+        [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
+        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("need", T.ArrayType(T.ByteType()))]
+    )
+    if len(groups) == 1:
+        sent = send(model)
+        scored = materialize(rows.mapInArrow(lambda it: _score(it, sent, id_type), schema), "lm-scored")
+    else:
+        model.pairs = None
+        sent = send(model)
+        bounds = np.array([g[0] for g in groups[1:]])
+        path = scratch(spark, "lm-probes")
+        probes = rows.mapInArrow(lambda it: _probe(it, sent, bounds, segments), _PART)
+        probes.write.option("compression", "zstd").partitionBy("part").parquet(path)
+        probes = spark.read.schema(_PART).parquet(path)
+        answers = probes.where("part = -1")
+        for g, group in enumerate(groups):
+            asked = send(load(group))
+            answers = answers.unionByName(materialize(probes.where(F.col("part") == g).select("chunk", "part", "data").mapInArrow(lambda it, asked=asked: _answer(it, asked), _PART), "lm-answers"))
+            asked.unpersist()
+        together = answers.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
+        scored = materialize(together.mapInArrow(lambda it: _join(it, sent, id_type), schema), "lm-scored")
+    sent.unpersist()
+    reclaim(spark)
     needed = scored.select("row", F.explode(F.arrays_zip("rare", "need")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.need").alias("need"))
     rare = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c")).where(F.col("c") < least)
     c = F.coalesce("c", F.lit(0))
     term = F.log10((c + 0.5) / F.lit(space))
     base_needs, score_needs = F.col("need") % 2 == 1, F.col("need") >= 2
     added = needed.join(rare, "word", "left").groupBy("row").agg(F.sum(F.when(base_needs, term)).alias("base2"), F.sum(F.when(score_needs, term)).alias("score2"), F.sum(F.when(base_needs & (c > 0), 1)).alias("known2"))
-    if len(parts) > 1:
-        scored = scored.groupBy("row").agg(*(F.max(k).alias(k) for k in ("id", "held_out", "n_tokens", "n_known")), F.sum("base").alias("base"), F.sum("score").alias("score"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     joined = scored.drop("rare", "need").join(added, "row", "left")
     return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "known2").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), plus("score", "score2").alias("score"))
