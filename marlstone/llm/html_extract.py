@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from . import html_pages
 
 TRAINING_PAGES = 1500
@@ -291,6 +292,6 @@ def _extract(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
     """Per page: id, url, text, n_chars."""
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())  # some hundred features
-    rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
+    rows = spread(pages).select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(lambda it: _extract(it, sent), f"page_id {id_type}, url string, text string, n_chars long").withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)

@@ -17,6 +17,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.spread import spread
 from .license_tables import GRANT, LATER, NAMES, NEUTRAL, RULES, SENTENCES
 
 #: A text without any of these, in lower case, has no known sentence.
@@ -156,5 +157,5 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_sentences (known ones), sentence_ids (in order), licenses (in order, each once), licensed."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = spread(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(_scan, f"id {id_type}, n_sentences long, sentence_ids string, licenses string, licensed boolean").withColumnRenamed("id", id_col)
