@@ -157,3 +157,24 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(start + size, words % greatest(source_size, 1)) - least(start, words % greatest(source_size, 1))))::BIGINT AS taken
 FROM line
 """
+
+ORACLE_SQL["op8_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[p : p + n - 1], ' ')) AS g
+  FROM (SELECT doc_id, ws, least(5, len(ws)) AS n, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS p FROM w WHERE len(ws) > 0)),
+sets AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, ' ' ORDER BY g)) AS key FROM s GROUP BY doc_id),
+named AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY key) AS set_id FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, y.set_id AS other, x.set_id AS own
+  FROM met JOIN named x ON a = x.doc_id JOIN named y ON b = y.doc_id
+  WHERE shared >= 0.8e0 * (x.size + y.size - shared) - 1e-9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT a, least(a, min(b)) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links, count(DISTINCT other) FILTER (other <> own) AS n_classes FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(set_id, doc_id) AS set_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_classes, 0)::BIGINT AS n_classes
+FROM documents LEFT JOIN named USING (doc_id) LEFT JOIN classes ON doc_id = classes.a LEFT JOIN counts ON doc_id = counts.a
+"""
