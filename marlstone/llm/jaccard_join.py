@@ -5,8 +5,8 @@ Sets are the 5-word shingles of a text (a shorter text is one shingle). Texts wi
 1. Sketches. Each class has a signature of ``SIGNATURE`` min-hashes; a min-hash samples a token of the set, and two sets
    share it with the probability of their similarity.
 2. Chosen paths. In each run a set goes to the bucket of one sampled token. Buckets of at most ``LIMIT`` sets are compared
-   by brute force on the signatures. Larger ones split again on two further sampled tokens, ``LEVELS`` times at most; a bucket that is
-   still too large (it then holds hardly anything but similar sets) becomes one group of the next step as it is. Runs are repeated
+   by brute force on the signatures. Larger ones split again on two further sampled tokens, ``LEVELS`` times at most; a large bucket that
+   hardly shrinks, or is at the last level, (it holds hardly anything but similar sets) becomes one group of the next step as it is. Runs are repeated
    until a pair at the threshold is met with the probability ``recall``. A bucket yields the links of a spanning forest, not its pairs.
 3. Groups. Connected components of these links hold every pair that was met.
 4. Verification. Within a group all pairs whose signatures don't rule them out are compared exactly, in blocks of at most
@@ -36,6 +36,8 @@ from .common import ascii_words, components, filter_has, filter_of, materialize,
 SIGNATURE = 64
 LIMIT = 4096
 LEVELS = 5
+#: A bucket that keeps more than this share of its parent's sets holds similar sets; splitting it further would only multiply its rows.
+STAYS = 0.75
 BLOCK = 512
 BATCH_WORDS = 1 << 20
 #: Bits of the filter that keeps texts without a partner from being sent again; it only spares work.
@@ -221,7 +223,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(sketches.where("size > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("id").alias("set_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("head")), "join-classes")
 
     # chosen paths
-    paths = sketches.where("size > 0").join(classes.select(F.col("rep").alias("row")), "row").select(F.explode("keys").alias("key"), F.col("row").alias("rep"), "sig")
+    paths = sketches.where("size > 0").join(classes.select(F.col("rep").alias("row")), "row").select(F.explode("keys").alias("key"), F.col("row").alias("rep"), "sig", F.lit(None).cast("long").alias("parent"))
     edges = None
     for level in range(LEVELS + 1):
         counts = paths.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("rep").alias("least")).where("count > 1")
@@ -230,13 +232,17 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = materialize(small.mapInArrow(lambda it: _brute(it, least), "a long, b long"), "join-met")
         edges = found if edges is None else edges.union(found)
         large = met.where(F.col("count") > LIMIT)
-        if level == LEVELS:
-            edges = edges.union(large.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        elif large.isEmpty():
+        if large.isEmpty():
             break
-        child = F.explode(F.array(*(F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SIGNATURE)) for j in (1, 2))))
-        at = large.select("key", "rep", "sig", child.alias("at"))
-        paths = at.select(F.xxhash64("key", "at", F.substring("sig", F.col("at").cast("int") * 2 + 1, F.lit(2))).alias("key"), "rep", "sig")
+        whole = F.lit(True) if level == LEVELS else F.coalesce(F.col("count") > STAYS * F.col("parent"), F.lit(False))
+        edges = edges.union(large.where(whole).select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        # two tokens that no level above has used
+        width = (SIGNATURE - runs) // LEVELS
+        one = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(width))
+        two = F.pmod(one + 1 + F.pmod(F.xxhash64("key", F.lit(2)), F.lit(width - 1)), F.lit(width))
+        child = F.explode(F.array(*(x + (runs + level * width) for x in (one, two))))
+        at = large.where(~whole).select("key", "rep", "sig", F.col("count").alias("parent"), child.alias("at"))
+        paths = at.select(F.xxhash64("key", "at", F.substring("sig", F.col("at").cast("int") * 2 + 1, F.lit(2))).alias("key"), "rep", "sig", "parent")
     reclaim(spark)
 
     # groups, cut to blocks
