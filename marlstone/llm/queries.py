@@ -178,3 +178,36 @@ counts AS (SELECT a, count(*) AS n_links, count(DISTINCT other) FILTER (other <>
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(set_id, doc_id) AS set_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_classes, 0)::BIGINT AS n_classes
 FROM documents LEFT JOIN named USING (doc_id) LEFT JOIN classes ON doc_id = classes.a LEFT JOIN counts ON doc_id = counts.a
 """
+
+ORACLE_SQL["op7_substring_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？])([ \t\r\f\v]+)', '\1\2' || chr(1), 'g'), '\s*\n\s*', '\0' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts
+  FROM documents),
+p AS (
+  SELECT doc_id, k, parts[k] AS piece, list_filter(regexp_split_to_array(lower(parts[k]), '\s+'), lambda x: x <> '') AS ws
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM t)),
+u AS (SELECT doc_id, k, piece, array_to_string(ws, ' ') AS norm, len(ws) AS n, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS upto FROM p),
+edges AS (SELECT doc_id, k, upto FROM u UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM u),
+ahead AS (
+  SELECT a.doc_id, a.k AS s, greatest(min(b.k), a.k + 2) AS e
+  FROM edges a ASOF JOIN (SELECT doc_id, upto, min(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto + 20 <= b.upto GROUP BY a.doc_id, a.k),
+back AS (
+  SELECT a.doc_id, least(max(b.k), a.k - 2) AS s, a.k AS e
+  FROM edges a ASOF JOIN (SELECT doc_id, upto, max(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto - 20 >= b.upto WHERE a.k > 0 GROUP BY a.doc_id, a.k),
+span AS (
+  SELECT doc_id, s, e FROM ahead UNION SELECT doc_id, s, e FROM back WHERE s >= 0 UNION SELECT doc_id, k - 1, k FROM u WHERE n >= 30),
+run AS (
+  SELECT span.doc_id, s, e, count(*) || ' ' || string_agg(norm, chr(1) ORDER BY k) AS h
+  FROM span JOIN u ON span.doc_id = u.doc_id AND k > s AND k <= e GROUP BY span.doc_id, s, e HAVING count(*) = e - s),
+again AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY s) AS nth, min(doc_id) OVER (PARTITION BY h) AS first FROM run),
+gone AS (SELECT DISTINCT again.doc_id, k FROM again JOIN u ON again.doc_id = u.doc_id AND k > s AND k <= e WHERE nth > 1 OR again.doc_id <> first),
+done AS (
+  SELECT u.doc_id, count(*) AS n_sentences, count(gone.k) AS n_removed, sum(CASE WHEN gone.k IS NOT NULL THEN n ELSE 0 END)::BIGINT AS words_removed,
+         string_agg(piece, '' ORDER BY u.k) FILTER (gone.k IS NULL) AS kept
+  FROM u LEFT JOIN gone ON u.doc_id = gone.doc_id AND u.k = gone.k GROUP BY u.doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(words_removed, 0)::BIGINT AS words_removed,
+       CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE trim(coalesce(kept, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS text
+FROM t LEFT JOIN done USING (doc_id)
+"""
