@@ -52,11 +52,21 @@ class Node:
     linked: int = 0
 
 
+_CONTAINERS = frozenset(html_pages.CONTENT)
+
+
 @dataclass(slots=True)
 class Page:
     nodes: list[Node] = field(default_factory=list)
     #: Runs of text in page order: node and text.
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    container: bool | None = None
+
+    def contained(self) -> bool:
+        """Whether some element is an article by its tag or name."""
+        if self.container is None:
+            self.container = any(n.tag in ("article", "main") or not _CONTAINERS.isdisjoint(n.names) for n in self.nodes)
+        return self.container
 
 
 @cache
@@ -191,19 +201,27 @@ def parse(source: str) -> Page:
 
 
 @cache
-def _features(tag: str, names: tuple[str, ...], text: str) -> tuple[str, ...]:
-    return (f"{tag}/{text}", *(f"name={w}" for w in names))
+def _features(tag: str, names: tuple[str, ...], text: str, place: str) -> tuple[str, ...]:
+    return (f"{tag}/{text}", *(f"name={w}" for w in names), *((f"{place}/{tag}",) if place else ()))
 
 
-def features(node: Node) -> tuple[str, ...]:
-    """Tag with the share of its text in links (in quarters), or that it has no text of its own; its names."""
-    return _features(node.tag, node.names, str(int(4 * min(1.0, node.linked / node.text))) if node.text else "bare")
+def features(page: Page, k: int) -> tuple[str, ...]:
+    """Of a node: tag with the share of its text in links (in quarters), or that it has no text of its own; its names; for children of the body whether the page has a container for an article."""
+    n = page.nodes[k]
+    place = ("loose" if page.contained() else "free") if page.nodes[n.parent].tag in ("body", "html") else ""
+    return _features(n.tag, n.names, str(int(4 * min(1.0, n.linked / n.text))) if n.text else "bare", place)
 
 
 #: Kinds of parents that couple with their children alike.
 KINDS = {"html": "page", "body": "page", "main": "main", "article": "article", "section": "section", "div": "section", "ul": "list", "ol": "list", "table": "list", "tbody": "list", "tr": "list", "dl": "list"}
 
 
+def kind(node: Node) -> str:
+    """Kind of a parent; sections that are named like an article couple more closely than wrappers."""
+    found = KINDS.get(node.tag, "leaf")
+    return "named" if found == "section" and not _CONTAINERS.isdisjoint(node.names) else found
+
+
 @dataclass
 class Model:
     """Log-odds by feature, and P(child's label | parent's label) by the parent's kind, as ((00, 01), (10, 11))."""
@@ -221,11 +239,11 @@ def train(pages: list[Page], smooth: float = 1.0) -> Model:
     for page in pages:
         y = [int(n.label == "1") for n in page.nodes]
         y[0] = 1
-        for n, label in zip(page.nodes[1:], y[1:], strict=True):
+        for k, (n, label) in enumerate(zip(page.nodes[1:], y[1:], strict=True), 1):
             parent = page.nodes[n.parent]
-            pairs[KINDS.get(parent.tag, "leaf")][y[n.parent]][label] += 1
+            pairs[kind(parent)][y[n.parent]][label] += 1
             total[label] += 1
-            for f in features(n):
+            for f in features(page, k):
                 seen[label][f] += 1
     odds = {}
     for f in set(seen[0]) | set(seen[1]):
@@ -245,11 +263,11 @@ def marginals(page: Page, model: Model) -> list[float]:
     get = model.odds.get
     local = [(0.0, 1.0)] * n
     for i in range(1, n):
-        x = sum([get(f, 0.0) for f in features(nodes[i])])
+        x = sum([get(f, 0.0) for f in features(page, i)])
         x = 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
         local[i] = (1 - x, x)
     loose = ((0.5, 0.5), (0.5, 0.5))
-    couples = [model.couple.get(KINDS.get(x.tag, "leaf"), loose) for x in nodes]
+    couples = [model.couple.get(kind(x), loose) for x in nodes]
     below = list(local)  # evidence of the node and all below
     up = [(1.0, 1.0)] * n
     for i in range(n - 1, 0, -1):

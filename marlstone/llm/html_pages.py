@@ -11,14 +11,20 @@ import random
 #: Names that sites give to the parts of a page.
 MENU = "nav menu navbar navigation topnav breadcrumb breadcrumbs main-menu site-nav mega-menu pagination pager toc skip-link tabs".split()
 HEADER = "header site-header masthead topbar page-header branding logo banner-top".split()
-FOOTER = "footer site-footer page-footer copyright legal bottom colophon footer-links".split()
-SIDEBAR = "sidebar side aside rail widget right-col left-col related related-posts recommended trending popular secondary tags tag-list author-box see-also more-news".split()
-NOTICE = "notice cookie cookies cookie-banner cookie-notice consent gdpr alert banner paywall popup modal overlay toast newsletter subscribe-box disclaimer announcement warning message".split()
-ADVERT = "ad ads advert advertisement sponsor sponsored promo promoted adsense banner-ad ad-slot dfp promotion teaser cta".split()
+FOOTER = "footer site-footer page-footer copyright legal bottom colophon footer-links contentinfo credits".split()
+SIDEBAR = "sidebar side aside rail widget right-col left-col related related-posts recommended trending popular secondary tags tag-list author-box see-also more-news complementary newsbox teasers".split()
+NOTICE = "notice cookie cookies cookie-banner cookie-notice consent gdpr alert banner paywall popup modal overlay toast newsletter subscribe-box disclaimer announcement warning message dialog alertdialog status privacy gdpr-banner breaking".split()
+ADVERT = "ad ads advert advertisement sponsor sponsored promo promoted adsense banner-ad ad-slot dfp promotion teaser cta adsbygoogle ad-container native-ad commercial".split()
 FORM = "form search search-form login signup subscribe contact-form newsletter-form comment-form feedback".split()
 SOCIAL = "share social sharing follow social-links share-buttons".split()
-COMMENTS = "comments comment comment-list reader-comments responses discussion replies disqus user-comments comments-area comment-body feedback-list reviews".split()
+COMMENTS = "comments comment comment-list reader-comments responses discussion replies disqus user-comments comments-area comment-body feedback-list reviews respond thread".split()
 CONTENT = "content article post entry story main article-body post-content entry-content story-body main-content text body-text page-content article-content prose single hentry".split()
+#: What sites append to such names.
+SUFFIXES = "content body text inner wrapper wrap container list item items box area main section block title links".split()
+#: Names of elements around everything.
+WRAPPERS = "wrapper container page wrap layout outer inner row site app root page-wrapper page-container site-content".split()
+#: What they put before the names of the article.
+PREFIXES = "main page post article entry site single primary story the".split()
 _SYLLABLES = "ba ce di fo gu la me ni so tu ra pe lo mi ka ve da ro".split()
 
 
@@ -34,8 +40,13 @@ def _sentences(r: random.Random, n: int) -> str:
 def _attrs(r: random.Random, names: list[str], sure: bool) -> str:
     if not sure and r.random() < 0.35:
         return ""
-    kind = r.choice(("class", "class", "id"))
-    return f' {kind}="{r.choice(names)}"'
+    kind = r.choice(("class", "class", "id", "role"))
+    name = r.choice(names)
+    if names[0] not in (CONTENT[0], WRAPPERS[0]) and r.random() < 0.25:
+        name += r.choice("-_ ") + r.choice(SUFFIXES)
+    elif names[0] == CONTENT[0] and r.random() < 0.4:
+        name = r.choice(PREFIXES) + r.choice("-_ ") + name
+    return f' {kind}="{name}"'
 
 
 def _links(r: random.Random, n: int) -> str:
@@ -47,6 +58,8 @@ def _part(r: random.Random, tag: str, names: list[str], inner: str) -> str:
     """A part that isn't content: by its tag, or as a div with a name."""
     own = r.random() < 0.5 and tag != "div"
     t = tag if own else r.choice(("div", "div", "section"))
+    if r.random() < 0.2:
+        inner = f'<div class="{r.choice(SUFFIXES)}">{inner}</div>'
     return f'<{t}{_attrs(r, names, not own)} data-y="0">{inner}</{t}>'
 
 
@@ -98,13 +111,17 @@ def page(seed: int) -> str:
         )
     if r.random() < 0.25:
         body[0] = f"<header>{body[0]}</header>"
+    within = r.choice((0.0, 0.1, 0.5, 0.9))
     for place, part in _outer(r):
-        if r.random() < 0.15:  # some stand inside the article
+        if r.random() < within:  # some stand inside the article
             body.insert(1 + int(place * (len(body) - 1)), part)
     tag = r.choice(("article", "article", "main", "div", "section"))
     article = f'<{tag}{_attrs(r, CONTENT, tag in ("div", "section"))}>{"".join(body)}</{tag}>' if r.random() < 0.8 else "".join(body)
     if r.random() < 0.4:
-        article = f"<main>{article}</main>" if r.random() < 0.5 else f"<div{_attrs(r, CONTENT + ['wrapper', 'container', 'page'], False)}>{article}</div>"
+        article = f"<main>{article}</main>" if r.random() < 0.5 else f"<div{_attrs(r, r.choice((CONTENT, WRAPPERS)), False)}>{article}</div>"
     outer = _outer(r)
     before, after = ([p for _, p in sorted(outer) if (_ < 0.5) == side] for side in (True, False))
-    return f'<html><head><title>{_words(r, 4)}</title></head><body data-y="1">{"".join(before)}{article}{"".join(after)}</body></html>'
+    inner = "".join([*before, article, *after])
+    if r.random() < 0.4:
+        inner = f"<div{_attrs(r, WRAPPERS, False)}>{inner}</div>"
+    return f'<html><head><title>{_words(r, 4)}</title></head><body data-y="1">{inner}</body></html>'

@@ -42,9 +42,9 @@ def test_marginals_against_enumeration():
     for labels in product((0, 1), repeat=len(page.nodes)):
         w = 1.0 if labels[0] else 0.0
         for k, n in enumerate(page.nodes[1:], 1):
-            x = 1 / (1 + exp(-sum(model.odds.get(f, 0.0) for f in H.features(n))))
+            x = 1 / (1 + exp(-sum(model.odds.get(f, 0.0) for f in H.features(page, k))))
             parent = page.nodes[n.parent]
-            w *= (x if labels[k] else 1 - x) * model.couple.get(H.KINDS.get(parent.tag, "leaf"), ((0.5, 0.5),) * 2)[labels[n.parent]][labels[k]]
+            w *= (x if labels[k] else 1 - x) * model.couple.get(H.kind(parent), ((0.5, 0.5),) * 2)[labels[n.parent]][labels[k]]
         total += w
         for k, y in enumerate(labels):
             on[k] += w * y
@@ -76,3 +76,20 @@ def test_nulls(spark):
     df = spark.createDataFrame([(1, "u", None, 0), (None, None, "", 0), (2, "v", "<p>Only &eacute;", 0), (2, "v", "<p>Only &eacute;", 0)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in H.main_text(df).collect())[:2] == [("", 0), ("", 0)]
     assert H.main_text(df.limit(0)).collect() == []
+
+
+#: Layouts with names that the training pages don't have as they stand; KEEP marks content.
+LAYOUTS = [
+    '<body><div id="header"><h2>Site name</h2><p>All the news.</p></div><div class="content"><div class="sidebar-content"><h3>Side</h3><p>Side text here.</p></div><div class="post"><h1>KEEP</h1><p>KEEP one.</p></div></div><div class="footer-content"><p>Foot text.</p></div></body>',
+    '<body><article><h1>KEEP</h1><p>KEEP a.</p><p class="ad">Buy x.</p><div class="advertisement"><p>Ad para.</p></div><p>KEEP b.</p><div class="article-comments"><h3>3 comments</h3><div class="comment"><p>Nice.</p></div></div></article><section id="related"><h2>Related</h2><p>Other story.</p></section></body>',
+    '<body><div role="banner"><p>Site.</p></div><div role="navigation"><a href=a>A</a></div><main><h1>KEEP</h1><p>KEEP x.</p><ul><li>KEEP item.</li></ul></main><div role="complementary"><p>Aside.</p></div><div role="contentinfo"><p>Info.</p></div></body>',
+    '<body><div class="cookie-consent-text">We use cookies.</div><div class="page-wrapper"><div class="main-content"><h2>KEEP h</h2><p>KEEP p.</p><blockquote>KEEP q.</blockquote><div class="newsletter-box"><p>Join us.</p><form><input></form></div></div></div><div class="comment-text"><p>A comment.</p></div></body>',
+    "<html><body><h1>KEEP t</h1><p>KEEP plain page.</p><p>KEEP second.</p></body></html>",
+    '<body><nav>Home About</nav><article><header><h1>KEEP</h1><p>KEEP By someone</p></header><p>KEEP</p><footer><p>Filed under x.</p></footer><aside><p>Note.</p></aside></article><section class="comments"><article><p>Hi.</p></article></section><div class="notice">Closed today.</div></body>',
+]
+
+
+def test_layouts():
+    for page in LAYOUTS:
+        blocks = H.extract(page, H.trained()).split("\n\n")
+        assert len(blocks) == page.count("KEEP") and all("KEEP" in b for b in blocks)
