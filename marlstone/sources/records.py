@@ -7,6 +7,8 @@ import gzip
 import json
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,9 +81,18 @@ def from_gzip(spark: SparkSession, data: bytes, **options) -> Dataset:
 def read_json_array(spark: SparkSession, path: str, **options) -> Dataset:
     """Records of files that hold a JSON array each (``.json`` or ``.json.gz``). A file is one task's, so use JSON lines for large data."""
     _allow_repeated_keys(spark)
-    files = spark.read.text(path, wholetext=True)
-    items = files.select(F.posexplode(F.parse_json("value").cast("array<variant>")).alias(ROW_ID, RECORD))
-    return _dataset(items.withColumn(ROW_ID, F.col(ROW_ID).cast("long")).withColumn(RAW, F.to_json(RECORD)), **options)
+    items = spark.read.text(path, wholetext=True).mapInArrow(_elements, f"{ROW_ID} long, {RAW} string")
+    return _dataset(items.withColumn(RECORD, F.parse_json(RAW)), **options)
+
+
+def _elements(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Elements of JSON arrays as they are spelled; numbered from 0 in the first task, the files of a task one after the other."""
+    number = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for text in batch.column(0):
+            parts = _spellings(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(parts)), pa.int64()), pa.array(parts, pa.string())], [ROW_ID, RAW])
+            number += len(parts)
 
 
 def read_json_lines(spark: SparkSession, path: str, **options) -> Dataset:

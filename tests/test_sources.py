@@ -40,6 +40,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.json.gz").write_bytes(gzip.compress(json.dumps(items).encode()))
     data = io.read_json_array(spark, f"file://{tmp_path}/a.json.gz")
     assert sorted(r[0] for r in row_ids(data, "n > 2").collect()) == [3, 4]
+    (tmp_path / "b.json").write_text('[{"x": 1.0}, {"x": 1}]')
+    spelled = io.read_json_array(spark, f"file://{tmp_path}/b.json")
+    assert [r[0] for r in row_ids(spelled, '"1.0"').collect()] == [0] and row_ids(spelled, "x = 1").count() == 2
     assert io.from_gzip(spark, (tmp_path / "a.json.gz").read_bytes()).df.count() == 5
     io.write_json(data, search(data, "n > 2"), f"file://{tmp_path}/out", "gzip")
     again = io.read_json_lines(spark, f"file://{tmp_path}/out")
