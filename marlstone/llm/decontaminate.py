@@ -5,7 +5,7 @@ the benchmark, the sorted list of its positions in the shard. Terms that no benc
 and get no list. A query intersects the lists of a window's terms, each moved by the term's offset, from the term that is
 rarest in the corpus on; with ``slop`` 0 that gives exact phrases, with more it gives proximity matches, in which every
 term lies at most ``slop`` positions from its place. Since a shard holds whole documents, nothing is shuffled but the
-terms' counts. Benchmark items go to the workers in blocks of bounded size, one search of the index per block.
+terms' counts. Benchmark items go to the workers in blocks of bounded size, an index and a search each.
 
 Null or empty texts have no words and no hits. Items without words never match. Repeated items (equal ids) count once;
 a null item id reads ``null``. Repeated documents each get their row. Other columns are not read.
@@ -14,6 +14,7 @@ a null item id reads ``null``. Repeated documents each get their row. Other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -27,8 +28,8 @@ from .common import ascii_words, materialize, numbered, utf8
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 2_000
-#: Bytes of item texts that go to the workers at once.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts that go to the workers at once; a window takes some 100 bytes there.
+BLOCK_BYTES = 4 << 20
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[dict[str, list[list[bytes]]]]:
@@ -92,8 +93,36 @@ def intersect(postings: dict[int, np.ndarray], plan: list[tuple[int, int]], slop
     return starts
 
 
-def _search(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, int, list[tuple[int, int]]]], names: list[str], id_type: pa.DataType, slop: int) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Windows:
+    """Windows of the items of a block, a row each: terms and their offsets from the rarest on, size, item."""
+
+    terms: np.ndarray
+    offsets: np.ndarray
+    sizes: np.ndarray
+    items: np.ndarray
+
+    @staticmethod
+    def of(texts: list[tuple[int, np.ndarray]], seen: np.ndarray, window: int) -> Windows:
+        """``seen``: how often the corpus has each term; windows with a term that it lacks are left out. Texts shorter than a window are one."""
+        terms, sizes, items = [np.empty((0, window), np.int32)], [], []
+        for item, text in texts:
+            n = min(window, len(text))
+            own = np.lib.stride_tricks.sliding_window_view(text, n)
+            own = np.unique(own[(seen[own] > 0).all(1)], axis=0)
+            terms.append(np.pad(own, ((0, 0), (0, window - n)), constant_values=-1))
+            sizes += [n] * len(own)
+            items += [item] * len(own)
+        all_terms = np.concatenate(terms)
+        rarity = np.where(all_terms < 0, np.iinfo(np.int64).max, seen[all_terms])
+        offsets = np.argsort(rarity, axis=1, kind="stable").astype(np.int32)
+        return Windows(np.take_along_axis(all_terms, offsets, 1), offsets, np.array(sizes, np.int64), np.array(items, np.int64))
+
+
+def _search(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType, slop: int) -> Iterator[pa.RecordBatch]:
     """Per document: words, words hit, ids of the matching items, and the hit runs as (start, end) pairs."""
+    names, texts, seen, window = sent.value
+    all_windows = Windows.of(texts, seen, window)
     for batch in batches:
         for rows, ids, lengths, found, counts, at in zip(*(batch.column(n) for n in ("rows", "ids", "lengths", "terms", "counts", "positions")), strict=True):
             ids, lengths = ids.as_py(), lengths.values.to_numpy()
@@ -102,10 +131,9 @@ def _search(batches: Iterator[pa.RecordBatch], windows: list[tuple[int, int, lis
             starts = np.cumsum(np.append(0, lengths + 1))
             marks = np.zeros(starts[-1] + 1, np.int32)
             items: dict[int, set[int]] = {}
-            for item, size, plan in windows:
-                if plan[0][0] not in postings:
-                    continue
-                s = intersect(postings, plan, slop)
+            for w in np.flatnonzero(np.isin(all_windows.terms[:, 0], found.values.to_numpy())).tolist():
+                size, item = int(all_windows.sizes[w]), int(all_windows.items[w])
+                s = intersect(postings, list(zip(all_windows.terms[w, :size].tolist(), all_windows.offsets[w, :size].tolist(), strict=True)), slop)
                 if len(s):
                     d = np.searchsorted(starts, s, "right") - 1
                     inside = (s >= 0) & (d >= 0) & (s + size <= starts[np.minimum(d, len(lengths) - 1)] + lengths[np.minimum(d, len(lengths) - 1)])
@@ -131,21 +159,17 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     ints = T.ArrayType(T.IntegerType())
     index_type = T.StructType([T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(id_field)), *(T.StructField(n, ints) for n in ("lengths", "terms", "counts", "positions"))])
     out_type = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_field), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", ints)])
-    vocabulary = {w for block in item_blocks(items, item_id_col, item_text_col, block_bytes) for texts in block.values() for words in texts for w in words}
-    terms = {w: k for k, w in enumerate(sorted(vocabulary))}
-    index = materialize(rows.mapInArrow(lambda it: _shards(it, terms, id_type), index_type), "decontaminate-index")
-    seen = dict(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect())  # a row for each term of the benchmark
     parts = []
     for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-        names, windows = sorted(block), {}
-        for k, name in enumerate(names):
-            for words in block[name]:
-                size = min(window, len(words))
-                for s in range(len(words) - size + 1):
-                    plan = [(terms[w], o) for o, w in enumerate(words[s : s + size])]
-                    if all(t in seen for t, _ in plan):
-                        windows[k, tuple(plan)] = (k, size, sorted(plan, key=lambda x: (seen[x[0]], x[1])))
-        parts.append(index.mapInArrow(lambda it, windows=list(windows.values()), names=names: _search(it, windows, names, id_type, slop), out_type))
+        terms = {w: k for k, w in enumerate(sorted({w for texts in block.values() for words in texts for w in words}))}
+        index = materialize(rows.mapInArrow(lambda it, terms=terms: _shards(it, terms, id_type), index_type), "decontaminate-index")
+        seen = np.zeros(len(terms) + 1, np.int64)
+        for term, n in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect():  # a row for each term of the block
+            seen[term] = n
+        names = sorted(block)
+        texts = [(k, np.array([terms[w] for w in words], np.int32)) for k, name in enumerate(names) for words in block[name]]
+        sent = docs.sparkSession.sparkContext.broadcast((names, texts, seen, window))  # block_bytes at most
+        parts.append(index.mapInArrow(lambda it, sent=sent: _search(it, sent, id_type, slop), out_type))
     if len(parts) == 1:
         return parts[0]
     words_hit = F.flatten(F.collect_list(F.transform(F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: (i % 2 == 0) & (F.size("runs") > 0)), lambda i: F.sequence(F.get("runs", i), F.get("runs", i + 1) - 1))))
