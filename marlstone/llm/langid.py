@@ -91,7 +91,7 @@ def held_out(id_column: Column, folds: int) -> Column:
 def fit(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, cells: int = CELLS) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities: a row for each bucket and one for the prior."""
     ident, text, lang = docs[id_col], docs[text_col], docs[lang_col].cast("string")
-    usable = docs.where(lang.isNotNull() & ~held_out(ident, folds) & text.isNotNull())
+    usable = docs.where(lang.isNotNull() & ~held_out(ident, folds))
     sizes = dict(usable.groupBy(lang.alias("lang")).count().collect())  # one row per language
     if not sizes:
         return [], np.zeros((2, 0))
@@ -99,11 +99,13 @@ def fit(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col: str =
     each = max(1, fit_docs // len(sizes))
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, each / v)))), lang)
     luck = F.pmod(F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20))
-    sample = usable.where(luck < share * (1 << 20)).select(lang.alias("lang"), text.alias("text")).repartition(8)  # bounded by fit_docs
+    sample = usable.where((luck < share * (1 << 20)) & text.isNotNull()).select(lang.alias("lang"), text.alias("text")).repartition(8)  # bounded by fit_docs
     totals: dict[str, np.ndarray] = {}
     for key, counts in sample.mapInArrow(lambda it: _count(it, buckets), "lang string, counts binary").collect():  # 8 rows a language at most
         totals[key] = totals.get(key, 0) + np.frombuffer(bytes(counts), np.int64)
     langs = sorted(totals)
+    if not langs:
+        return [], np.zeros((2, 0))
     counts = np.stack([totals[k] for k in langs], 1) + 0.5
     priors = np.log(np.array([[sizes[k] for k in langs]]) / sum(sizes[k] for k in langs))
     return langs, np.vstack([np.log(counts / counts.sum(0)), np.zeros((1, len(langs))), priors])

@@ -419,11 +419,12 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     model = Model(None, words, head[order], counts[order], space, np.zeros(4))
     luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_docs / max(1, n_docs)) * (1 << 20)
     send = spark.sparkContext.broadcast
+    sample = materialize(train.where(luck).select("text"), "lm-sample")  # fit_docs texts, about
     sums = np.zeros(4 * len(GRID))
     for group in groups:  # each token counts once, with the group that its pair falls to
         model.pairs = load(group) if group else Filter.of({}, segments)
         sent = send(model)
-        sums += sum(np.array(r["sums"]) for r in train.where(luck).select("text").mapInArrow(lambda it, sent=sent: _fit(it, sent), "sums array<double>").collect())
+        sums += sum(np.array(r["sums"]) for r in sample.mapInArrow(lambda it, sent=sent: _fit(it, sent), "sums array<double>").collect())
         sent.unpersist()
     model.weights = GRID[sums.reshape(4, -1).argmax(1)]
     schema = T.StructType(
