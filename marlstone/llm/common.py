@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,8 +27,21 @@ def ascii_words(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_WORD_BYTES).split() if text else []
 
 
+#: Bytes of an Arrow batch. Spark's own bound is 64 MB, and a batch exists several times over on its way to a task and back.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches, so that many long texts don't meet in one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)))
+    if now is None or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; a temporary one is set only where none is named."""
+    bound_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         own = tempfile.mkdtemp(prefix="marlstone-")

@@ -54,7 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         return h
 
