@@ -115,6 +115,11 @@ def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
     return df.withColumn(column, F.monotonically_increasing_id())
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about that many thin rows, in partitions of half a million, so that small tables are few files."""
+    return df.coalesce(max(1, -(-rows // 500_000)))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of (a, b): node, label (the least node of the component).
 
@@ -123,18 +128,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     pair = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(pair(edges), f"{name}-edges")
+    n = edges.count()
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels = materialize(nodes.withColumn("label", F.col("node")), f"{name}-labels")
-    while not edges.isEmpty():
+    labels = materialize(few(nodes.withColumn("label", F.col("node")), 2 * n), f"{name}-labels")
+    while n:
         both = edges.union(edges.select("b", "a"))
-        hook = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), f"{name}-hooks")
+        hook = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
         for _ in range(2):
             above = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
             hook = hook.join(above, "up").select("a", F.col("top").alias("up"))
-        hook = materialize(hook, f"{name}-tops")
-        labels = materialize(labels.join(hook.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{name}-labels")
+        hook = materialize(few(hook, 2 * n), f"{name}-tops")
+        labels = materialize(few(labels.join(hook.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), 2 * n), f"{name}-labels")
         moved = edges.join(hook, "a").select(F.col("up").alias("a"), "b").join(hook.select(F.col("a").alias("b"), F.col("up").alias("to")), "b").select("a", F.col("to").alias("b"))
-        edges = materialize(pair(moved), f"{name}-edges")
+        edges = materialize(few(pair(moved), n), f"{name}-edges")
+        n = edges.count()
     return labels
 
 

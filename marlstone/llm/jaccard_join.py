@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, filter_has, filter_of, materialize, numbered, partitions, reclaim, utf8
+from .common import ascii_words, components, few, filter_has, filter_of, materialize, numbered, partitions, reclaim, utf8
 
 SIGNATURE = 64
 LIMIT = 4096
@@ -249,7 +249,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(edges, "join-groups")
     sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = groups.join(sizes, "label").select(F.col("node").alias("rep"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    placed = materialize(placed, "join-placed")
+    n = groups.count()
+    placed = materialize(few(placed, n), "join-placed")
     sent = spark.sparkContext.broadcast(filter_of(placed.select("rep"), FILTER_BITS))
     sets = rows.select("row", "text").mapInArrow(lambda it: _sets(it, sent, words), "rep long, set binary")
     members = placed.join(classes.select("rep", "n"), "rep").join(sketches.select(F.col("row").alias("rep"), "sig"), "rep").join(sets, "rep")
