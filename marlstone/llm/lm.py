@@ -4,16 +4,16 @@ Counting. Scan tasks count words and pairs of neighbouring words (64-bit hashes)
 segment of the hash space two packed arrays; owner tasks add them up. Counts are over all training texts.
 
 Filter. A count c is quantised to the level 1 + floor(log_BASE c); level j of an n-gram is a member for each j up to
-that. Each segment is a Bloom filter of its own. Words are held if they are
-among the ``HEAD`` most frequent, pairs from ``PAIR_CUTOFF`` (the usual
+that. Each segment is a Bloom filter of its own. It holds all words, and pairs from ``PAIR_CUTOFF`` (the usual
 cut-off: most pairs occur once and say nothing that the word's own count does not). A level is read by repeated probes, until one fails.
 A filter of at most ``GROUP_BYTES`` goes to the workers whole. A larger one goes out in
-groups of segments: the texts' pairs are written once, dealt by group, each group answers its own, and the answers meet the texts
+groups of segments: the texts' words and pairs are written once, dealt by group, each group answers its own, and the answers meet the texts
 again by chunk. That takes time in proportion to the texts, whatever the number of groups.
 
 Model. P(w|h) = a * c(h w) / c(h) + (1 - a) * P(w), P(w) smoothed as the base score. ``a`` depends on how frequent the
-context h is, and is fitted by leaving each token of a bounded sample of training texts out of its own counts. A rare word
-whose pair is unknown has the factor (1 - a) and its exact probability of the base score.
+context h is, and is fitted by leaving each token of a bounded sample of training texts out of its own counts. A word
+whose pair is unknown has the factor (1 - a) and its exact probability of the base score. All else that the score takes of a token
+are three levels, of the pair, the word before and the word, written as one code; so the texts are probed once, and weights come after.
 
 Base score. It needs exact counts: the most frequent words (``HEAD`` at most) are looked up in a broadcast table, all other
 words meet their counts in a join, where by construction no key is frequent.
@@ -160,7 +160,7 @@ def _build(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment: words with exact counts, and the filter of its pairs. Rows come by segment."""
+    """A row for each segment: words with exact counts, and the filter of its words and pairs. Rows come by segment."""
     at, held, waiting = None, {0: ([], []), 1: ([], [])}, 0
 
     def merge() -> None:
@@ -173,7 +173,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge()
         empty = (np.empty(0, np.uint64), np.empty(0, np.int64))
         (words, n), (pairs, m) = ((held[k][0][0], held[k][1][0]) if held[k][0] else empty for k in (0, 1))
-        bits = _build(pairs[m >= PAIR_CUTOFF], m[m >= PAIR_CUTOFF])
+        bits = _build(np.concatenate([words, pairs[m >= PAIR_CUTOFF]]), np.concatenate([n, m[m >= PAIR_CUTOFF]]))
         cell = lambda a: pa.array([a], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), cell(words.view(np.int64)), cell(n), pa.array([bits.tobytes()], pa.binary())], ["segment", "words", "counts", "bits"])
 
@@ -194,12 +194,12 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _head(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of each segment the words with at least that count, their counts and their filter."""
+    """Of each segment the words with at least that count, and their counts."""
     for batch in batches:
-        for segment, words, counts in zip(batch.column("segment"), batch.column("words"), batch.column("counts"), strict=True):
+        for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
             w, c = words.values.to_numpy().view(np.uint64), counts.values.to_numpy()
             w, c = w[c >= least], c[c >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([segment.as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (w, c, _build(w, c)))], ["segment", "words", "counts", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w, c)], ["words", "counts"])
 
 
 @dataclass
@@ -219,12 +219,9 @@ class Filter:
             at += len(b)
         return Filter(segments, offset, size, np.frombuffer(b"".join(parts.values()) or b"\0", np.uint8))
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        return self.offset[_segment(keys, self.segments)] >= 0
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each key, 0 where it isn't a member; keys of other segments too get 0."""
-        level = np.zeros(len(keys), np.int64)
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key, 0 where it isn't a member; keys of other segments too get 0."""
+        level = np.zeros(len(keys), np.uint8)
         s = _segment(keys, self.segments)
         left = np.flatnonzero(self.offset[s] >= 0)
         j = 1
@@ -235,22 +232,29 @@ class Filter:
                 left = left[(self.bits[self.offset[own] + (b >> _U(3)).astype(np.int64)] >> (b & _U(7)).astype(np.uint8)) & 1 == 1]
             level[left] = j
             j += 1
-        return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
+        return level
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised count of each key."""
+        return _least(self.level(keys))
+
+
+def _least(level: np.ndarray) -> np.ndarray:
+    """The least count of each level, 0 for level 0."""
+    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
 
 
 @dataclass
 class Model:
-    pairs: Filter | None
-    words: Filter
+    filter: Filter | None
     head: np.ndarray  # hashes of the frequent words, sorted
     counts: np.ndarray
     space: float  # N + 0.5 (V + 1)
-    weights: np.ndarray  # of a pair's share, by the size of the count before it
 
 
 @dataclass
 class Chunk:
-    """Some texts as tokens, with what is known of their words."""
+    """Some texts as tokens, with what is known of their frequent words."""
 
     rows: list
     words: np.ndarray  # hashes of the distinct words
@@ -258,7 +262,6 @@ class Chunk:
     starts: np.ndarray
     known: np.ndarray  # whether a word is frequent
     exact: np.ndarray  # its count, 0 if it isn't
-    rough: np.ndarray  # its quantised count
 
     @staticmethod
     def of(model: Model, rows: list, texts: list[bytes]) -> Chunk:
@@ -266,18 +269,24 @@ class Chunk:
         at = np.minimum(np.searchsorted(model.head, words), max(0, len(model.head) - 1))
         known = model.head[at] == words if len(model.head) else np.zeros(len(words), bool)
         exact = np.where(known, model.counts[at] if len(model.head) else 0, 0)
-        return Chunk(rows, words, tokens, starts, known, exact, np.where(known, model.words.count(words), 0))
+        return Chunk(rows, words, tokens, starts, known, exact)
 
     def pairs(self) -> np.ndarray:
         flat = self.words[self.tokens]
         return pair_hash(_before(flat, self.starts), flat)
 
-    def contexts(self, c_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the token before and of the token, for each token; at least that of the pair."""
-        own = self.rough[self.tokens]
-        before = np.concatenate(([0.0], own[:-1]))
-        before[self.starts] = self.rough[0]  # as many texts begin as end
-        return np.maximum(before, c_pair), np.maximum(own, c_pair)
+    def codes(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Of each token the levels of its pair, of the word before and of its word, the latter at least the pair's; by levels of the words and of the tokens' pairs."""
+        own = word[self.tokens]
+        before = np.concatenate((own[:1], own[:-1]))
+        before[self.starts] = word[0]  # as many texts begin as end
+        pair = pair.astype(np.int32)
+        return pair << 14 | np.maximum(before, pair) << 7 | np.maximum(own, pair)
+
+
+def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised counts of the pair, the word before and the word."""
+    return _least(codes >> 14), _least(codes >> 7 & 127), _least(codes & 127)
 
 
 def _context(count: np.ndarray) -> np.ndarray:
@@ -288,74 +297,89 @@ def _context(count: np.ndarray) -> np.ndarray:
 GRID = np.linspace(0, 0.95, 20)
 
 
-def _fit(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Log-likelihood by class of context and weight, each token left out of its counts; over the pairs whose segment is in the filter."""
-    model: Model = sent.value
-    sums = np.zeros((4, len(GRID)))
-    for _, texts in _texts(batches, CHUNK):
-        chunk = Chunk.of(model, [], texts)
-        pair = chunk.pairs()
-        c_pair, here = model.pairs.count(pair), model.pairs.has(pair)
-        c_before, c_own = chunk.contexts(c_pair)
-        kind = _context(c_before)
-        share = np.minimum(1, np.maximum(c_pair - 1, 0) / np.maximum(c_before - 1, 1))
-        base = (np.maximum(c_own - 1, 0) + 0.5) / model.space
-        for k in range(4):
-            m = here & (kind == k)
-            sums[k] += [np.log10(a * share[m] + (1 - a) * base[m]).sum() for a in GRID]
-    yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
-
-
-def _sums(chunk: Chunk, c_pair: np.ndarray, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
-    """Per text what frequent words add to both scores, and the rare words with what they are needed for: 1 base score, 3 both."""
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each code occurs in a batch."""
+    for batch in batches:
+        n = np.bincount(batch.column("codes").flatten().to_numpy())
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["code", "n"])
+
+
+def _fit(codes: np.ndarray, n: np.ndarray, space: float) -> np.ndarray:
+    """The likeliest weight of a pair's share for each class of context, each token left out of its counts."""
+    c_pair, c_before, c_own = _counts(codes)
+    kind = _context(c_before)
+    share = np.minimum(1, np.maximum(c_pair - 1, 0) / np.maximum(c_before - 1, 1))
+    base = (np.maximum(c_own - 1, 0) + 0.5) / space
+    return np.array([GRID[np.argmax([(n * np.log10(a * share + (1 - a) * base))[kind == k].sum() for a in GRID])] for k in range(4)])
+
+
+def _finish(batches: Iterator[pa.RecordBatch], weights: np.ndarray, space: float) -> Iterator[pa.RecordBatch]:
+    """Adds to each text's score what its codes say. A token of unknown pair has the factor (1 - a) there, the rest stands elsewhere."""
+    for batch in batches:
+        at = batch.schema.get_field_index("codes")
+        lists = batch.column(at)
+        codes = lists.flatten().to_numpy()
+        used = np.flatnonzero(np.bincount(codes))
+        c_pair, c_before, c_own = _counts(used)
+        a = weights[_context(c_before)]
+        term = np.zeros(int(used[-1]) + 1 if len(used) else 0)
+        term[used] = np.log10(a * np.minimum(1, c_pair / np.maximum(c_before, 1)) + (1 - a) * np.where(c_pair > 0, (c_own + 0.5) / space, 1))
+        offsets = lists.offsets.to_numpy()
+        sums = np.add.reduceat(term[codes], offsets[:-1] - offsets[0]) if len(codes) else np.empty(0)  # no text is without a token
+        rest = batch.remove_column(at)
+        k = rest.schema.get_field_index("score")
+        yield rest.set_column(k, "score", pa.array(rest.column(k).to_numpy() + sums))
+
+
+def _sums(chunk: Chunk, word: np.ndarray, pair: np.ndarray, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
+    """Per text its codes, what frequent words add to both scores, and the rare words with what they are needed for: 1 base score, 3 both."""
     starts, tokens = chunk.starts, chunk.tokens
     known, exact = chunk.known[tokens], chunk.exact[tokens]
-    c_before, c_own = chunk.contexts(c_pair)
-    a = model.weights[_context(c_before)]
-    rest = ~known & (c_pair == 0)  # its probability is (1 - a) times that of the base score
-    p = a * np.minimum(1, c_pair / np.maximum(c_before, 1)) + (1 - a) * np.where(rest, 1, (c_own + 0.5) / model.space)
-    score = np.add.reduceat(np.log10(p), starts)
-    base = np.add.reduceat(np.where(known, np.log10((exact + 0.5) / model.space), 0), starts)
+    term = np.where(known, np.log10((exact + 0.5) / model.space), 0)
+    base = np.add.reduceat(term, starts)
+    score = np.add.reduceat(np.where(pair == 0, term, 0), starts)
     some = np.flatnonzero(~known)
     cuts = np.append(np.searchsorted(some, starts), len(some)).astype(np.int32)
     rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(chunk.words[tokens[some]].view(np.int64)))
-    needs = pa.ListArray.from_arrays(pa.array(cuts), pa.array((1 + 2 * rest[some]).astype(np.int8)))
-    size = np.diff(np.append(starts, len(tokens)))
+    needs = pa.ListArray.from_arrays(pa.array(cuts), pa.array((1 + 2 * (pair[some] == 0)).astype(np.int8)))
+    ends = np.append(starts, len(tokens)).astype(np.int32)
+    codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(chunk.codes(word, pair).astype(np.int32)))
     row, ids, held = zip(*chunk.rows, strict=True)
-    columns = [pa.array(row, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), rare, needs]
-    return pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "need"])
+    columns = [pa.array(row, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), codes, rare, needs]
+    return pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "codes", "rare", "need"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """With a filter that holds all pairs."""
+    """With a filter that is whole."""
     model: Model = sent.value
     for rows, texts in _texts(batches, CHUNK // 2):
         chunk = Chunk.of(model, rows, texts)
-        yield _sums(chunk, model.pairs.count(chunk.pairs()), model, id_type)
+        yield _sums(chunk, model.filter.level(chunk.words), model.filter.level(chunk.pairs()), model, id_type)
 
 
 # with a filter that goes out in groups of segments: each group answers the probes of its own segments, of all chunks
 
 
 def _probe(batches: Iterator[pa.RecordBatch], sent, bounds: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk its tokens (part -1), and for each group the distinct pairs that fall to it. ``bounds``: first segment of each group but the first."""
+    """Of each chunk its tokens (part -1), and for each group the distinct words and pairs that fall to it. ``bounds``: first segment of each group but the first."""
     model: Model = sent.value
     number = TaskContext.get().partitionId() << 32
     for rows, texts in _texts(batches, CHUNK // 2):
         chunk = Chunk.of(model, rows, texts)
-        pairs, place = np.unique(chunk.pairs(), return_inverse=True)
-        group = np.searchsorted(bounds, _segment(pairs, segments), "right")
+        keys, place = np.unique(np.concatenate([chunk.words, chunk.pairs()]), return_inverse=True)
+        group = np.searchsorted(bounds, _segment(keys, segments), "right")
         cuts = np.searchsorted(group, np.arange(len(bounds) + 2))
-        parts = [(-1, pickle.dumps((chunk, place.astype(np.int32))))] + [(g, pairs[a:b].tobytes()) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        parts = [(-1, pickle.dumps((chunk, place.astype(np.int32))))] + [(g, keys[a:b].tobytes()) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(parts), pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], ["chunk", "part", "data"])
         number += 1
 
 
 def _answer(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Quantised counts of the pairs that a group is asked for."""
-    pairs: Filter = sent.value
+    """Levels of the words and pairs that a group is asked for."""
+    own: Filter = sent.value
     for batch in batches:
-        data = [pairs.count(np.frombuffer(d.as_py(), np.uint64)).astype(np.float32).tobytes() for d in batch.column("data")]
+        data = [own.level(np.frombuffer(d.as_py(), np.uint64)).tobytes() for d in batch.column("data")]
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("part"), pa.array(data, pa.binary())], ["chunk", "part", "data"])
 
 
@@ -366,8 +390,8 @@ def _join(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iter
 
     def close() -> pa.RecordBatch:
         chunk, place = pickle.loads(parts[0])
-        counts = np.frombuffer(b"".join(parts[1:]), np.float32).astype(np.float64)
-        return _sums(chunk, counts[place], model, id_type)
+        level = np.frombuffer(b"".join(parts[1:]), np.uint8)[place]
+        return _sums(chunk, level[: len(chunk.words)], level[len(chunk.words) :], model, id_type)
 
     for batch in batches:
         for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
@@ -401,10 +425,9 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         if above > head_words:
             break
         least = r["c"]
-    heads = table.mapInArrow(lambda it: _head(it, least), "segment int, words binary, counts binary, bits binary").collect()  # head_words words at most
+    heads = table.mapInArrow(lambda it: _head(it, least), "words binary, counts binary").collect()  # head_words words at most
     head, counts = (np.concatenate([np.frombuffer(bytes(h[k]), t) for h in heads] or [np.empty(0, t)]) for k, t in (("words", np.uint64), ("counts", np.int64)))
     order = np.argsort(head)
-    words = Filter.of({h["segment"]: bytes(h["bits"]) for h in heads}, segments)
     space = total + 0.5 * (distinct + 1)
 
     groups: list[list[int]] = [[]]
@@ -416,26 +439,17 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         groups[-1].append(k)
         held += n
     load = lambda group: Filter.of({k: bytes(b) for k, b in table.where(F.col("segment").between(group[0], group[-1])).select("segment", "bits").collect()}, segments)  # noqa: E731  group_bytes at most
-    model = Model(None, words, head[order], counts[order], space, np.zeros(4))
-    luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_docs / max(1, n_docs)) * (1 << 20)
+    model = Model(None, head[order], counts[order], space)
     send = spark.sparkContext.broadcast
-    sample = materialize(train.where(luck).select("text"), "lm-sample")  # fit_docs texts, about
-    sums = np.zeros(4 * len(GRID))
-    for group in groups:  # each token counts once, with the group that its pair falls to
-        model.pairs = load(group) if group else Filter.of({}, segments)
-        sent = send(model)
-        sums += sum(np.array(r["sums"]) for r in sample.mapInArrow(lambda it, sent=sent: _fit(it, sent), "sums array<double>").collect())
-        sent.unpersist()
-    model.weights = GRID[sums.reshape(4, -1).argmax(1)]
     schema = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
-        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("need", T.ArrayType(T.ByteType()))]
+        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("need", T.ArrayType(T.ByteType()))]
     )
     if len(groups) == 1:
+        model.filter = load(groups[0]) if groups[0] else Filter.of({}, segments)
         sent = send(model)
         scored = materialize(rows.mapInArrow(lambda it: _score(it, sent, id_type), schema), "lm-scored")
     else:
-        model.pairs = None
         sent = send(model)
         bounds = np.array([g[0] for g in groups[1:]])
         path = scratch(spark, "lm-probes")
@@ -451,6 +465,9 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         scored = materialize(together.mapInArrow(lambda it: _join(it, sent, id_type), schema), "lm-scored")
     sent.unpersist()
     reclaim(spark)
+    luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_docs / max(1, n_docs)) * (1 << 20)
+    seen = scored.where(~F.col("held_out")).where(luck).select("codes").mapInArrow(_tally, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # triples of levels, some thousand
+    weights = _fit(np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64), space)
     needed = scored.select("row", F.explode(F.arrays_zip("rare", "need")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.need").alias("need"))
     rare = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c")).where(F.col("c") < least)
     c = F.coalesce("c", F.lit(0))
@@ -458,5 +475,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     base_needs, score_needs = F.col("need") % 2 == 1, F.col("need") >= 2
     added = needed.join(rare, "word", "left").groupBy("row").agg(F.sum(F.when(base_needs, term)).alias("base2"), F.sum(F.when(score_needs, term)).alias("score2"), F.sum(F.when(base_needs & (c > 0), 1)).alias("known2"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    joined = scored.drop("rare", "need").join(added, "row", "left")
+    light = scored.drop("rare", "need")
+    summed = light.mapInArrow(lambda it: _finish(it, weights, space), T.StructType([f for f in light.schema if f.name != "codes"]))
+    joined = summed.join(added, "row", "left")
     return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "known2").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), plus("score", "score2").alias("score"))

@@ -59,3 +59,11 @@ def test_empty(docs_of):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     (row,) = lm.score(docs_of([(held, "a b", "en", "s")])).collect()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0) and math.isfinite(row["score"])
+
+
+def test_score_does_not_depend_on_the_head(docs_of):
+    """The context counts of words outside the head are those inside it; ``often`` is seen 40 times and twice before ``x``."""
+    rows = [(k, f"often {'x' if k < 3 else f'y{k}'} alpha beta gamma{k % 5} w{k // 2}", "en", "s") for k in range(60)]
+    for group_bytes in (1 << 20, 8):
+        by = [{r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), head_words=n, group_bytes=group_bytes).collect()} for n in (1 << 20, 3)]
+        assert all(abs(by[0][k] - other[k]) < 1e-9 for other in by[1:] for k in by[0])
