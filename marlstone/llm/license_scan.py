@@ -21,24 +21,14 @@ from ..functions.spread import spread
 from .common import bound_batches
 from .license_tables import GRANT, LATER, NAMES, NEUTRAL, RULES, SENTENCES
 
-#: A text without any of these, in lower case, has no known sentence.
-_TRIGGERS = (
-    *"licen copyright permission warrant redistribut spdx unencumbered liable apache".split(),
-    *("public domain", "rights reserved", "free software", "free to copy", "gnu ", "mozilla public", "creative commons"),
-    *(f"under {the}{name}" for the in ("", "the ") for name in "mit isc bsd cc gpl lgpl agpl mpl epl zlib boost expat wtfpl asl eclipse simplified".split()),
-)
-_SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n|:\s*\n")
+#: ``v. 2.0`` is one word of a name, not the end of a sentence.
+_SENTENCE = re.compile(r"(?<=[.!?;])(?!(?<=\b[vV]\.)\s+\d)\s+|\n\s*\n|:\s*\n")
 _NUMBER = re.compile(r"\W*\w{0,3}\W*")
 _TAG = re.compile(r"spdx-license-identifier:\s*([\w.+()-]+(?: (?:or|and|with) [\w.+()-]+)*)", re.I)
 _NOISE = re.compile(r"[^a-z0-9]+")
 _MARKS = re.compile(r"^[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--)[ \t]*", re.M)
 
 
-def _may(text: str) -> bool:
-    low = text.lower()
-    return any(t in low for t in _TRIGGERS)
-
-
 def normalise(sentence: str) -> str:
     return _NOISE.sub(" ", sentence.translate(_LOWER)).replace("licence", "license").strip()
 
@@ -47,20 +37,24 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @cache
-def _patterns() -> tuple[re.Pattern, list[tuple[re.Pattern, str]], re.Pattern]:
-    """Names of licences (a group for each), sentences with gaps (over words, each before a blank), copyright lines."""
+def _patterns() -> tuple[re.Pattern, list[tuple[str, re.Pattern, str]], re.Pattern]:
+    """Names of licences (a group for each), sentences with gaps (over words, each before a blank) after the longest literal they need, copyright lines."""
     names = re.compile("|".join(rf"(?P<n{k}>\b(?:{re.sub('[?]P<[a-f]>', '?:', p)})\b)" for k, p in enumerate(NAMES.values())))
     gap = lambda s: "".join(r"(?:\S+ ){0,12}?" if w == "*" else re.escape(w) + " " for w in s.split())
-    return names, [(re.compile(gap(s)), k) for k, s in SENTENCES.items() if "*" in s], re.compile(r"(?:copyright|c) (?:copyright |c )*\d{4}.*|copyright .{0,80}|portions copyright .*")
+    need = lambda s: max((x.strip() for x in s.split("*")), key=len)
+    return names, [(need(s), re.compile(gap(s)), k) for k, s in SENTENCES.items() if "*" in s], re.compile(r"(?:copyright|c) (?:copyright |c )*\d{4}.*|copyright .{0,80}|portions copyright .*")
 
 
+_GRANT = re.compile(GRANT)
 _GRANT_END = re.compile(GRANT + r"\Z")
+#: The words that grants begin with.
+_VERBS = re.search(r"\(\?:(.*?)\)", GRANT)[1].split("|")
 
 
 def _grant(sentence: str) -> str | None:
     """The licence by whose name a sentence grants, or whose title it is."""
-    if " not " in sentence:
-        return None
+    if "license" not in sentence and not (any(v in sentence for v in _VERBS) and _GRANT.search(sentence)) or " not " in sentence:
+        return None  # neither a title nor a grant
     for m in _patterns()[0].finditer(sentence):
         title = m.start() == (4 if sentence.startswith("the ") else 0) and sentence[m.end() :] in ("", " license") and "license" in sentence
         if title or _GRANT_END.search(sentence, max(0, m.start() - 120), m.start()):
@@ -78,7 +72,7 @@ def identify(sentence: str) -> str | None:
     if known:
         return known
     _, gaps, owner = _patterns()
-    return next((k for p, k in gaps if p.fullmatch(sentence + " ")), "copyright" if owner.fullmatch(sentence) else None)
+    return next((k for need, p, k in gaps if need in sentence and p.fullmatch(sentence + " ")), "copyright" if owner.fullmatch(sentence) else None)
 
 
 @cache
@@ -90,9 +84,7 @@ def sequence(text: str) -> list[str | None]:
     """Identifiers of the sentences, None for unknown ones; an SPDX tag gives ``spdx:`` and its expression."""
     out: list[str | None] = []
     for part in _SENTENCE.split(_MARKS.sub("", text)):
-        if not _may(part):
-            if not _NUMBER.fullmatch(part):  # numbers of list items are no sentences
-                out.append(None)
+        if _NUMBER.fullmatch(part):  # numbers of list items are no sentences
             continue
         if tag := _TAG.search(part):
             out.append("spdx:" + " ".join(tag[1].split()))
@@ -147,7 +139,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, ids, names = [], [], []
         for t in batch.column("text"):
             text = t.as_py()
-            found = sequence(text) if text and _may(text) else []
+            found = sequence(text) if text else []
             known = [x for x in found if x]
             n.append(len(known))
             ids.append(",".join(known))

@@ -1,9 +1,11 @@
+import itertools
+import re
 import time
 
 import pytest
 
 from marlstone.llm.license_scan import licences, scan, sequence
-from marlstone.llm.license_tables import SENTENCES
+from marlstone.llm.license_tables import GRANT, NAMES, SENTENCES
 
 MIT = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + ". ".join(SENTENCES[k].upper() for k in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")) + "."
 BSD = "Copyright 2019, X.\nAll rights reserved.\n\n" + f"{SENTENCES['bsd-grant']}:\n\n1. {SENTENCES['bsd-source'][2:]}.\n2. {SENTENCES['bsd-binary'][2:]}.\n"
@@ -43,3 +45,49 @@ def test_table(docs_of):
         assert r["licenses"] == ("" if r["doc_id"] is None else ",".join(texts[r["doc_id"]]))
         assert r["licensed"] == bool(r["licenses"])
     assert scan(docs_of([])).collect() == []
+
+
+def forms(pattern):
+    """All strings that a pattern of literals, groups, alternatives, ``?`` and small sets matches."""
+
+    def each(items):
+        return ["".join(x) for x in itertools.product(*(one(*i) for i in items))]
+
+    def one(op, arg):
+        match str(op):
+            case "LITERAL":
+                return [chr(arg)]
+            case "AT":
+                return [""]
+            case "IN":
+                return [chr(c) for kind, v in arg for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])]
+            case "SUBPATTERN":
+                return each(arg[3])
+            case "BRANCH":
+                return [x for b in arg[1] for x in each(b)]
+            case "MAX_REPEAT":
+                return ["", *each(arg[2])]
+        raise ValueError(op)
+
+    return each(re._parser.parse(pattern))
+
+
+@pytest.mark.parametrize("key", SENTENCES)
+def test_each_sentence_is_found_in_running_text(key):
+    said = SENTENCES[key].replace("*", "some words").capitalize()
+    assert sequence(f"Some text before it. {said}. Then other words.") == [None, key, None]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_each_grant_is_found_in_running_text(blank):
+    said = [(g + "Expat", "MIT") for g in forms(GRANT)] + [("Released under " + n, k) for k, p in NAMES.items() for n in forms(p)]
+    for words, name in said:
+        first, found, last = sequence(f"Some text before it. This is {re.sub(' +', blank, words)}. Then other words.")
+        assert first is last is None and found and found.startswith(f"grant:{name}"), words
+
+
+def test_headers_as_they_are_written():
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    assert sequence(mpl)[:2] == ["mpl2-subject", "mpl2-copy"] and licences(sequence(mpl)) == ["MPL-2.0"]
+    for text, name in {"Distributed under the terms of the GPL v3.": "GPL-3.0", "This code is covered by the GPL 3.": "GPL-3.0", "Released under the 3-clause BSD.": "BSD-3-Clause", "Released under\nMIT.": "MIT"}.items():
+        assert licences(sequence(text))[0].startswith(name), text
