@@ -4,8 +4,7 @@ Counting. Scan tasks count words and pairs of neighbouring words (64-bit hashes)
 segment of the hash space two packed arrays; owner tasks add them up. Counts are over all training texts.
 
 Filter. A count c is quantised to the level 1 + floor(log_BASE c); level j of an n-gram is a member for each j up to
-that. Each segment is a Bloom filter of its own. It holds all words, and pairs from ``PAIR_CUTOFF`` (the usual
-cut-off: most pairs occur once and say nothing that the word's own count does not). A level is read by repeated probes, until one fails.
+that. Each segment is a Bloom filter of its own. It holds all words and all pairs. A level is read by repeated probes, until one fails.
 A filter of at most ``GROUP_BYTES`` goes to the workers whole. A larger one goes out in
 groups of segments: the texts' words and pairs are written once, dealt by group, each group answers its own, and the answers meet the texts
 again by chunk. That takes time in proportion to the texts, whatever the number of groups.
@@ -39,7 +38,6 @@ from .common import materialize, partitions, reclaim, scratch, utf8
 from .langid import held_out
 
 BASE = 1.5
-PAIR_CUTOFF = 2
 BITS = 9
 PROBES = 3
 GROUP_BYTES = 64 << 20
@@ -110,6 +108,17 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
         yield rows, texts
 
 
+def _pack(a: np.ndarray) -> tuple[str, int, bytes]:
+    """An array by planes of bytes, compressed: upper bytes are mostly 0."""
+    return a.dtype.str, len(a), pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(kind: str, n: int, data: bytes) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
     for _, texts in _texts(batches, CHUNK):
         words, tokens, starts = _tokens(texts)
@@ -121,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Reco
             keys, counts = keys[order], counts[order].astype(np.uint32)
             segment = _segment(keys, segments)
             cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(keys))
-            out += [(int(segment[a]), kind, keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out += [(int(segment[a]), kind, pickle.dumps(_pack(np.diff(keys[a:b], prepend=_U(0)))), pickle.dumps(_pack(counts[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["segment", "kind", "keys", "counts"])
 
 
@@ -173,7 +182,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge()
         empty = (np.empty(0, np.uint64), np.empty(0, np.int64))
         (words, n), (pairs, m) = ((held[k][0][0], held[k][1][0]) if held[k][0] else empty for k in (0, 1))
-        bits = _build(np.concatenate([words, pairs[m >= PAIR_CUTOFF]]), np.concatenate([n, m[m >= PAIR_CUTOFF]]))
+        bits = _build(np.concatenate([words, pairs]), np.concatenate([n, m]))
         cell = lambda a: pa.array([a], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), cell(words.view(np.int64)), cell(n), pa.array([bits.tobytes()], pa.binary())], ["segment", "words", "counts", "bits"])
 
@@ -183,9 +192,9 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at is not None:
                     yield close()
                 at, held, waiting = segment, {0: ([], []), 1: ([], [])}, 0
-            held[kind][0].append(np.frombuffer(keys, np.uint64))
-            held[kind][1].append(np.frombuffer(counts, np.uint32).astype(np.int64))
-            waiting += len(keys)
+            held[kind][0].append(np.cumsum(_unpack(*pickle.loads(keys)), dtype=np.uint64))
+            held[kind][1].append(_unpack(*pickle.loads(counts)).astype(np.int64))
+            waiting += held[kind][0][-1].nbytes
             if waiting > 64 << 20:
                 merge()
                 waiting = 0
@@ -254,22 +263,20 @@ class Model:
 
 @dataclass
 class Chunk:
-    """Some texts as tokens, with what is known of their frequent words."""
+    """Some texts as tokens."""
 
     rows: list
     words: np.ndarray  # hashes of the distinct words
     tokens: np.ndarray
     starts: np.ndarray
-    known: np.ndarray  # whether a word is frequent
-    exact: np.ndarray  # its count, 0 if it isn't
 
     @staticmethod
-    def of(model: Model, rows: list, texts: list[bytes]) -> Chunk:
-        words, tokens, starts = _tokens(texts)
-        at = np.minimum(np.searchsorted(model.head, words), max(0, len(model.head) - 1))
-        known = model.head[at] == words if len(model.head) else np.zeros(len(words), bool)
-        exact = np.where(known, model.counts[at] if len(model.head) else 0, 0)
-        return Chunk(rows, words, tokens, starts, known, exact)
+    def of(rows: list, texts: list[bytes]) -> Chunk:
+        return Chunk(rows, *_tokens(texts))
+
+    def keys(self) -> np.ndarray:
+        """Hashes of the distinct words and of the pair of each token."""
+        return np.concatenate([self.words, self.pairs()])
 
     def pairs(self) -> np.ndarray:
         flat = self.words[self.tokens]
@@ -335,7 +342,9 @@ def _finish(batches: Iterator[pa.RecordBatch], weights: np.ndarray, space: float
 def _sums(chunk: Chunk, word: np.ndarray, pair: np.ndarray, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
     """Per text its codes, what frequent words add to both scores, and the rare words with what they are needed for: 1 base score, 3 both."""
     starts, tokens = chunk.starts, chunk.tokens
-    known, exact = chunk.known[tokens], chunk.exact[tokens]
+    at = np.minimum(np.searchsorted(model.head, chunk.words), max(0, len(model.head) - 1))
+    frequent = model.head[at] == chunk.words if len(model.head) else np.zeros(len(chunk.words), bool)
+    known, exact = frequent[tokens], np.where(frequent, model.counts[at] if len(model.head) else 0, 0)[tokens]
     term = np.where(known, np.log10((exact + 0.5) / model.space), 0)
     base = np.add.reduceat(term, starts)
     score = np.add.reduceat(np.where(pair == 0, term, 0), starts)
@@ -354,23 +363,23 @@ def _score(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Ite
     """With a filter that is whole."""
     model: Model = sent.value
     for rows, texts in _texts(batches, CHUNK // 2):
-        chunk = Chunk.of(model, rows, texts)
+        chunk = Chunk.of(rows, texts)
         yield _sums(chunk, model.filter.level(chunk.words), model.filter.level(chunk.pairs()), model, id_type)
 
 
 # with a filter that goes out in groups of segments: each group answers the probes of its own segments, of all chunks
 
 
-def _probe(batches: Iterator[pa.RecordBatch], sent, bounds: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk its tokens (part -1), and for each group the distinct words and pairs that fall to it. ``bounds``: first segment of each group but the first."""
-    model: Model = sent.value
+def _probe(batches: Iterator[pa.RecordBatch], bounds: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk its tokens (part -1), and for each group the distinct words and pairs that fall to it, in order, as differences. ``bounds``: first segment of each group but the first."""
     number = TaskContext.get().partitionId() << 32
     for rows, texts in _texts(batches, CHUNK // 2):
-        chunk = Chunk.of(model, rows, texts)
-        keys, place = np.unique(np.concatenate([chunk.words, chunk.pairs()]), return_inverse=True)
+        chunk = Chunk.of(rows, texts)
+        keys = np.unique(chunk.keys())
         group = np.searchsorted(bounds, _segment(keys, segments), "right")
         cuts = np.searchsorted(group, np.arange(len(bounds) + 2))
-        parts = [(-1, pickle.dumps((chunk, place.astype(np.int32))))] + [(g, keys[a:b].tobytes()) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        parts = [(-1, pickle.dumps((rows, *map(_pack, (chunk.words, chunk.tokens, chunk.starts)))))]
+        parts += [(g, pickle.dumps(_pack(np.diff(keys[a:b], prepend=_U(0))))) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([number] * len(parts), pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], ["chunk", "part", "data"])
         number += 1
 
@@ -379,7 +388,7 @@ def _answer(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     """Levels of the words and pairs that a group is asked for."""
     own: Filter = sent.value
     for batch in batches:
-        data = [own.level(np.frombuffer(d.as_py(), np.uint64)).tobytes() for d in batch.column("data")]
+        data = [own.level(np.cumsum(_unpack(*pickle.loads(d.as_py())), dtype=np.uint64)).tobytes() for d in batch.column("data")]
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("part"), pa.array(data, pa.binary())], ["chunk", "part", "data"])
 
 
@@ -389,8 +398,9 @@ def _join(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iter
     at, parts = None, []
 
     def close() -> pa.RecordBatch:
-        chunk, place = pickle.loads(parts[0])
-        level = np.frombuffer(b"".join(parts[1:]), np.uint8)[place]
+        rows, *packed = pickle.loads(parts[0])
+        chunk = Chunk(rows, *(_unpack(*x) for x in packed))
+        level = np.frombuffer(b"".join(parts[1:]), np.uint8)[np.unique(chunk.keys(), return_inverse=True)[1]]
         return _sums(chunk, level[: len(chunk.words)], level[len(chunk.words) :], model, id_type)
 
     for batch in batches:
@@ -415,6 +425,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     packed = train.select("text").mapInArrow(lambda it: _count(it, segments), "segment int, kind byte, keys binary, counts binary")
     owned = packed.repartitionById(segments, F.col("segment")).sortWithinPartitions("segment").mapInArrow(_own, "segment int, words array<long>, counts array<long>, bits binary")
     table = materialize(owned, "lm-segments")
+    del packed, owned
     reclaim(spark)
 
     sizes = table.select(F.explode("counts").alias("c")).groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("tokens")).collect()  # 4096 rows at most
@@ -453,7 +464,8 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         sent = send(model)
         bounds = np.array([g[0] for g in groups[1:]])
         path = scratch(spark, "lm-probes")
-        probes = rows.mapInArrow(lambda it: _probe(it, sent, bounds, segments), _PART)
+        reclaim(spark)
+        probes = rows.mapInArrow(lambda it: _probe(it, bounds, segments), _PART)
         probes.write.option("compression", "zstd").partitionBy("part").parquet(path)
         probes = spark.read.schema(_PART).parquet(path)
         answers = probes.where("part = -1")
@@ -461,6 +473,8 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
             asked = send(load(group))
             answers = answers.unionByName(materialize(probes.where(F.col("part") == g).select("chunk", "part", "data").mapInArrow(lambda it, asked=asked: _answer(it, asked), _PART), "lm-answers"))
             asked.unpersist()
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part={g}")  # answered; frees the disk
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
         together = answers.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
         scored = materialize(together.mapInArrow(lambda it: _join(it, sent, id_type), schema), "lm-scored")
     sent.unpersist()

@@ -67,3 +67,11 @@ def test_score_does_not_depend_on_the_head(docs_of):
     for group_bytes in (1 << 20, 8):
         by = [{r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), head_words=n, group_bytes=group_bytes).collect()} for n in (1 << 20, 3)]
         assert all(abs(by[0][k] - other[k]) < 1e-9 for other in by[1:] for k in by[0])
+
+
+def test_pairs_seen_once_count(docs_of):
+    """``y`` and ``z`` are equally frequent; after ``h`` training has ``y`` once and ``z`` never."""
+    train, held = ([k for k in range(400) if (zlib.crc32(str(k).encode()) % 5 == 1) == b] for b in (False, True))
+    rows = [(k, "h x", "en", "s") for k in train[:60]] + [(train[60], "h y", "en", "s"), (train[61], "x z", "en", "s")] + [(held[0], "h y", "en", "s"), (held[1], "h z", "en", "s")]
+    found = {r["doc_id"]: r for r in lm.score(docs_of(rows)).collect()}
+    assert found[held[0]]["base_score"] == found[held[1]]["base_score"] and found[held[0]]["score"] > found[held[1]]["score"] + 0.1
