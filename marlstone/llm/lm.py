@@ -10,7 +10,7 @@ groups of segments: the texts' words and pairs are written once, dealt by group,
 again by chunk. That takes time in proportion to the texts, whatever the number of groups.
 
 Model. P(w|h) = a * c(h w) / c(h) + (1 - a) * P(w), P(w) smoothed as the base score. ``a`` depends on how frequent the
-context h is, and is fitted by leaving each token of a bounded sample of training texts out of its own counts. A word
+context h is, and is fitted by leaving each token of the training texts out of its own counts. A word
 whose pair is unknown has the factor (1 - a) and its exact probability of the base score. All else that the score takes of a token
 are three levels, of the pair, the word before and the word, written as one code; so the texts are probed once, and weights come after.
 
@@ -42,7 +42,6 @@ BITS = 9
 PROBES = 3
 GROUP_BYTES = 64 << 20
 HEAD = 1 << 20
-FIT_DOCS = 2_000
 SEGMENT_TEXT = 16 << 20
 CHUNK = 1 << 19
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -414,8 +413,8 @@ def _join(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iter
         yield close()
 
 
-def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, fit_docs: int | None = None) -> DataFrame:
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``fit_docs``: about so many training texts for the weights, not all."""
     spark = docs.sparkSession
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), held_out(docs[id_col], folds).alias("held_out"), utf8(docs[text_col]).alias("text"))
@@ -479,7 +478,8 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         scored = materialize(together.mapInArrow(lambda it: _join(it, sent, id_type), schema), "lm-scored")
     sent.unpersist()
     reclaim(spark)
-    luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_docs / max(1, n_docs)) * (1 << 20)
+    share = 1.0 if fit_docs is None else min(1.0, fit_docs / max(1, n_docs))
+    luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)
     seen = scored.where(~F.col("held_out")).where(luck).select("codes").mapInArrow(_tally, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # triples of levels, some thousand
     weights = _fit(np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64), space)
     needed = scored.select("row", F.explode(F.arrays_zip("rare", "need")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.need").alias("need"))

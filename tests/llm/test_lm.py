@@ -75,3 +75,10 @@ def test_pairs_seen_once_count(docs_of):
     rows = [(k, "h x", "en", "s") for k in train[:60]] + [(train[60], "h y", "en", "s"), (train[61], "x z", "en", "s")] + [(held[0], "h y", "en", "s"), (held[1], "h z", "en", "s")]
     found = {r["doc_id"]: r for r in lm.score(docs_of(rows)).collect()}
     assert found[held[0]]["base_score"] == found[held[1]]["base_score"] and found[held[0]]["score"] > found[held[1]]["score"] + 0.1
+
+
+def test_weights_come_from_all_training_texts(docs_of, monkeypatch):
+    seen, fit = [], lm._fit
+    monkeypatch.setattr(lm, "_fit", lambda codes, n, space: seen.append(int(n.sum())) or fit(codes, n, space))
+    (row, *_) = lm.score(docs_of([(k, f"a b{k % 9}", "en", "s") for k in range(6000)])).collect()
+    assert seen == [row["train_tokens"]]
