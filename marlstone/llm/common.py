@@ -9,9 +9,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +30,37 @@ def ascii_words(text: bytes | None) -> list[bytes]:
     return text.lower().translate(_WORD_BYTES).split() if text else []
 
 
+def ascii_blanks(text: bytes) -> bytes:
+    """The text with its ``ascii_words`` lower-cased and blanks for all else."""
+    return text.lower().translate(_WORD_BYTES)
+
+
+def word_numbers(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of texts in which blanks alone part them: the distinct words, the words of all texts as numbers of these, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string(), safe=False))
+    coded = lists.flatten().dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    distinct = coded.dictionary.cast(pa.binary())
+    real = pc.binary_length(distinct).to_numpy() > 0  # the splitter gives empty words at the ends of a text
+    ends = np.concatenate(([0], np.cumsum(real[numbers]))) if len(real) else np.zeros(1, np.int64)
+    offsets = lists.offsets.to_numpy()
+    counts = ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
+    if real.all():
+        return distinct, numbers, counts
+    renumbered = (np.cumsum(real) - 1).astype(np.int32)
+    return distinct.filter(pa.array(real)), renumbered[numbers[real[numbers]]], counts
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
 #: Bytes of an Arrow batch. Spark's own bound is 64 MB, and a batch exists several times over on its way to a task and back.
 BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on Arrow batches, so that many long texts don't meet in one."""
+    """Lower the session's bound on Arrow batches, so that many long texts don't meet in one. For applications (the registered queries, the pipeline); operators leave settings alone."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)))
     if now is None or int(now[1]) > BATCH_BYTES:
@@ -40,17 +68,22 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one is set only where none is named."""
-    bound_batches(spark)
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local master may go without: it gets a temporary folder, and the session's settings stay as they are."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        own = tempfile.mkdtemp(prefix="marlstone-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster it must be one that the driver and all executors share")
+        path = _own_folder()
     return path.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    own = tempfile.mkdtemp(prefix="marlstone-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return "file://" + own
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
@@ -105,14 +138,29 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a registered query, whose session gets the bound on Arrow batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
-    """The rows with a number each, the same in every scan. Plans that shuffle are written first, since their rows may come in another order the next time."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        df = materialize(df, name)
-    return df.withColumn(column, F.monotonically_increasing_id())
+    """The rows with a number each, written once and read back. A number made anew in each scan would follow the splits of the files, which follow the cores that are there when a job starts."""
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def row_number(row_col: str | None) -> Column:
+    """The caller's column of stable row numbers, else numbers that hold for a single scan."""
+    return F.monotonically_increasing_id() if row_col is None else F.col(quoted(row_col)).cast("long")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sorted_unique(a: np.ndarray) -> np.ndarray:
+    """As np.unique, by sorting: on random integers many times faster than its hash table."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -151,23 +199,45 @@ def _filter_bit(keys: np.ndarray, bits: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) % np.uint64(bits)
 
 
-def filter_of(keys: DataFrame, most_bits: int) -> bytes:
-    """One-probe Bloom filter of a column of longs, of ``most_bits`` bits at most. It only spares work: what it lets through is joined exactly."""
-    bits = 1 << max(10, min(most_bits.bit_length() - 1, (keys.count() * 16).bit_length()))
+def filter_of(keys: DataFrame, most_bits: int) -> bytes | None:
+    """One-probe Bloom filter of a column of longs, or None where one of ``most_bits`` bits would be too full to spare work. It only spares work: what it lets through is joined exactly.
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits // 8, np.uint8)
+    Each task fills a range of the bits, for a million keys or so; the driver gets every range once.
+    """
+    n = keys.count()
+    if n * 4 > most_bits:
+        return None
+    bits = 1 << max(10, min(most_bits.bit_length() - 1, (n * 16).bit_length()))
+    ranges = 1 << max(0, min(bits.bit_length() - 11, (n >> 20).bit_length()))
+    width = bits // ranges
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = _filter_bit(batch.column(0).to_numpy(), bits)
-            np.bitwise_or.at(out, (b >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (b & np.uint64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
-
-    parts = keys.coalesce(8).mapInArrow(fill, "bits binary").collect()  # 8 filters
-    return np.bitwise_or.reduce([np.frombuffer(bytes(p["bits"]), np.uint8) for p in parts] or [np.zeros(bits // 8, np.uint8)]).tobytes()
-
+            b = _filter_bit(batch.column(0).to_numpy(), bits).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((b // width).astype(np.int32)), pa.array(b % width)], ["part", "bit"])
 
-def filter_has(bits: bytes, keys: np.ndarray) -> np.ndarray:
-    """Which keys may be in a filter."""
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = (batch.column(c).to_numpy() for c in ("part", "bit"))
+            for k in sorted_unique(part).tolist():
+                own = found.setdefault(k, np.zeros(width // 8, np.uint8))
+                b = bit[part == k]
+                np.bitwise_or.at(own, b >> 3, np.uint8(1) << (b & 7).astype(np.uint8))
+        for k, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
+
+    placed = keys.mapInArrow(place, "part int, bit long").repartition(ranges, "part")
+    out = np.zeros(bits // 8, np.uint8)
+    for part, own in placed.mapInArrow(fill, "part int, bits binary").collect():  # most_bits in all
+        out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bytes(own), np.uint8)
+    return out.tobytes()
+
+
+def filter_has(bits: bytes | None, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a filter; all where there is none."""
+    if bits is None:
+        return np.ones(len(keys), bool)
     table = np.frombuffer(bits, np.uint8)
     b = _filter_bit(keys, len(bits) * 8)
     return (table[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from ..functions.spread import spread
 from . import html_pages
-from .common import bound_batches
 
 TRAINING_PAGES = 1500
 #: Fixed values of the HTML standard: elements by their role in parsing.
@@ -310,7 +309,6 @@ def _extract(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
     """Per page: id, url, text, n_chars."""
-    bound_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())  # some hundred features
     rows = spread(pages).select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, few, filter_has, filter_of, materialize, numbered, partitions, reclaim, utf8
+from .common import ascii_words, components, few, filter_has, filter_of, materialize, numbered, partitions, reclaim, row_number, sorted_unique, utf8
 
 SIGNATURE = 64
 LIMIT = 4096
@@ -69,7 +69,7 @@ def shingles(text: bytes, n: int, hashes: _Hashes) -> np.ndarray:
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         s = _mix(s ^ h[k : len(h) - n + 1 + k]) * _U(0x9E3779B97F4A7C15)
-    return np.unique(s)
+    return sorted_unique(s)
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
@@ -212,13 +212,14 @@ def _sets(batches: Iterator[pa.RecordBatch], sent, n: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(sets, pa.binary())], ["rep", "set"])
 
 
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """Per document: row (its number), id, class_id (least id of its component), set_id (least id of equal sets), n_links (documents linked), n_classes (sets linked), first (whether it is the row that stays for its class)."""
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999, row_col: str | None = None) -> DataFrame:
+    """Per document: row (its number), id, class_id (least id of its component), set_id (least id of equal sets), n_links (documents linked), n_classes (sets linked), first (whether it is the row that stays for its class). ``row_col``: a column of row numbers that are the same in every scan; without one the texts are numbered and written once."""
     spark = docs.sparkSession
     id_field = docs.schema[id_col].dataType.simpleString()
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (2 * threshold - 1) / threshold)))
     least = max(1 / SIGNATURE, threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / SIGNATURE))
-    rows = numbered(docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text")), "join-docs")
+    rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), *([] if row_col is None else [row_number(row_col).alias("row")]))
+    rows = numbered(rows, "join-docs") if row_col is None else rows
     sketches = materialize(rows.mapInArrow(lambda it: _sketch(it, words, runs), f"row long, id {id_field}, size int, digest binary, sig binary, keys array<long>"), "join-sketches")
     classes = materialize(sketches.where("size > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("id").alias("set_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("head")), "join-classes")
 

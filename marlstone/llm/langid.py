@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spread import spread
-from .common import bound_batches
 
 FIT_DOCS = 16_000
 CELLS = 1 << 22
@@ -152,7 +151,6 @@ def _predict(batches: Iterator[pa.RecordBatch], model, extra: int) -> Iterator[p
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns ``keep`` (by name) of each row, lang_pred and score."""
-    bound_batches(docs.sparkSession)
     text, extra = docs[text_col].cast("string"), len(keep or {})
     kept = spread(docs).select(*(c.alias(k) for k, c in (keep or {}).items()), text.alias("text of the row"), letters(text).alias("has letters"))
     schema = T.StructType([*kept.schema.fields[:extra], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.spread import spread
-from .common import bound_batches
 from .license_tables import GRANT, LATER, NAMES, NEUTRAL, RULES, SENTENCES
 
 #: ``v. 2.0`` is one word of a name, not the end of a sentence.
@@ -149,7 +148,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_sentences (known ones), sentence_ids (in order), licenses (in order, each once), licensed."""
-    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = spread(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(_scan, f"id {id_type}, n_sentences long, sentence_ids string, licenses string, licensed boolean").withColumnRenamed("id", id_col)
