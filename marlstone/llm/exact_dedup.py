@@ -1,7 +1,8 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
 1. Local chains. Each scan task chains equal texts of a bounded window (by bytes and rows), comparing bytes. A text with
-   billions of copies thus reaches its owner as one entry per window.
+   billions of copies thus leaves its scan as one entry per window. Where a key has more than ``HOT`` of these, they are chained
+   once more, dealt over as many tasks as the square root of their number, and reach the owner as one entry for each of these.
 2. Directory. Entries are keyed by the first 64 bits of SHA-256. Buckets that exceed their capacity are split by the next
    bit; where a bucket is as deep as the directory, the directory doubles. It has at most ``2 ** MAX_DEPTH`` slots.
 3. Owner tasks. Each owns whole buckets, i.e. key ranges, reads their entries in key order, chains collisions and compares
@@ -9,7 +10,7 @@
 4. Rows meet the index by window entry; an entry has a bounded number of rows, so no key is hot.
 
 Nulls count as empty texts. Of equal texts the row with the largest id stays (null ids are smallest); of repeated rows
-with that id exactly one stays. An empty table gives an empty result. Other columns are not read.
+with that id exactly one stays. An empty table gives an empty result; a text longer than a window is a window by itself. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, numbered, partitions, reclaim, utf8
+from .common import materialize, partitions, reclaim, row_number, utf8
 
 WINDOW_BYTES = 16 << 20
 WINDOW_ROWS = 50_000
+#: Entries of a key that go to its owner at once.
+HOT = 1024
 #: The directory may double this often.
 MAX_DEPTH = 18
 
@@ -132,20 +135,26 @@ def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
         yield flush()
 
 
-def _own(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Chains of each key of the buckets that a task owns; rows come in the order of bucket and key."""
+def _own(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, key_type: pa.DataType = pa.int64()) -> Iterator[pa.RecordBatch]:
+    """Chains of each key of the buckets that a task owns; rows come in the order of bucket and key.
+
+    A row for each entry: the chain's largest id, the entry that has it, the size, the chain's place (link); the first entry of a chain carries its text.
+    """
+    names = ["entry", "keep_id", "keep_entry", "group_size", "link", "key", "text"]
+    types = [pa.int64(), id_type, pa.int64(), pa.int64(), pa.int32(), key_type, pa.binary()]
     out: list[tuple] = []
+    held = 0
     at = None
     chain: list[list] = []  # text, size, largest id, entry of that id, entries
 
     def close() -> None:
-        for link, (_, size, top, keep, members) in enumerate(chain):
-            out.extend((e, top, keep, size, link) for e in members)
+        nonlocal held
+        for link, (text, size, top, keep, members) in enumerate(chain):
+            out.extend((e, top, keep, size, link, at, None if k else text) for k, e in enumerate(members))
+            held += len(text)
 
     def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        types = [pa.int64(), id_type, pa.int64(), pa.int64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["entry", "keep_id", "keep_entry", "group_size", "link"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     for b in batches:
         for key, e, size, top, t in zip(*(b.column(n).to_pylist() for n in ("key", "entry", "size", "top")), b.column("text"), strict=True):
@@ -162,16 +171,27 @@ def _own(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa
                     break
             else:
                 chain.append([t, size, top, e, [e]])
-            if len(out) >= 10_000:
+            if len(out) >= 10_000 or held >= 4 << 20:
                 yield batch()
-                out = []
+                out, held = [], 0
     close()
     if out:
         yield batch()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
-    """One row per document: row (its number), id, keep_id, group_size, kept, text_sha256. ``capacity``: entries of a bucket."""
+def _parts(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """As _own, for rows whose key is (key, salt)."""
+    for batch in _own(batches, id_type, pa.struct([("key", pa.int64()), ("salt", pa.int64())])):
+        at = batch.schema.get_field_index("key")
+        yield batch.set_column(at, "key", batch.column(at).field("key"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, row_col: str | None = None, hot: int = HOT) -> DataFrame:
+    """One row per document: row (its number), id, keep_id, group_size, kept, text_sha256.
+
+    ``capacity``: entries of a bucket. ``row_col``: the caller's column of stable row numbers; else ``row`` is a number of this run. ``hot``: entries of a key
+    beyond which they are chained in two steps.
+    """
     spark = docs.sparkSession
     id_field = docs.schema[id_col].dataType
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
@@ -179,9 +199,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         [T.StructField("row", T.LongType()), T.StructField("id", id_field), T.StructField("entry", T.LongType()), T.StructField("best", T.BooleanType()), T.StructField("sha", T.BinaryType()), T.StructField("key", T.LongType())]
         + [T.StructField("head", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("top", id_field), T.StructField("text", T.BinaryType())]
     )
-    rows = numbered(docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text")), "dedup-docs")
+    rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), row_number(row_col).alias("row"))  # scanned once
     entries = materialize(rows.mapInArrow(lambda it: _local_chains(it, id_type), local), "dedup-entries")
-    heads = entries.where("head")
+    heads = entries.where("head").select("key", "entry", "size", "top", "text")
+    chained = T.StructType(
+        [T.StructField("entry", T.LongType()), T.StructField("keep_id", id_field), T.StructField("keep_entry", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("link", T.IntegerType())]
+        + [T.StructField("key", T.LongType()), T.StructField("text", T.BinaryType())]
+    )
+
+    # entries of hot keys: chained in about sqrt(n) parts first, so that no task gets more than about that many texts of a key
+    often = materialize(heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "dedup-hot")
+    chains = None
+    if not often.isEmpty():
+        salt = F.pmod(F.xxhash64("entry"), F.ceil(F.sqrt("n"))).alias("salt")
+        parts = heads.join(often, "key").select("key", "entry", "size", "top", "text", salt).repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "entry")
+        group = F.struct("key", "salt").alias("key")
+        chains = materialize(parts.select(group, "entry", "size", "top", "text").mapInArrow(lambda it: _parts(it, id_type), chained), "dedup-parts")
+        leads = chains.where("text IS NOT NULL").select("key", F.col("keep_entry").alias("entry"), F.col("group_size").alias("size"), F.col("keep_id").alias("top"), "text")
+        heads = heads.join(often, "key", "left_anti").unionByName(leads)
 
     total = heads.count()
     capacity = capacity or max(512, total >> (MAX_DEPTH - 2))
@@ -192,15 +227,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slot = F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
     slots = spark.createDataFrame(list(enumerate(directory.slots)), "slot long, bucket int")
 
-    index = T.StructType([T.StructField("entry", T.LongType()), T.StructField("keep_id", id_field), T.StructField("keep_entry", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("link", T.IntegerType())])
     owned = (
         heads.select("key", "entry", "size", "top", "text", slot.alias("slot"))
         .join(F.broadcast(slots), "slot")  # at most 2 ** MAX_DEPTH slots of 12 bytes
         .repartition(partitions(spark), "bucket")
         .sortWithinPartitions("bucket", "key", "entry")
     )
-    found = materialize(owned.select("key", "entry", "size", "top", "text").mapInArrow(lambda it: _own(it, id_type), index), "dedup-index")
+    index = owned.select("key", "entry", "size", "top", "text").mapInArrow(lambda it: _own(it, id_type), chained).drop("text")
+    found = materialize(index, "dedup-index")
+    if chains is not None:
+        of_part = chains.select(F.col("entry").alias("member"), F.col("keep_entry").alias("entry"), F.col("entry").eqNullSafe(F.col("keep_entry")).alias("own"))
+        part = of_part.join(found, "entry").select(F.col("member").alias("entry"), "keep_id", F.when(F.col("own"), F.col("keep_entry")).alias("keep_entry"), "group_size")
+        found = found.join(often.select("key"), "key", "left_anti").select("entry", "keep_id", "keep_entry", "group_size").unionByName(part)
     reclaim(spark)
 
-    kept = (F.col("keep_entry") == F.col("entry")) & F.col("best")
-    return entries.select("row", "id", "entry", "best", "sha").join(found, "entry").select("row", F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    kept = F.coalesce(F.col("keep_entry") == F.col("entry"), F.lit(False)) & F.col("best")
+    return entries.select("row", "id", "entry", "best", "sha").join(found.select("entry", "keep_id", "keep_entry", "group_size"), "entry").select("row", F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from marlstone.llm import exact_dedup as exact
 from marlstone.llm.exact_dedup import build_directory, exact_dedup
 
 
@@ -19,10 +20,11 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("capacity", [None, 2])
-def test_against_brute_force(docs_of, capacity):
+@pytest.mark.parametrize(("capacity", "hot"), [(None, 1024), (2, 1024), (2, 2)])
+def test_against_brute_force(docs_of, monkeypatch, capacity, hot):
+    monkeypatch.setattr(exact, "WINDOW_ROWS", 3)  # copies of a text in many windows
     rows = [(k, ["a", "", None, "b" * 50_000, f"t{k}", "A", "a "][k % 7]) for k in range(60)] + [(None, "a"), (None, "only null"), (59, "t59"), (3, "b" * 50_000)]
-    found = exact_dedup(docs_of([(i, t, "en", "s") for i, t in rows]), capacity=capacity).collect()
+    found = exact_dedup(docs_of([(i, t, "en", "s") for i, t in rows]), capacity=capacity, hot=hot).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found), key=str) == brute(rows)
     kept = [r for r in found if r["kept"]]
     assert len(kept) == len({t or "" for _, t in rows})  # one row of each group, repeated rows too
