@@ -1,13 +1,13 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is split by document: each shard (a bounded run of documents) is one stored row that holds, for every term of
-the benchmark, the sorted list of its positions in the shard. Terms that no benchmark item has cannot take part in a match
-and get no list. A query intersects the lists of a window's terms, each moved by the term's offset, from the term that is
+The index holds every word of every training text. It is split by document: each shard (a bounded run of documents) is one stored row that holds, for every
+term in the order of the terms' 64-bit hashes, the sorted list of its positions. It is built once, in one scan, and searched by any number of items. A
+query intersects the lists of a window's terms, each moved by the term's offset, from the term that is
 rarest in the corpus on; with ``slop`` 0 that gives exact phrases, with more it gives proximity matches, in which every
-term lies at most ``slop`` positions from its place. Since a shard holds whole documents, nothing is shuffled but the
-terms' counts. Benchmark items go to the workers in blocks of bounded size, an index and a search each.
+term lies at most ``slop`` positions from its place. Since a shard holds whole documents, no posting is shuffled, and a word that
+a third of all texts is made of has a list of bounded length in each shard. Benchmark items go to the workers in blocks of bounded size, a search each.
 
-Null or empty texts have no words and no hits. Items without words never match. Repeated items (equal ids) count once;
+Null or empty texts have no words and no hits; an empty table gives no rows, an empty benchmark no hits. A very long text is a shard by itself. Items without words never match. Repeated items (equal ids) count once;
 a null item id reads ``null``. Repeated documents each get their row. Other columns are not read.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, materialize, numbered, utf8
+from .common import ascii_blanks, ascii_words, hashes, materialize, row_number, sorted_unique, utf8, word_numbers
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -46,40 +46,60 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
     yield block
 
 
-def _shards(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The index: a row for each run of documents, with the positions of every term, by the terms' hashes in order. A gap of one position parts documents."""
     ids: list = []
     rows: list[int] = []
-    lengths: list[int] = []
-    parts: list[np.ndarray] = []
+    texts: list[bytes] = []
     held = 0
-    get = terms.get
 
     def flush() -> pa.RecordBatch:
-        starts = np.cumsum([0, *(n + 1 for n in lengths)])[:-1]
-        flat = np.full(sum(lengths) + len(lengths), -1, np.int32)
-        for s, p in zip(starts, parts, strict=True):
-            flat[s : s + len(p)] = p
-        at = np.flatnonzero(flat >= 0).astype(np.int32)
-        at = at[np.argsort(flat[at], kind="stable")]
-        found, counts = np.unique(flat[at], return_counts=True)
+        words, numbers, lengths = word_numbers(texts)
+        keys = hashes(words)
+        order = np.argsort(keys)
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        place = np.arange(len(numbers), dtype=np.uint64) + np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+        at = (np.sort(rank[numbers] << np.uint64(32) | place) & np.uint64(0xFFFFFFFF)).astype(np.int32)
         cell = lambda x, t: pa.array([x], pa.list_(t))
-        return pa.RecordBatch.from_arrays([cell(rows, pa.int64()), cell(ids, id_type), cell(lengths, pa.int32()), cell(found, pa.int32()), cell(counts, pa.int32()), cell(at, pa.int32())], ["rows", "ids", "lengths", "terms", "counts", "positions"])
+        counts = np.bincount(numbers, minlength=len(order))[order].astype(np.int32)
+        return pa.RecordBatch.from_arrays([cell(rows, pa.int64()), cell(ids, id_type), cell(lengths.astype(np.int32), pa.int32()), cell(keys[order].view(np.int64), pa.int64()), cell(counts, pa.int32()), cell(at, pa.int32())], ["rows", "ids", "lengths", "terms", "counts", "positions"])
 
     for batch in batches:
         for row, i, t in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
-            words = ascii_words(t.as_py())
+            text = t.as_py()
             rows.append(row)
             ids.append(i)
-            lengths.append(len(words))
-            parts.append(np.array([get(w, -1) for w in words], np.int32))
-            held += len(words)
-            if held >= SHARD_BYTES // 8 or len(ids) >= SHARD_DOCS:
+            texts.append(ascii_blanks(text))
+            held += len(text)
+            if held >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
                 yield flush()
-                rows, ids, lengths, parts, held = [], [], [], [], 0
+                rows, ids, texts, held = [], [], [], 0
     if ids:
         yield flush()
 
 
+def _frequency(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """How often the shards of a batch have each of some terms."""
+    wanted = sent.value
+    for batch in batches:
+        seen = np.zeros(len(wanted), np.int64)
+        for terms, counts in zip(batch.column("terms"), batch.column("counts"), strict=True):
+            own, at = _places(terms.values.to_numpy().view(np.uint64), wanted)
+            seen[own] += counts.values.to_numpy()[at]
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], ["term", "n"])
+
+
+def _places(have: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of two sorted arrays: which of ``wanted`` occur in ``have``, and where."""
+    if not len(have):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
+    found = np.flatnonzero(have[at] == wanted)
+    return found, at[found]
+
+
 def intersect(postings: dict[int, np.ndarray], plan: list[tuple[int, int]], slop: int = 0) -> np.ndarray:
     """Starts of a window in a shard. ``plan``: its (term, offset) pairs, the rarest term first."""
     term, offset = plan[0]
@@ -119,19 +139,27 @@ class Windows:
         return Windows(np.take_along_axis(all_terms, offsets, 1), offsets, np.array(sizes, np.int64), np.array(items, np.int64))
 
 
-def _search(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType, slop: int) -> Iterator[pa.RecordBatch]:
-    """Per document: words, words hit, ids of the matching items, and the hit runs as (start, end) pairs."""
-    names, texts, seen, window = sent.value
+def _search(batches: Iterator[pa.RecordBatch], sent, slop: int) -> Iterator[pa.RecordBatch]:
+    """Per document with a match: row, ids of the matching items, and the hit runs as (start, end) pairs."""
+    names, texts, wanted, seen, window = sent.value
     all_windows = Windows.of(texts, seen, window)
     for batch in batches:
-        for rows, ids, lengths, found, counts, at in zip(*(batch.column(n) for n in ("rows", "ids", "lengths", "terms", "counts", "positions")), strict=True):
-            ids, lengths = ids.as_py(), lengths.values.to_numpy()
-            at, ends = at.values.to_numpy(), np.cumsum(counts.values.to_numpy())
-            postings = dict(zip(found.values.to_numpy().tolist(), np.split(at, ends[:-1]), strict=True)) if len(ends) else {}
+        out: list[tuple[int, list[str], list[int]]] = []
+        for rows, lengths, terms, counts, at in zip(*(batch.column(n) for n in ("rows", "lengths", "terms", "counts", "positions")), strict=True):
+            own, place = _places(terms.values.to_numpy().view(np.uint64), wanted)
+            present = np.zeros(len(wanted) + 1, bool)
+            present[own] = True
+            present[-1] = True  # the filler of short windows
+            may = np.flatnonzero(present[all_windows.terms].all(1))
+            if not len(may):
+                continue
+            lengths, at = lengths.values.to_numpy(), at.values.to_numpy()
+            ends = np.concatenate(([0], np.cumsum(counts.values.to_numpy(), dtype=np.int64)))
+            postings = {k: at[ends[p] : ends[p + 1]] for k, p in zip(own.tolist(), place.tolist(), strict=True)}
             starts = np.cumsum(np.append(0, lengths + 1))
             marks = np.zeros(starts[-1] + 1, np.int32)
             items: dict[int, set[int]] = {}
-            for w in np.flatnonzero(np.isin(all_windows.terms[:, 0], found.values.to_numpy())).tolist():
+            for w in may.tolist():
                 size, item = int(all_windows.sizes[w]), int(all_windows.items[w])
                 s = intersect(postings, list(zip(all_windows.terms[w, :size].tolist(), all_windows.offsets[w, :size].tolist(), strict=True)), slop)
                 if len(s):
@@ -143,38 +171,62 @@ def _search(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType, slop:
                     for k in set(d.tolist()):
                         items.setdefault(k, set()).add(item)
             hit = np.cumsum(marks[:-1]) > 0
-            runs: list[list[int]] = [[] for _ in ids]
-            for k in items:
-                own = np.concatenate(([0], hit[starts[k] : starts[k] + lengths[k]].astype(np.int8), [0]))
-                runs[k] = np.flatnonzero(np.diff(own)).tolist()
-            names_of = [sorted({names[i] for i in items.get(k, ())}) for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([rows.values, pa.array(ids, id_type), pa.array(lengths, pa.int64()), pa.array(names_of, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int32()))], ["row", "id", "n_words", "items", "runs"])
+            row_of = rows.values
+            for k, found in items.items():
+                own_hits = np.concatenate(([0], hit[starts[k] : starts[k] + lengths[k]].astype(np.int8), [0]))
+                out.append((row_of[k].as_py(), sorted({names[i] for i in found}), np.flatnonzero(np.diff(own_hits)).tolist()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], ["row", "items", "runs"])
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: row (its number), id, n_words, items (sorted ids of the items with a match), runs (bounds of the word runs that are hit)."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The positional index of all words of all documents, written to the shared folder; any number of benchmarks can be searched in it. A row for each shard."""
     id_field = docs.schema[id_col].dataType
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
-    rows = numbered(docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text")), "decontaminate-docs")
-    ints = T.ArrayType(T.IntegerType())
-    index_type = T.StructType([T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(id_field)), *(T.StructField(n, ints) for n in ("lengths", "terms", "counts", "positions"))])
-    out_type = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_field), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", ints)])
+    rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), row_number(row_col).alias("row"))  # scanned once
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    index_type = T.StructType([T.StructField("rows", longs), T.StructField("ids", T.ArrayType(id_field)), T.StructField("lengths", ints), T.StructField("terms", longs), T.StructField("counts", ints), T.StructField("positions", ints)])
+    return materialize(rows.mapInArrow(lambda it: _shards(it, id_type), index_type), "decontaminate-index")
+
+
+def search_index(index: DataFrame, items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document of an index: row (its number), id, n_words, items (sorted ids of the items with a match), runs (bounds of the word runs that are hit)."""
+    spark = index.sparkSession
     parts = []
     for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-        terms = {w: k for k, w in enumerate(sorted({w for texts in block.values() for words in texts for w in words}))}
-        index = materialize(rows.mapInArrow(lambda it, terms=terms: _shards(it, terms, id_type), index_type), "decontaminate-index")
-        seen = np.zeros(len(terms) + 1, np.int64)
-        for term, n in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect():  # a row for each term of the block
+        words = sorted({w for texts in block.values() for own in texts for w in own})
+        keys = hashes(pa.array(words, pa.binary()))
+        wanted = sorted_unique(keys)
+        number = dict(zip(words, np.searchsorted(wanted, keys).tolist(), strict=True))
+        asked = spark.sparkContext.broadcast(wanted)  # block_bytes at most
+        seen = np.zeros(len(wanted) + 1, np.int64)
+        frequency = index.select("terms", "counts").mapInArrow(lambda it, asked=asked: _frequency(it, asked), "term int, n long")
+        for term, n in frequency.groupBy("term").agg(F.sum("n")).collect():  # a row for each term of the block
             seen[term] = n
+        asked.unpersist()
         names = sorted(block)
-        texts = [(k, np.array([terms[w] for w in words], np.int32)) for k, name in enumerate(names) for words in block[name]]
-        sent = docs.sparkSession.sparkContext.broadcast((names, texts, seen, window))  # block_bytes at most
-        parts.append(index.mapInArrow(lambda it, sent=sent: _search(it, sent, id_type, slop), out_type))
-    if len(parts) == 1:
-        return parts[0]
-    words_hit = F.flatten(F.collect_list(F.transform(F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: (i % 2 == 0) & (F.size("runs") > 0)), lambda i: F.sequence(F.get("runs", i), F.get("runs", i + 1) - 1))))
-    merged = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(words_hit)).alias("hit"))
-    return merged.select("row", "id", "n_words", "items", F.flatten(F.transform("hit", lambda p: F.array(p, p + 1))).alias("runs"))
+        texts = [(k, np.array([number[w] for w in own], np.int32)) for k, name in enumerate(names) for own in block[name]]
+        sent = spark.sparkContext.broadcast((names, texts, wanted, seen, window))  # block_bytes at most
+        found = index.select("rows", "lengths", "terms", "counts", "positions").mapInArrow(lambda it, sent=sent: _search(it, sent, slop), "row long, items array<string>, runs array<int>")
+        parts.append(materialize(found, "decontaminate-found"))
+        sent.unpersist()
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:  # matches of a document in several blocks; as many rows as blocks at most
+        places = lambda x, odd: F.filter(x, lambda _, i: i % 2 == odd)
+        pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(places("runs", 0).alias("a"), places("runs", 1).alias("b")))))
+        found = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), pairs.alias("pairs"))
+        empty = F.array().cast("array<int>")
+        # runs in the order of their starts: each begins a new one or prolongs the last
+        joined = F.aggregate("pairs", empty, lambda out, p: F.when((F.size(out) > 0) & (F.element_at(out, -1) >= p["a"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(F.element_at(out, -1), p["b"])))).otherwise(F.concat(out, F.array(p["a"], p["b"]))))
+        found = found.select("row", "items", joined.alias("runs"))
+    every = index.select(F.explode(F.arrays_zip("rows", "ids", "lengths")).alias("x")).select(F.col("x.rows").alias("row"), F.col("x.ids").alias("id"), F.col("x.lengths").cast("long").alias("n_words"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return every.join(found, "row", "left").select("row", "id", "n_words", none("items", "array<string>"), none("runs", "array<int>"))
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, **options) -> DataFrame:
+    """Index the documents and search them for the items: row, id, n_words, items, runs, as ``search_index``."""
+    return search_index(build_index(docs, id_col, text_col, row_col), items, **options)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
