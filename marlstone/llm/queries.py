@@ -184,19 +184,26 @@ WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。！？])([ \t\r\f\v]+)', '\1\2' || chr(1), 'g'), '\s*\n\s*', '\0' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts
   FROM documents),
+cut AS (
+  SELECT doc_id, text, list_filter(flatten(list_transform(parts, lambda s: CASE
+           WHEN len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) > 24
+           THEN string_split(list_aggregate(list_transform(regexp_extract_all(s, '\s*\S+\s*'),
+                  lambda x: x || CASE WHEN md5(lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))[-1] IN ('0', '8') THEN chr(1) ELSE '' END), 'string_agg', ''), chr(1))
+           ELSE [s] END)), lambda x: x <> '') AS parts
+  FROM t),
 p AS (
   SELECT doc_id, k, parts[k] AS piece, list_filter(regexp_split_to_array(lower(parts[k]), '\s+'), lambda x: x <> '') AS ws
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM t)),
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM cut)),
 u AS (SELECT doc_id, k, piece, array_to_string(ws, ' ') AS norm, len(ws) AS n, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS upto FROM p),
 edges AS (SELECT doc_id, k, upto FROM u UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM u),
 ahead AS (
   SELECT a.doc_id, a.k AS s, greatest(min(b.k), a.k + 2) AS e
-  FROM edges a ASOF JOIN (SELECT doc_id, upto, min(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto + 20 <= b.upto GROUP BY a.doc_id, a.k),
+  FROM edges a ASOF JOIN (SELECT doc_id, upto, min(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto + 8 <= b.upto GROUP BY a.doc_id, a.k),
 back AS (
   SELECT a.doc_id, least(max(b.k), a.k - 2) AS s, a.k AS e
-  FROM edges a ASOF JOIN (SELECT doc_id, upto, max(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto - 20 >= b.upto WHERE a.k > 0 GROUP BY a.doc_id, a.k),
+  FROM edges a ASOF JOIN (SELECT doc_id, upto, max(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto - 8 >= b.upto WHERE a.k > 0 GROUP BY a.doc_id, a.k),
 span AS (
-  SELECT doc_id, s, e FROM ahead UNION SELECT doc_id, s, e FROM back WHERE s >= 0 UNION SELECT doc_id, k - 1, k FROM u WHERE n >= 30),
+  SELECT doc_id, s, e FROM ahead UNION SELECT doc_id, s, e FROM back WHERE s >= 0 UNION SELECT doc_id, k - 1, k FROM u WHERE n >= 20),
 run AS (
   SELECT span.doc_id, s, e, count(*) || ' ' || string_agg(norm, chr(1) ORDER BY k) AS h
   FROM span JOIN u ON span.doc_id = u.doc_id AND k > s AND k <= e GROUP BY span.doc_id, s, e HAVING count(*) = e - s),

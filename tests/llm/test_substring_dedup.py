@@ -49,8 +49,28 @@ def test_sentences_are_the_text():
         assert "".join(sentences(t)) == t
 
 
+def test_passages_without_sentence_marks_or_within_a_sentence(docs_of):
+    r = random.Random(7)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    passage = words(60)
+    docs = [(k, f"{words(15)} {passage} {words(11)} | {words(40)}", "en", "s") for k in range(8)]
+    found = {x["doc_id"]: x for x in remove_repeats(docs_of(docs)).collect()}
+    assert found[0]["n_removed"] == 0
+    for k in range(1, 8):  # what is left of the passage are the words before its first clause and after its last
+        left = set(found[k]["text"].split())
+        assert 30 <= found[k]["words_removed"] <= 60 and left >= set(docs[k][1].split()) - set(passage.split())
+
+
+def test_a_very_long_text(docs_of):
+    r = random.Random(8)
+    long = " ".join(sentence(r, r.randint(1, 30)) for _ in range(20_000))
+    found = {x["doc_id"]: x for x in remove_repeats(docs_of([(1, long, "en", "s"), (2, "First one here. " + long + " Last one here.", "en", "s")])).collect()}
+    assert found[1]["n_removed"] == 0 and found[1]["text"] == long
+    assert found[2]["text"].split() == "First one here. Last one here.".split()
+
+
 def test_spans_do_not_depend_on_place():
     r = random.Random(3)
     p = [sentence(r, 8) for _ in range(6)]
-    one, two = (set(spans(x)[0].tolist()) for x in (p, [sentence(r, 9)] * 3 + p + [sentence(r, 7)]))
-    assert len(one) == 4 and one <= two
+    one, two = (set(map(tuple, spans(x)[0].tolist())) for x in (p, [sentence(r, 9)] * 3 + p + [sentence(r, 7)]))
+    assert len(one) == 5 and one <= two
