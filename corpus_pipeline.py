@@ -32,6 +32,7 @@ _done: list[str] = []
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bound_batches(spark)
         _done[:] = common.release(spark, _done, docs)
         before = set(common.scratch_paths())
         out = f(spark, docs, sf_dir)
@@ -41,41 +42,40 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
     return run_stage
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def _without(docs: DataFrame, name: str, gone: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The documents but those whose row numbers (``row``) the operator gives back.
 
-
-def _without(docs: DataFrame, name: str, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The documents but those whose row numbers (``row``) the operator gives back. They are written first, so that Spark knows their size and plans by it."""
+    Documents and their numbers are written once, and both the operator and this function read those. What the operator gives is written too, so that Spark knows its size and plans by it.
+    """
     number = "row number"
     while number in docs.columns:
         number += "_"
     rows = common.numbered(docs, name, number)
-    dropped = common.materialize(gone(docs.select("doc_id", "text")).select(F.col("row").alias(number)), f"{name}-dropped")
-    return rows.join(dropped, number, "left_anti").select(*map(_quoted, docs.columns))
+    dropped = common.materialize(gone(rows.select("doc_id", "text", number), number).select(F.col("row").alias(number)), f"{name}-dropped")
+    return rows.join(dropped, number, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, fit(docs), keep={f"own {k}": docs[_quoted(c)] for k, c in enumerate(docs.columns)})
+    found = identify(docs, fit(docs), keep={f"own {k}": docs[common.quoted(c)] for k, c in enumerate(docs.columns)})
     sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return found.where(sure).select(*(F.col(f"`own {k}`").alias(c) for k, c in enumerate(docs.columns)))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, "pipeline-exact", lambda d: exact_dedup(d).where("NOT kept"))
+    return _without(docs, "pipeline-exact", lambda d, n: exact_dedup(d, row_col=n).where("NOT kept"))
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, "pipeline-near", lambda d: similarity_join(d).where("NOT first"))
+    return _without(docs, "pipeline-near", lambda d, n: similarity_join(d, row_col=n).where("NOT first"))
 
 
 @_stage
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = common.table(spark, sf_dir, "benchmark")
-    return _without(docs, "pipeline-leaks", lambda d: decontaminate(d, benchmark).where("contaminated"))
+    return _without(docs, "pipeline-leaks", lambda d, n: decontaminate(d, benchmark, row_col=n).where("contaminated"))
 
 
 @_stage
