@@ -1,23 +1,27 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting. Scan tasks count words and pairs of neighbouring words (64-bit hashes) in chunks, and send for each chunk and
-segment of the hash space two packed arrays; owner tasks add them up. Counts are over all training texts.
+Counting. Scan tasks cut the texts to chunks of about a million words and write down, for each chunk, its tokens and its distinct words, pairs and triples
+(hashes) with their counts in training texts. These are dealt once by ranges of the hash space (parts); the owner of a part adds the
+counts up and builds its filter. Counts are over all training texts.
 
 Filter. A count c is quantised to the level 1 + floor(log_BASE c); level j of an n-gram is a member for each j up to
-that. Each segment is a Bloom filter of its own. It holds all words and all pairs. A level is read by repeated probes, until one fails.
-A filter of at most ``GROUP_BYTES`` goes to the workers whole. A larger one goes out in
-groups of segments: the texts' words and pairs are written once, dealt by group, each group answers its own, and the answers meet the texts
-again by chunk. That takes time in proportion to the texts, whatever the number of groups.
-
-Model. P(w|h) = a * c(h w) / c(h) + (1 - a) * P(w), P(w) smoothed as the base score. ``a`` depends on how frequent the
-context h is, and is fitted by leaving each token of the training texts out of its own counts. A word
-whose pair is unknown has the factor (1 - a) and its exact probability of the base score. All else that the score takes of a token
-are three levels, of the pair, the word before and the word, written as one code; so the texts are probed once, and weights come after.
-
-Base score. It needs exact counts: the most frequent words (``HEAD`` at most) are looked up in a broadcast table, all other
-words meet their counts in a join, where by construction no key is frequent.
-
-Null and empty texts consist of the end token alone. Null ids hash like an empty text. Repeated rows each get their row.
+that. A level is read by repeated probes, until one fails. The filters go to the workers by broadcast, in groups of parts of at most ``GROUP_BYTES``;
+each group answers what the chunks ask of it, and the answers meet the tokens
+again by chunk. That takes time in proportion to the texts, whatever the number of groups, and is done alike at every size.
+
+Model. Trigrams interpolated with pairs and words by absolute discounting:
+P(w|h) = (r(c(h w)) + B(c(h)) P(w|h')) / (R(c(h)) + B(c(h))), with h' the shorter context and P(w) smoothed as the base score. r(c) = c - D(c), the discounts D for
+1, 2 and more being those of modified Kneser-Ney smoothing, from the exact numbers of n-grams seen once to four times. B(c) = D(1) c^b is the expected weight
+of the discounts of a context seen c times; b is such that the expected numbers of continuations of all contexts add up to the number of distinct
+n-grams. R(c) is the most that r can add up to over the continuations of the context. n-grams
+count as the least number of their level, contexts as the greatest, and an n-gram counts no more than the shorter ones in it; so for each
+context the probabilities of all words add up to 1 at most, but for what false positives of the filter add (README has figures).
+
+Base score. It needs exact counts: the most frequent words (``HEAD`` at most, by whole levels) are looked up in a broadcast table; of the others those that the filter has
+meet their counts in a join. A word outside the table has at most some BASE / ``HEAD`` of all tokens, so no key of the join is hot.
+
+Null and empty texts consist of the end token alone. Null ids hash like an empty text. Repeated rows each get their row, an empty table gives none; a very long text is a
+chunk by itself. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,74 +32,86 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, reclaim, scratch, utf8
+from .common import hashes, materialize, partitions, reclaim, scratch, utf8, word_numbers
 from .langid import held_out
 
 BASE = 1.5
+#: Bits for each level of each n-gram, and probes of a level.
 BITS = 9
 PROBES = 3
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 HEAD = 1 << 20
-SEGMENT_TEXT = 16 << 20
-CHUNK = 1 << 19
+#: Text whose n-grams make a part, about; an owner holds one at a time.
+PART_TEXT = 64 << 20
+#: Words of a chunk, about.
+CHUNK = 1 << 20
+LEVELS = 128
 END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xD1B54A32D192ED03)
 _U = np.uint64
-_PART = "chunk long, part int, data binary"
+_LEAST = np.concatenate(([0.0], np.ceil(BASE ** np.arange(LEVELS - 1.0) - 1e-9)))
+_MOST = np.concatenate(([0.0], np.ceil(BASE ** np.arange(1.0, LEVELS) - 1e-9) - 1))
 
 
-class _Ids(dict):
-    """Numbers words in the order they come; keeps their hashes."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
+    return x ^ (x >> _U(29))
 
-    def __init__(self) -> None:
-        self.hashes: list[int] = [int(END)]
 
-    def __missing__(self, word: bytes) -> int:
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = n = len(self.hashes) - 1
-        return n
+def gram_hash(before: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """Hash of an n-gram by that of the n-gram before it and its last word."""
+    return _mix(before * _U(0xA0761D6478BD642F) ^ word + _U(order)) * _U(0xE7037ED1A0B428DB)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
-    return x ^ (x >> _U(29))
+def _shifted(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """The value of the token before each, ``first`` at the start of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
 
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(before * _U(0xA0761D6478BD642F) ^ word) * _U(0xE7037ED1A0B428DB)
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_LEAST[1:], counts, "right")
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, the tokens of all texts as numbers of these, and where each text begins."""
-    ids = _Ids()
-    flat: list[int] = []
-    starts = []
-    for t in texts:
-        starts.append(len(flat))
-        flat += [ids[w] for w in t.lower().split()]
-        flat.append(0)
-    return np.array(ids.hashes, np.uint64), np.array(flat, np.int32), np.array(starts)
+def _pack(a: np.ndarray) -> bytes:
+    """An array of small numbers by planes of bytes, compressed."""
+    top = int(a.max(initial=0))
+    a = np.ascontiguousarray(a.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)))
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+    return pickle.dumps((a.dtype.str, len(a), pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)))
 
 
-def _before(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the token before each."""
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[starts] = START
-    return out
+def _unpack(packed: bytes) -> np.ndarray:
+    kind, n, data = pickle.loads(packed)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=_U(0)))
+
+
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes]]]:
     """Rows (without the last column, the text) and texts, in runs of about ``size`` words."""
     rows, texts, held = [], [], 0
     for batch in batches:
-        for row, t in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else [()] * batch.num_rows, batch.column(batch.num_columns - 1), strict=True):
+        for row, t in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.column(batch.num_columns - 1), strict=True):
             t = t.as_py()
             rows.append(row)
             texts.append(t)
@@ -107,300 +123,318 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
         yield rows, texts
 
 
-def _pack(a: np.ndarray) -> tuple[str, int, bytes]:
-    """An array by planes of bytes, compressed: upper bytes are mostly 0."""
-    return a.dtype.str, len(a), pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), "zstd", asbytes=True)
+@dataclass
+class Chunk:
+    """Some texts as tokens: ``words`` are the hashes of the distinct ones, the end token first; ``sizes`` the tokens of each text."""
 
+    rows: list
+    words: np.ndarray
+    tokens: np.ndarray
+    sizes: np.ndarray
 
-def _unpack(kind: str, n: int, data: bytes) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    @staticmethod
+    def of(rows: list, texts: list[bytes]) -> Chunk:
+        distinct, numbers, counts = word_numbers([t.lower() for t in texts])
+        sizes = counts + 1
+        tokens = np.zeros(int(sizes.sum()), np.int32)
+        within = np.ones(len(tokens), bool)
+        within[np.cumsum(sizes) - 1] = False
+        tokens[within] = numbers + 1
+        return Chunk(rows, np.concatenate(([END], hashes(distinct))), tokens, sizes)
 
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
-def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
-    for _, texts in _texts(batches, CHUNK):
-        words, tokens, starts = _tokens(texts)
-        used = np.bincount(tokens, minlength=len(words))
-        flat = words[tokens]
-        out = []
-        for kind, (keys, counts) in enumerate(((words, used), np.unique(pair_hash(_before(flat, starts), flat), return_counts=True))):
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            segment = _segment(keys, segments)
-            cuts = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(keys))
-            out += [(int(segment[a]), kind, pickle.dumps(_pack(np.diff(keys[a:b], prepend=_U(0)))), pickle.dumps(_pack(counts[a:b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["segment", "kind", "keys", "counts"])
+    def grams(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, of ``bits`` bits, of the pair and the triple that end with each token; texts begin with a start token, which follows the last pair."""
+        starts, flat = self.starts, self.words[self.tokens]
+        pair = gram_hash(_shifted(flat, starts, START), flat, 2)
+        triple = gram_hash(_shifted(pair, starts, START), flat, 3)
+        shift = _U(64 - bits)
+        return np.append(pair, START) >> shift, triple >> shift
 
 
-def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> _U(32)) * _U(segments) >> _U(32)).astype(np.int64)
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each is a training one; the flag rides on the key through one sort."""
+    both = np.sort(keys << _U(1) | train.astype(np.uint64))
+    key = both >> _U(1)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat((both & _U(1)).astype(np.int64), first)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
+_FRAGMENT = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
-def _bits(keys: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
-    """Bit of a probe in a filter of ``size`` bits."""
-    h = _mix(keys + np.asarray(level, np.uint64) * _U(0x8EBC6AF09C88C6E3) + _U(probe) * _U(0x589965CC75374CC3))
-    return (h >> _U(32)) * np.asarray(size, np.uint64) >> _U(32)
+def _cut(batches: Iterator[pa.RecordBatch], parts: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk its tokens (part -1), and for each part the distinct words, pairs and triples that fall to it, in order, and their counts."""
+    number = TaskContext.get().partitionId() << 32
+    for rows, texts in _texts(batches, CHUNK):
+        chunk = Chunk.of(rows, texts)
+        train = np.repeat(np.array([not r[2] for r in rows]), chunk.sizes)
+        used = np.bincount(chunk.tokens[train], minlength=len(chunk.words))
+        order = np.argsort(chunk.words)
+        pair, triple = chunk.grams(bits)
+        starts = len(rows) - sum(r[2] for r in rows)
+        kinds = [(chunk.words[order], used[order]), list(_counted(pair, np.append(train, False))), _counted(triple, train)]
+        kinds[1][1][np.searchsorted(kinds[1][0], START >> _U(64 - bits))] += starts
+        cuts = [np.searchsorted(_part(k if i == 0 else k << _U(64 - bits), parts), np.arange(parts + 1)) for i, (k, _) in enumerate(kinds)]
+        data, counts = [pickle.dumps((rows, _pack(chunk.words), _pack(chunk.tokens), _pack(chunk.sizes)))], [None]
+        for p in range(parts):
+            own = [(k[c[p] : c[p + 1]], n[c[p] : c[p + 1]]) for (k, n), c in zip(kinds, cuts, strict=True)]
+            data.append(pickle.dumps([_pack_sorted(k) for k, _ in own]))
+            counts.append(pickle.dumps([_pack(n) for _, n in own]))
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array(range(-1, parts), pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], _FRAGMENT.names)
+        number += 1
 
 
 def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
     return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def _build(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Filter of the keys at the levels of their counts."""
-    level = levels(counts)
-    size = max(64, -(-int(level.sum()) * BITS // 64) * 64)
+class _Sums:
+    """Counts of keys, added up whenever as much is waiting as is held."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting, self.held = [], [], 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        some = counts > 0
+        self.keys.append(keys[some])
+        self.counts.append(counts[some].astype(np.int64))
+        self.waiting += len(self.keys[-1])
+        if self.waiting > max(1 << 22, self.held):
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1 or self.waiting:
+            k, c = _add(self.keys, self.counts) if self.keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            self.keys, self.counts, self.waiting, self.held = [k], [c], 0, len(k)
+        return self.keys[0], self.counts[0]
+
+
+def _bits(keys: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Bit of a probe in a filter of ``size`` bits."""
+    h = _mix(keys + np.asarray(level, np.uint64) * _U(0x8EBC6AF09C88C6E3) + _U(probe) * _U(0x589965CC75374CC3))
+    return (h >> _U(32)) * np.asarray(size, np.uint64) >> _U(32)
+
+
+def build(keys: np.ndarray, level: np.ndarray, per_level: int = BITS) -> bytes:
+    """Filter of the keys up to their levels."""
+    size = max(64, -(-int(level.sum()) * per_level // 64) * 64)
     bits = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        some = keys[level >= j]
+        some = keys = keys[level >= j]
+        level = level[level >= j]
         for p in range(PROBES):
             bits[_bits(some, j, p, size).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little")
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment: words with exact counts, and the filter of its words and pairs. Rows come by segment."""
-    at, held, waiting = None, {0: ([], []), 1: ([], [])}, 0
+#: Statistics of a part, by level: number and sum of words, of pairs, of triples; and numbers of pairs and triples seen once to four times.
+_STATS = 6 * LEVELS + 10
+_OWNED = T.StructType(
+    [T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("data", T.BinaryType())]
+    + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("words", "counts", "stats")]
+)
 
-    def merge() -> None:
-        for kind in held:
-            if held[kind][0]:
-                k, c = _add(*held[kind])
-                held[kind] = ([k], [c])
 
-    def close() -> pa.RecordBatch:
-        merge()
-        empty = (np.empty(0, np.uint64), np.empty(0, np.int64))
-        (words, n), (pairs, m) = ((held[k][0][0], held[k][1][0]) if held[k][0] else empty for k in (0, 1))
-        bits = _build(np.concatenate([words, pairs]), np.concatenate([n, m]))
-        cell = lambda a: pa.array([a], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), cell(words.view(np.int64)), cell(n), pa.array([bits.tobytes()], pa.binary())], ["segment", "words", "counts", "bits"])
+def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterator[pa.RecordBatch]:
+    """Passes the fragments on, tokens as kind 0 and keys as kind 1, and adds for each part that comes the owner's row of kind 2: words with exact counts, statistics, filter."""
+    held: dict[int, list[_Sums]] = {}
+    longs = pa.list_(pa.int64())
+    shift = _U(64 - bits)
+
+    def rows(kind: list[int], part: pa.Array, chunk: pa.Array, data: pa.Array, *lists: pa.Array) -> pa.RecordBatch:
+        lists = lists or (pa.nulls(len(kind), longs),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), part, chunk, data, *lists], _OWNED.names)
 
     for batch in batches:
-        for segment, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if segment != at:
-                if at is not None:
-                    yield close()
-                at, held, waiting = segment, {0: ([], []), 1: ([], [])}, 0
-            held[kind][0].append(np.cumsum(_unpack(*pickle.loads(keys)), dtype=np.uint64))
-            held[kind][1].append(_unpack(*pickle.loads(counts)).astype(np.int64))
-            waiting += held[kind][0][-1].nbytes
-            if waiting > 64 << 20:
-                merge()
-                waiting = 0
-    if at is not None:
-        yield close()
+        parts = batch.column("part").to_pylist()
+        for part, data, counts in zip(parts, batch.column("data"), batch.column("counts"), strict=True):
+            if part >= 0:
+                own = held.setdefault(part, [_Sums(), _Sums(), _Sums()])
+                for sums, k, c in zip(own, pickle.loads(data.as_py()), pickle.loads(counts.as_py()), strict=True):
+                    sums.add(_unpack_sorted(k), _unpack(c))
+        yield rows([int(p >= 0) for p in parts], batch.column("part"), batch.column("chunk"), batch.column("data"))
+    for part in list(held):
+        sums = [s.sum() for s in held.pop(part)]
+        level = [levels(c) for _, c in sums]
+        stats = np.zeros(_STATS, np.int64)
+        for i, (ls, (_, c)) in enumerate(zip(level, sums, strict=True)):
+            stats[2 * i * LEVELS : (2 * i + 1) * LEVELS] = np.bincount(ls, minlength=LEVELS)
+            stats[(2 * i + 1) * LEVELS : (2 * i + 2) * LEVELS] = np.bincount(ls, weights=c, minlength=LEVELS).astype(np.int64)
+            if i:
+                stats[6 * LEVELS + 5 * (i - 1) : 6 * LEVELS + 5 * i] = np.bincount(np.minimum(c, 5), minlength=6)[:5] if len(c) else 0
+        words, n = sums[0]
+        filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), per_level)
+        yield rows([2], pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([filled], pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
 
 
 def _head(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of each segment the words with at least that count, and their counts."""
+    """Of each part the words of at least that level, and their counts."""
     for batch in batches:
         for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
             w, c = words.values.to_numpy().view(np.uint64), counts.values.to_numpy()
-            w, c = w[c >= least], c[c >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w, c)], ["words", "counts"])
+            some = levels(c) >= least
+            yield pa.RecordBatch.from_arrays([pa.array([x[some].tobytes()], pa.binary()) for x in (w, c)], ["words", "counts"])
+
+
+def head_of(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of at least that level, by hash, and their counts."""
+    found = table.select("words", "counts").mapInArrow(lambda it: _head(it, least), "words binary, counts binary").collect()
+    words, counts = (np.concatenate([np.frombuffer(bytes(h[k]), t) for h in found] or [np.empty(0, t)]) for k, t in (("words", np.uint64), ("counts", np.int64)))
+    order = np.argsort(words)
+    return words[order], counts[order]
 
 
 @dataclass
 class Filter:
-    """Bloom filters of some segments; ``offset`` is -1 for those that it lacks."""
+    """Bloom filters of some parts; ``offset`` is -1 for those that it lacks."""
 
-    segments: int
     offset: np.ndarray
     size: np.ndarray
     bits: np.ndarray
 
     @staticmethod
-    def of(parts: dict[int, bytes], segments: int) -> Filter:
-        offset, size, at = np.full(segments, -1, np.int64), np.zeros(segments, np.uint64), 0
-        for k, b in parts.items():
+    def of(filters: dict[int, bytes], parts: int) -> Filter:
+        offset, size, at = np.full(parts, -1, np.int64), np.zeros(parts, np.uint64), 0
+        for k, b in filters.items():
             offset[k], size[k] = at, len(b) * 8
             at += len(b)
-        return Filter(segments, offset, size, np.frombuffer(b"".join(parts.values()) or b"\0", np.uint8))
+        return Filter(offset, size, np.frombuffer(b"".join(filters.values()) or b"\0", np.uint8))
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key, 0 where it isn't a member; keys of other segments too get 0."""
+    def level(self, keys: np.ndarray, part: int) -> np.ndarray:
+        """Level of each key of a part, 0 where it isn't a member."""
         level = np.zeros(len(keys), np.uint8)
-        s = _segment(keys, self.segments)
-        left = np.flatnonzero(self.offset[s] >= 0)
+        if self.offset[part] < 0:
+            return level
+        offset, size = int(self.offset[part]), self.size[part]
+        left = np.arange(len(keys))
         j = 1
         while len(left):
             for p in range(PROBES):
-                own = s[left]
-                b = _bits(keys[left], j, p, self.size[own])
-                left = left[(self.bits[self.offset[own] + (b >> _U(3)).astype(np.int64)] >> (b & _U(7)).astype(np.uint8)) & 1 == 1]
+                b = _bits(keys, j, p, size).astype(np.int64)
+                there = (self.bits[offset + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1 == 1
+                left, keys = left[there], keys[there]
             level[left] = j
             j += 1
         return level
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each key."""
-        return _least(self.level(keys))
 
-
-def _least(level: np.ndarray) -> np.ndarray:
-    """The least count of each level, 0 for level 0."""
-    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
+def _answer(batches: Iterator[pa.RecordBatch], sent, bits: int) -> Iterator[pa.RecordBatch]:
+    """Levels of the words, pairs and triples that a part is asked for."""
+    own: Filter = sent.value
+    for batch in batches:
+        out = []
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+            words, pairs, triples = map(_unpack_sorted, pickle.loads(data.as_py()))
+            out.append(pickle.dumps([_pack(own.level(k, part)) for k in (words >> _U(64 - bits), pairs, triples)]))
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("part"), pa.array(out, pa.binary())], ["chunk", "part", "data"])
 
 
 @dataclass
 class Model:
-    filter: Filter | None
+    """What a score takes beside the levels; a row of ``left``, ``norm`` and ``back`` for pairs and one for triples, by level: r of an n-gram, R + B and B of a context."""
+
     head: np.ndarray  # hashes of the frequent words, sorted
     counts: np.ndarray
     space: float  # N + 0.5 (V + 1)
+    left: np.ndarray
+    norm: np.ndarray
+    back: np.ndarray
+
+
+def discounts(seen: list[int]) -> tuple[float, float, float]:
+    """Discounts of n-grams seen once, twice and more often, by the numbers of those seen once to four times."""
+    n1, n2, n3, n4 = seen
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d1 = 1 - 2 * y * n2 / n1 if n1 else 0.5
+    d2 = 2 - 3 * y * n3 / n2 if n2 else d1
+    d3 = 3 - 4 * y * n4 / n3 if n3 else d2
+    return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate((d1, d2, d3), 1))
+
+
+def spread_of(n: np.ndarray, total: np.ndarray, kinds: int) -> float:
+    """The power b in [0, 1] by which contexts (``n`` of each level, seen ``total`` times in all) have count ** b continuations on average, ``kinds`` in all."""
+    some = n > 0
+    n, mean = n[some], total[some] / n[some]
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        b = (low + high) / 2
+        low, high = (b, high) if (n * mean**b).sum() < kinds else (low, b)
+    return low
+
+
+def tables(seen: list[int], n: np.ndarray, total: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r of n-grams, R + B and B of contexts, by level."""
+    d = np.array([0.0, *discounts(seen)])
+    left = np.maximum(0, _LEAST - d[np.minimum(_LEAST, 3).astype(int)])
+    share = np.maximum.accumulate(left / np.maximum(_LEAST, 1))
+    back = np.where(_MOST > 0, d[1] * np.maximum(_MOST, 1) ** spread_of(n, total, kinds), 1.0)
+    return left, _MOST * share + back, back
+
+
+_SCORED = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+
+
+def _by_key(keys: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+    """Levels of keys, from those of the distinct ones in order."""
+    order = np.argsort(keys)
+    inorder = keys[order]
+    rank = np.cumsum(np.concatenate(([0], inorder[1:] != inorder[:-1])))
+    known = np.concatenate(found)
+    if len(known) != rank[-1] + 1:
+        raise ValueError("the answers aren't those of this chunk")
+    out = np.empty(len(keys), np.uint8)
+    out[order] = known[rank]
+    return out
 
 
-@dataclass
-class Chunk:
-    """Some texts as tokens."""
-
-    rows: list
-    words: np.ndarray  # hashes of the distinct words
-    tokens: np.ndarray
-    starts: np.ndarray
-
-    @staticmethod
-    def of(rows: list, texts: list[bytes]) -> Chunk:
-        return Chunk(rows, *_tokens(texts))
-
-    def keys(self) -> np.ndarray:
-        """Hashes of the distinct words and of the pair of each token."""
-        return np.concatenate([self.words, self.pairs()])
-
-    def pairs(self) -> np.ndarray:
-        flat = self.words[self.tokens]
-        return pair_hash(_before(flat, self.starts), flat)
-
-    def codes(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Of each token the levels of its pair, of the word before and of its word, the latter at least the pair's; by levels of the words and of the tokens' pairs."""
-        own = word[self.tokens]
-        before = np.concatenate((own[:1], own[:-1]))
-        before[self.starts] = word[0]  # as many texts begin as end
-        pair = pair.astype(np.int32)
-        return pair << 14 | np.maximum(before, pair) << 7 | np.maximum(own, pair)
-
-
-def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Quantised counts of the pair, the word before and the word."""
-    return _least(codes >> 14), _least(codes >> 7 & 127), _least(codes & 127)
-
-
-def _context(count: np.ndarray) -> np.ndarray:
-    """Class of a context by its count: 0, under 10, under 100, more."""
-    return np.minimum(3, np.where(count > 0, 1 + np.log10(np.maximum(count, 1)).astype(np.int64), 0))
-
-
-GRID = np.linspace(0, 0.95, 20)
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each code occurs in a batch."""
-    for batch in batches:
-        n = np.bincount(batch.column("codes").flatten().to_numpy())
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["code", "n"])
-
-
-def _fit(codes: np.ndarray, n: np.ndarray, space: float) -> np.ndarray:
-    """The likeliest weight of a pair's share for each class of context, each token left out of its counts."""
-    c_pair, c_before, c_own = _counts(codes)
-    kind = _context(c_before)
-    share = np.minimum(1, np.maximum(c_pair - 1, 0) / np.maximum(c_before - 1, 1))
-    base = (np.maximum(c_own - 1, 0) + 0.5) / space
-    return np.array([GRID[np.argmax([(n * np.log10(a * share + (1 - a) * base))[kind == k].sum() for a in GRID])] for k in range(4)])
-
-
-def _finish(batches: Iterator[pa.RecordBatch], weights: np.ndarray, space: float) -> Iterator[pa.RecordBatch]:
-    """Adds to each text's score what its codes say. A token of unknown pair has the factor (1 - a) there, the rest stands elsewhere."""
-    for batch in batches:
-        at = batch.schema.get_field_index("codes")
-        lists = batch.column(at)
-        codes = lists.flatten().to_numpy()
-        used = np.flatnonzero(np.bincount(codes))
-        c_pair, c_before, c_own = _counts(used)
-        a = weights[_context(c_before)]
-        term = np.zeros(int(used[-1]) + 1 if len(used) else 0)
-        term[used] = np.log10(a * np.minimum(1, c_pair / np.maximum(c_before, 1)) + (1 - a) * np.where(c_pair > 0, (c_own + 0.5) / space, 1))
-        offsets = lists.offsets.to_numpy()
-        sums = np.add.reduceat(term[codes], offsets[:-1] - offsets[0]) if len(codes) else np.empty(0)  # no text is without a token
-        rest = batch.remove_column(at)
-        k = rest.schema.get_field_index("score")
-        yield rest.set_column(k, "score", pa.array(rest.column(k).to_numpy() + sums))
-
-
-def _sums(chunk: Chunk, word: np.ndarray, pair: np.ndarray, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
-    """Per text its codes, what frequent words add to both scores, and the rare words with what they are needed for: 1 base score, 3 both."""
-    starts, tokens = chunk.starts, chunk.tokens
+def _sums(chunk: Chunk, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, model: Model, id_type: pa.DataType) -> pa.RecordBatch:
+    """Per text what its tokens add to both scores, but for the base score of rare words, which are listed. Levels: of the distinct words; of the pair of each token, and at the end of the start token; of triples."""
+    starts, tokens, start = chunk.starts, chunk.tokens, pair[-1]
+    own, pair = word[tokens], pair[:-1]
+    c1, q1 = _LEAST[own], _MOST[before := _shifted(own, starts, start)]
+    p1 = (c1 + 0.5) / model.space
+    real = (own > 0) & (before > 0)
+    pair = np.where(real, pair, 0)
+    c2 = np.minimum(_LEAST[pair], np.minimum(c1, q1))
+    level = lambda c: np.minimum(levels(c), LEVELS - 1)
+    p2 = (model.left[0][level(c2)] + model.back[0][before] * p1) / model.norm[0][before]
+    context = _shifted(pair, starts, start)
+    c3 = np.where((pair > 0) & (context > 0), np.minimum(_LEAST[triple], np.minimum(c2, _MOST[context])), 0)
+    p3 = (model.left[1][level(c3)] + model.back[1][context] * p2) / model.norm[1][context]
     at = np.minimum(np.searchsorted(model.head, chunk.words), max(0, len(model.head) - 1))
     frequent = model.head[at] == chunk.words if len(model.head) else np.zeros(len(chunk.words), bool)
-    known, exact = frequent[tokens], np.where(frequent, model.counts[at] if len(model.head) else 0, 0)[tokens]
-    term = np.where(known, np.log10((exact + 0.5) / model.space), 0)
-    base = np.add.reduceat(term, starts)
-    score = np.add.reduceat(np.where(pair == 0, term, 0), starts)
-    some = np.flatnonzero(~known)
+    exact = np.where(frequent, model.counts[at] if len(model.head) else 0, 0)
+    rare = ~frequent & (word > 0)
+    term = np.where(rare, 0, np.log10((exact + 0.5) / model.space))
+    some = np.flatnonzero(rare[tokens])
     cuts = np.append(np.searchsorted(some, starts), len(some)).astype(np.int32)
-    rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(chunk.words[tokens[some]].view(np.int64)))
-    needs = pa.ListArray.from_arrays(pa.array(cuts), pa.array((1 + 2 * (pair[some] == 0)).astype(np.int8)))
-    ends = np.append(starts, len(tokens)).astype(np.int32)
-    codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(chunk.codes(word, pair).astype(np.int32)))
+    listed = pa.ListArray.from_arrays(pa.array(cuts), pa.array(chunk.words[tokens[some]].view(np.int64)))
     row, ids, held = zip(*chunk.rows, strict=True)
-    columns = [pa.array(row, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), codes, rare, needs]
-    return pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "codes", "rare", "need"])
-
-
-def _score(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """With a filter that is whole."""
-    model: Model = sent.value
-    for rows, texts in _texts(batches, CHUNK // 2):
-        chunk = Chunk.of(rows, texts)
-        yield _sums(chunk, model.filter.level(chunk.words), model.filter.level(chunk.pairs()), model, id_type)
-
+    per_text = lambda x: np.add.reduceat(x, starts)  # noqa: E731  no text is without a token
+    columns = [pa.array(row, pa.int64()), pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(chunk.sizes), pa.array(per_text(frequent[tokens].astype(np.int64))), pa.array(per_text(term[tokens])), pa.array(per_text(np.log10(p3))), listed]
+    return pa.RecordBatch.from_arrays(columns, _SCORED)
 
-# with a filter that goes out in groups of segments: each group answers the probes of its own segments, of all chunks
 
-
-def _probe(batches: Iterator[pa.RecordBatch], bounds: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk its tokens (part -1), and for each group the distinct words and pairs that fall to it, in order, as differences. ``bounds``: first segment of each group but the first."""
-    number = TaskContext.get().partitionId() << 32
-    for rows, texts in _texts(batches, CHUNK // 2):
-        chunk = Chunk.of(rows, texts)
-        keys = np.unique(chunk.keys())
-        group = np.searchsorted(bounds, _segment(keys, segments), "right")
-        cuts = np.searchsorted(group, np.arange(len(bounds) + 2))
-        parts = [(-1, pickle.dumps((rows, *map(_pack, (chunk.words, chunk.tokens, chunk.starts)))))]
-        parts += [(g, pickle.dumps(_pack(np.diff(keys[a:b], prepend=_U(0))))) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        yield pa.RecordBatch.from_arrays([pa.array([number] * len(parts), pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], ["chunk", "part", "data"])
-        number += 1
-
-
-def _answer(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Levels of the words and pairs that a group is asked for."""
-    own: Filter = sent.value
-    for batch in batches:
-        data = [own.level(np.cumsum(_unpack(*pickle.loads(d.as_py())), dtype=np.uint64)).tobytes() for d in batch.column("data")]
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("part"), pa.array(data, pa.binary())], ["chunk", "part", "data"])
-
-
-def _join(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The parts of each chunk, which come together and in order, as scores."""
+def _join(batches: Iterator[pa.RecordBatch], sent, bits: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The tokens and answers of each chunk, which come together and in order, as scores."""
     model: Model = sent.value
     at, parts = None, []
 
     def close() -> pa.RecordBatch:
         rows, *packed = pickle.loads(parts[0])
-        chunk = Chunk(rows, *(_unpack(*x) for x in packed))
-        level = np.frombuffer(b"".join(parts[1:]), np.uint8)[np.unique(chunk.keys(), return_inverse=True)[1]]
-        return _sums(chunk, level[: len(chunk.words)], level[len(chunk.words) :], model, id_type)
+        words, tokens, sizes = map(_unpack, packed)
+        chunk = Chunk(rows, words, tokens, sizes.astype(np.int64))
+        answers = [[_unpack(x) for x in pickle.loads(p)] for p in parts[1:]]
+        pair, triple = chunk.grams(bits)
+        return _sums(chunk, *(_by_key(k, [a[i] for a in answers]) for i, k in enumerate((words, pair, triple))), model, id_type)
 
     for batch in batches:
         for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
@@ -413,83 +447,80 @@ def _join(batches: Iterator[pa.RecordBatch], sent, id_type: pa.DataType) -> Iter
         yield close()
 
 
-def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, fit_docs: int | None = None) -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``fit_docs``: about so many training texts for the weights, not all."""
+def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, part_text: int = PART_TEXT, per_level: int = BITS) -> DataFrame:
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), held_out(docs[id_col], folds).alias("held_out"), utf8(docs[text_col]).alias("text"))
-    train = rows.where(~F.col("held_out"))
-    n_docs, n_bytes = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    segments = max(16, -(-(n_bytes or 0) // SEGMENT_TEXT))
-    packed = train.select("text").mapInArrow(lambda it: _count(it, segments), "segment int, kind byte, keys binary, counts binary")
-    owned = packed.repartitionById(segments, F.col("segment")).sortWithinPartitions("segment").mapInArrow(_own, "segment int, words array<long>, counts array<long>, bits binary")
-    table = materialize(owned, "lm-segments")
-    del packed, owned
+    rows = docs.select(docs[id_col].alias("id"), held_out(docs[id_col], folds).alias("held_out"), utf8(docs[text_col]).alias("text"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = materialize(rows, "lm-docs")  # a task that runs again must find the same chunks
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), -(-n_bytes // part_text))
+    bits = min(56, max(40, int(n_bytes // 4).bit_length() + 9))  # one n-gram in 512, at most, shares its hash
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
+    cut = numbered.mapInArrow(lambda it: _cut(it, parts, bits), _FRAGMENT)
+    where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+    path = scratch(spark, "lm-parts")
+    owned = cut.repartitionById(parts, where).mapInArrow(lambda it: _own(it, bits, per_level), _OWNED)
+    owned.write.option("compression", "uncompressed").partitionBy("kind", "part").parquet(path)
+    read = spark.read.schema(_OWNED).parquet(path)
+    del cut, owned
     reclaim(spark)
 
-    sizes = table.select(F.explode("counts").alias("c")).groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("tokens")).collect()  # 4096 rows at most
-    distinct, total = sum(r["n"] for r in sizes), sum(r["tokens"] for r in sizes)
-    least, above = 4097, 0
-    for r in sorted(sizes, key=lambda r: -r["c"]):
-        above += r["n"]
-        if above > head_words:
-            break
-        least = r["c"]
-    heads = table.mapInArrow(lambda it: _head(it, least), "words binary, counts binary").collect()  # head_words words at most
-    head, counts = (np.concatenate([np.frombuffer(bytes(h[k]), t) for h in heads] or [np.empty(0, t)]) for k, t in (("words", np.uint64), ("counts", np.int64)))
-    order = np.argsort(head)
-    space = total + 0.5 * (distinct + 1)
+    table = read.where("kind = 2")
+    stats = np.zeros(_STATS)
+    for k, n in table.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect():  # a row for each statistic
+        stats[k] = n
+    words_n, words_sum, pairs_n, pairs_sum, triples_n, _ = stats[: 6 * LEVELS].reshape(6, LEVELS)
+    space = words_sum.sum() + 0.5 * (words_n.sum() + 1)
+    more = np.cumsum(words_n[::-1])[::-1]  # words of a level or above
+    least = next((k for k in range(1, LEVELS) if more[k] <= head_words), LEVELS)
+    head, counts = head_of(table, least)  # head_words words at most
+    both = [
+        tables(stats[6 * LEVELS + 1 : 6 * LEVELS + 5].tolist(), words_n, words_sum, pairs_n.sum()),
+        tables(stats[6 * LEVELS + 6 :].tolist(), pairs_n, pairs_sum, triples_n.sum()),
+    ]
+    model = Model(head, counts, float(space), *(np.stack(x) for x in zip(*both, strict=True)))
 
     groups: list[list[int]] = [[]]
     held = 0
-    for k, n in table.select("segment", F.octet_length("bits")).sort("segment").collect():  # a row for each 16 MB of text
+    for k, n in table.select("part", F.octet_length("data")).sort("part").collect():  # a row for each part
         if held + n > group_bytes and groups[-1]:
             groups.append([])
             held = 0
         groups[-1].append(k)
         held += n
-    load = lambda group: Filter.of({k: bytes(b) for k, b in table.where(F.col("segment").between(group[0], group[-1])).select("segment", "bits").collect()}, segments)  # noqa: E731  group_bytes at most
-    model = Model(None, head[order], counts[order], space)
-    send = spark.sparkContext.broadcast
-    schema = T.StructType(
+    answered = scratch(spark, "lm-answers")
+    answer_type = "chunk long, part int, data binary"
+    for group in filter(None, groups):
+        inside = F.col("part").between(group[0], group[-1])
+        filters = {k: bytes(b) for k, b in table.where(inside).select("part", "data").collect()}  # group_bytes, or one part
+        asked = spark.sparkContext.broadcast(Filter.of(filters, parts))
+        del filters
+        probes = read.where((F.col("kind") == 1) & inside).select("chunk", "part", "data")
+        probes.mapInArrow(lambda it, asked=asked: _answer(it, asked, bits), answer_type).write.mode("append").option("compression", "uncompressed").parquet(answered)
+        asked.destroy()
+        for k in group:  # answered; frees the disk
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=1/part={k}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
+    reclaim(spark)
+    sent = spark.sparkContext.broadcast(model)
+    scored_type = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
-        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("need", T.ArrayType(T.ByteType()))]
+        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
     )
-    if len(groups) == 1:
-        model.filter = load(groups[0]) if groups[0] else Filter.of({}, segments)
-        sent = send(model)
-        scored = materialize(rows.mapInArrow(lambda it: _score(it, sent, id_type), schema), "lm-scored")
+    if groups == [[]]:
+        scored = spark.createDataFrame([], scored_type)
     else:
-        sent = send(model)
-        bounds = np.array([g[0] for g in groups[1:]])
-        path = scratch(spark, "lm-probes")
-        reclaim(spark)
-        probes = rows.mapInArrow(lambda it: _probe(it, bounds, segments), _PART)
-        probes.write.option("compression", "zstd").partitionBy("part").parquet(path)
-        probes = spark.read.schema(_PART).parquet(path)
-        answers = probes.where("part = -1")
-        for g, group in enumerate(groups):
-            asked = send(load(group))
-            answers = answers.unionByName(materialize(probes.where(F.col("part") == g).select("chunk", "part", "data").mapInArrow(lambda it, asked=asked: _answer(it, asked), _PART), "lm-answers"))
-            asked.unpersist()
-            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part={g}")  # answered; frees the disk
-            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
-        together = answers.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
-        scored = materialize(together.mapInArrow(lambda it: _join(it, sent, id_type), schema), "lm-scored")
+        together = read.where("kind = 0").select("chunk", "part", "data").unionByName(spark.read.schema(answer_type).parquet(answered))
+        together = together.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
+        scored = materialize(together.mapInArrow(lambda it: _join(it, sent, bits, id_type), scored_type), "lm-scored")
     sent.unpersist()
     reclaim(spark)
-    share = 1.0 if fit_docs is None else min(1.0, fit_docs / max(1, n_docs))
-    luck = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)
-    seen = scored.where(~F.col("held_out")).where(luck).select("codes").mapInArrow(_tally, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # triples of levels, some thousand
-    weights = _fit(np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64), space)
-    needed = scored.select("row", F.explode(F.arrays_zip("rare", "need")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.need").alias("need"))
-    rare = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c")).where(F.col("c") < least)
+    rare = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c")).where(F.col("c") < float(_LEAST[least] if least < LEVELS else np.inf))
     c = F.coalesce("c", F.lit(0))
-    term = F.log10((c + 0.5) / F.lit(space))
-    base_needs, score_needs = F.col("need") % 2 == 1, F.col("need") >= 2
-    added = needed.join(rare, "word", "left").groupBy("row").agg(F.sum(F.when(base_needs, term)).alias("base2"), F.sum(F.when(score_needs, term)).alias("score2"), F.sum(F.when(base_needs & (c > 0), 1)).alias("known2"))
+    needed = scored.select("row", F.explode("rare").alias("word"))
+    added = needed.join(rare, "word", "left").groupBy("row").agg(F.sum(F.log10((c + 0.5) / F.lit(float(space)))).alias("base2"), F.sum(F.when(c > 0, 1)).alias("known2"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    light = scored.drop("rare", "need")
-    summed = light.mapInArrow(lambda it: _finish(it, weights, space), T.StructType([f for f in light.schema if f.name != "codes"]))
-    joined = summed.join(added, "row", "left")
-    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "known2").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), plus("score", "score2").alias("score"))
+    joined = scored.drop("rare").join(added, "row", "left")
+    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "known2").alias("n_known"), F.lit(int(words_sum.sum())).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), "score")

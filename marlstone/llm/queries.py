@@ -65,6 +65,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({k: F.round(k, 6) for k in ("base_score", "score")})
 
 
+def lm_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op9."""
+    return op9_lm_score(spark, sf_dir).drop("score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, held_out, identify
 
@@ -73,6 +78,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op10."""
+    return op10_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mix_sources": op2_mix_sources,
@@ -84,10 +94,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
+    "lm_base_score": lm_base_score,
+    "language_folds": language_folds,
 }
 
 ORACLE_SQL: dict[str, str] = {}
 
+#: CRC-32 of a text of ASCII characters.
+_CRC = """
+tab AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce([i::UBIGINT] || list_transform(range(0, 8), lambda k: 0::UBIGINT),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+crc AS (
+  SELECT *, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::UBIGINT),
+           lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)::INTEGER])), 4294967295::UBIGINT) AS crc
+  FROM documents, tab)"""
+
+ORACLE_SQL["lm_base_score"] = rf"""
+WITH {_CRC},
+word AS (
+  SELECT row, doc_id, held_out,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || ['\n']) AS w
+  FROM (SELECT *, row_number() OVER () AS row, crc % 5 = 1 AS held_out FROM crc)),
+seen AS (SELECT w, count(*) AS c FROM word WHERE NOT held_out GROUP BY w),
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM seen)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 0.5e0) / (n + 0.5e0 * (v + 1)))), 6) AS base_score
+FROM word LEFT JOIN seen USING (w), size GROUP BY row, doc_id, held_out, n
+"""
+
+ORACLE_SQL["language_folds"] = rf"""
+WITH {_CRC}
+SELECT doc_id, crc % 3 = 1 AS held_out, NOT regexp_matches(coalesce(text, ''), '\p{{L}}') AS undetermined FROM crc
+"""
+
 ORACLE_SQL["op3_warc_zip"] = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),

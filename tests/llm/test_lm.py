@@ -31,7 +31,7 @@ def test_base_score_and_folds(docs_of, options):
 def test_groups_agree(docs_of):
     """The words of a filter that goes out in groups score as those of one."""
     rows = [(k, f"alpha beta gamma{k % 5} delta{k % 7} alpha beta", "en", "s") for k in range(80)]
-    one, many = ({r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), group_bytes=b, fit_docs=0).collect()} for b in (1 << 20, 8))
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), group_bytes=b).collect()} for b in (1 << 20, 8))
     assert all(abs(one[k] - many[k]) < 1e-6 for k in one)
 
 
@@ -43,15 +43,127 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark):
 
 
 def test_filter():
-    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    keys = np.random.default_rng(1).integers(0, 1 << 40, 5000, dtype=np.uint64)
     counts = np.random.default_rng(2).integers(1, 500, 5000)
-    seg = lm._segment(keys, 4)
-    f = lm.Filter.of({k: lm._build(keys[seg == k], counts[seg == k]).tobytes() for k in range(4)}, 4)
-    got = f.count(keys)
-    assert (got >= np.ceil(lm.BASE ** (lm.levels(counts) - 1.0) - 1e-9)).all()  # a Bloom filter never forgets
-    assert (got <= counts).mean() > 0.9
-    unseen = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64)
-    assert (f.count(unseen) > 0).mean() < 0.06
+    level = lm.levels(counts)
+    f = lm.Filter.of({2: lm.build(keys, level)}, 4)
+    got = f.level(keys, 2)
+    assert (got >= level).all()  # a Bloom filter never forgets
+    assert (got == level).mean() > 0.9
+    unseen = np.random.default_rng(3).integers(0, 1 << 40, 5000, dtype=np.uint64)
+    assert (f.level(unseen, 2) > 0).mean() < 0.06 and not f.level(keys, 1).any()
+
+
+def test_levels():
+    assert lm.levels(np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 11, 12])).tolist() == [0, 1, 2, 3, 4, 4, 5, 5, 6, 6, 7]
+    for c in range(1, 5000):
+        k = lm.levels(np.array([c]))[0]
+        assert lm._LEAST[k] <= c <= lm._MOST[k]
+
+
+def brute_scores(rows):
+    """The model of the docstring from exact counts: a function from (u, v, w) to a probability, and each row's score."""
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
+    text = lambda t: ["<s>", "<s>", *(w.decode() for w in (t or "").encode().lower().split()), "</s>"]
+    c1, c2, c3, n_texts = Counter(), Counter(), Counter(), 0
+    for i, t in rows:
+        if crc(i) % 5 != 1:
+            w = text(t)
+            n_texts += 1
+            c1.update(w[2:])
+            c2.update(zip(w[1:], w[2:], strict=False))
+            c3.update(zip(w, w[1:], w[2:], strict=False))
+    space = sum(c1.values()) + 0.5 * (len(c1) + 1)
+    ends = [1.5**k for k in range(60)]
+    low = lambda c: max((math.ceil(e - 1e-9) for e in ends if math.ceil(e - 1e-9) <= c), default=0)
+    high = lambda c: min(math.ceil(e - 1e-9) - 1 for e in ends[1:] if math.ceil(e - 1e-9) > c) if c else 0
+
+    def smoothing(grams, contexts, kinds):
+        n = [sum(v == k for v in grams.values()) for k in range(1, 5)]
+        d = lm.discounts(n)
+        by = Counter()
+        total = Counter()
+        for v in contexts:
+            by[low(v)] += 1
+            total[low(v)] += v
+        left = lambda c: max(0, c - d[min(c, 3) - 1]) if c else 0
+        a, b = 0.0, 1.0
+        for _ in range(60):
+            m = (a + b) / 2
+            a, b = (m, b) if sum(by[k] * (total[k] / by[k]) ** m for k in by) < kinds else (a, m)
+        share = lambda q: max(left(low(k)) / low(k) for k in range(1, q + 1))
+        return left, lambda q: d[0] * q**a, share
+
+    s2 = smoothing(c2, c1.values(), len(c2) + 1)
+    pairs = {**c2, "<s>": n_texts} if n_texts else c2
+    s3 = smoothing(c3, pairs.values(), len(c3))
+
+    def step(smooth, c, q, below):
+        left, back, share = smooth
+        if not q:
+            return below
+        return (left(low(c)) + back(q) * below) / (q * share(q) + back(q))
+
+    def p(u, v, w):
+        p1 = (low(c1[w]) + 0.5) / space
+        q1 = high(n_texts if v == "<s>" else c1[v])
+        pair = c2[v, w]
+        k2 = min(low(pair), low(c1[w]), q1)
+        q2 = high(n_texts if v == "<s>" else c2[u, v])
+        k3 = min(low(c3[u, v, w]), k2, q2)
+        return step(s3, k3, q2, step(s2, k2, q1, p1))
+
+    score = lambda t: sum(math.log10(p(*x)) for x in zip(text(t), text(t)[1:], text(t)[2:], strict=False))
+    return p, c1, [(i, score(t)) for i, t in rows]
+
+
+def corpus():
+    r = __import__("random").Random(6)
+    weights = [1 / (k + 1) for k in range(30)]
+    text = lambda: " ".join(r.choices([f"w{k}" for k in range(30)], weights, k=r.randint(0, 25)))
+    rows = [(k, text()) for k in range(150)]
+    return rows + [(200 + k, rows[k][1]) for k in range(20)] + [(300, None), (301, ""), (None, "w1 w2 unknown"), (302, "W1 w1\tW1\n w1 " * 40), (302, "w1")]
+
+
+@pytest.mark.parametrize("options", [{}, {"group_bytes": 8, "head_words": 3}])
+def test_score_against_brute_force(docs_of, options):
+    rows = corpus()
+    _, _, wanted = brute_scores(rows)
+    found = lm.score(docs_of([(i, t, "en", "s") for i, t in rows]), per_level=400, **options).collect()  # so wide that no probe errs
+    assert len(found) == len(rows)
+    for (i, x), (k, y) in zip(sorted(((r["doc_id"], r["score"]) for r in found), key=str), sorted(wanted, key=str), strict=True):
+        assert i == k and abs(x - y) < 1e-6, (i, x, y)
+
+
+def test_probabilities_add_up_to_one_at_most():
+    p, c1, _ = brute_scores(corpus())
+    words = [*c1, "unknown"]
+    for u, v in [("<s>", "<s>"), ("<s>", "w0"), ("w0", "w1"), ("w5", "w3"), ("unknown", "w2"), ("w29", "w28"), ("unknown", "unknown")]:
+        total = sum(p(u, v, w) for w in words)
+        assert 0.3 < total <= 1 + 1e-9, (u, v, total)
+
+
+@pytest.mark.parametrize("most", [0, 2, 7])
+def test_head_is_bounded_whatever_the_counts(docs_of, monkeypatch, most):
+    """51 words with thousands of occurrences each."""
+    seen, head_of = [], lm.head_of
+
+    def watched(*a):
+        found = head_of(*a)
+        seen.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(lm, "head_of", watched)
+    rows = [(k, " ".join(f"w{j}" for j in range(51)) + " often often", "en", "s") for k in range(400)]
+    one = {r["doc_id"]: r["base_score"] for r in lm.score(docs_of(rows), head_words=most).collect()}
+    assert seen[0] <= most
+    assert all(abs(one[r["doc_id"]] - r["base_score"]) < 1e-6 for r in lm.score(docs_of(rows)).collect())
+
+
+def test_a_very_long_text(docs_of):
+    long = " ".join(f"w{k % 977}" for k in range(1_500_000))
+    found = {r["doc_id"]: r for r in lm.score(docs_of([(1, long, "en", "s"), (2, "w1 w2 w3", "en", "s")])).collect()}
+    assert found[1]["n_tokens"] == 1_500_001 and found[2]["n_tokens"] == 4 and found[1]["score"] > found[1]["base_score"]
 
 
 def test_empty(docs_of):
@@ -77,8 +189,8 @@ def test_pairs_seen_once_count(docs_of):
     assert found[held[0]]["base_score"] == found[held[1]]["base_score"] and found[held[0]]["score"] > found[held[1]]["score"] + 0.1
 
 
-def test_weights_come_from_all_training_texts(docs_of, monkeypatch):
-    seen, fit = [], lm._fit
-    monkeypatch.setattr(lm, "_fit", lambda codes, n, space: seen.append(int(n.sum())) or fit(codes, n, space))
+def test_smoothing_comes_from_all_training_texts(docs_of, monkeypatch):
+    seen, tables = [], lm.tables
+    monkeypatch.setattr(lm, "tables", lambda *a: seen.append(int(a[2].sum())) or tables(*a))
     (row, *_) = lm.score(docs_of([(k, f"a b{k % 9}", "en", "s") for k in range(6000)])).collect()
-    assert seen == [row["train_tokens"]]
+    assert seen[0] == row["train_tokens"]
