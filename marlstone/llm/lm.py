@@ -1,8 +1,9 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting. Scan tasks cut the texts to chunks of about a million words and write down, for each chunk, its tokens and its distinct words, pairs and triples
-(hashes) with their counts in training texts. These are dealt once by ranges of the hash space (parts); the owner of a part adds the
-counts up and builds its filter. Counts are over all training texts.
+Counting. The texts are written down once as tokens, in chunks of about a million words. Of each chunk the distinct words, pairs and triples
+(hashes) with their counts in training texts are dealt by ranges of the hash space (parts); the owner of a part adds the
+counts up and builds its filter. Counts are over all training texts. The hash space is gone through in ``SLICES`` slices one after the other, so that
+the n-grams of a slice only, and not of all, are on disk at once.
 
 Filter. A count c is quantised to the level 1 + floor(log_BASE c); level j of an n-gram is a member for each j up to
 that. A level is read by repeated probes, until one fails. The filters go to the workers by broadcast, in groups of parts of at most ``GROUP_BYTES``;
@@ -48,6 +49,8 @@ GROUP_BYTES = 32 << 20
 HEAD = 1 << 20
 #: Text whose n-grams make a part, about; an owner holds one at a time.
 PART_TEXT = 64 << 20
+#: Slices of the hash space that are dealt with one after the other.
+SLICES = 2
 #: Words of a chunk, about.
 CHUNK = 1 << 20
 LEVELS = 128
@@ -142,6 +145,14 @@ class Chunk:
         tokens[within] = numbers + 1
         return Chunk(rows, np.concatenate(([END], hashes(distinct))), tokens, sizes)
 
+    def packed(self) -> bytes:
+        return pickle.dumps((self.rows, _pack(self.words), _pack(self.tokens), _pack(self.sizes)))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Chunk:
+        rows, words, tokens, sizes = pickle.loads(data)
+        return Chunk(rows, _unpack(words), _unpack(tokens), _unpack(sizes).astype(np.int64))
+
     @property
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
@@ -159,35 +170,55 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys, and how often each is a training one; the flag rides on the key through one sort."""
     both = np.sort(keys << _U(1) | train.astype(np.uint64))
     key = both >> _U(1)
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    if not len(key):
+        return key, first
     return key[first], np.add.reduceat((both & _U(1)).astype(np.int64), first)
 
 
+_TOKENS = "chunk long, data binary"
 _FRAGMENT = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], parts: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk its tokens (part -1), and for each part the distinct words, pairs and triples that fall to it, in order, and their counts."""
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for rows, texts in _texts(batches, CHUNK):
-        chunk = Chunk.of(rows, texts)
-        train = np.repeat(np.array([not r[2] for r in rows]), chunk.sizes)
-        used = np.bincount(chunk.tokens[train], minlength=len(chunk.words))
-        order = np.argsort(chunk.words)
-        pair, triple = chunk.grams(bits)
-        starts = len(rows) - sum(r[2] for r in rows)
-        kinds = [(chunk.words[order], used[order]), list(_counted(pair, np.append(train, False))), _counted(triple, train)]
-        kinds[1][1][np.searchsorted(kinds[1][0], START >> _U(64 - bits))] += starts
-        cuts = [np.searchsorted(_part(k if i == 0 else k << _U(64 - bits), parts), np.arange(parts + 1)) for i, (k, _) in enumerate(kinds)]
-        data, counts = [pickle.dumps((rows, _pack(chunk.words), _pack(chunk.tokens), _pack(chunk.sizes)))], [None]
-        for p in range(parts):
-            own = [(k[c[p] : c[p + 1]], n[c[p] : c[p + 1]]) for (k, n), c in zip(kinds, cuts, strict=True)]
-            data.append(pickle.dumps([_pack_sorted(k) for k, _ in own]))
-            counts.append(pickle.dumps([_pack(n) for _, n in own]))
-        yield pa.RecordBatch.from_arrays([pa.array([number] * len(data), pa.int64()), pa.array(range(-1, parts), pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], _FRAGMENT.names)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([Chunk.of(rows, texts).packed()], pa.binary())], ["chunk", "data"])
         number += 1
 
 
+def _cut(batches: Iterator[pa.RecordBatch], low: int, high: int, parts: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk, for each part from ``low`` to ``high``, the distinct words, pairs and triples that fall to it, in order, and their counts."""
+    shift = _U(64 - bits)
+    first, last = (_U(-(-k * (1 << 32) // parts) << 32 if k < parts else (1 << 64) - 1) for k in (low, high))
+    edges = np.array([-(-k * (1 << 32) // parts) for k in range(low, high)][1:], np.uint64) << _U(32)
+
+    def inside(keys: np.ndarray) -> np.ndarray:
+        return (keys >= first) & (keys <= last if high == parts else keys < last)
+
+    for batch in batches:
+        for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+            chunk = Chunk.unpacked(data.as_py())
+            train = np.repeat(np.array([not r[2] for r in chunk.rows]), chunk.sizes)
+            used = np.bincount(chunk.tokens[train], minlength=len(chunk.words))
+            own = np.flatnonzero(inside(chunk.words))
+            own = own[np.argsort(chunk.words[own])]
+            kinds = [(chunk.words[own], used[own])]
+            for keys, flags in zip(chunk.grams(bits), (np.append(train, False), train), strict=True):
+                some = inside(keys << shift)
+                kinds.append(_counted(keys[some], flags[some]))
+            start = START >> shift
+            if inside(np.array([start << shift]))[0]:
+                kinds[1][1][np.searchsorted(kinds[1][0], start)] += sum(not r[2] for r in chunk.rows)
+            cuts = [np.concatenate(([0], np.searchsorted(k if i == 0 else k << shift, edges), [len(k)])) for i, (k, _) in enumerate(kinds)]
+            datas, counts = [], []
+            for p in range(high - low):
+                piece = [(k[c[p] : c[p + 1]], n[c[p] : c[p + 1]]) for (k, n), c in zip(kinds, cuts, strict=True)]
+                datas.append(pickle.dumps([_pack_sorted(k) for k, _ in piece]))
+                counts.append(pickle.dumps([_pack(n) for _, n in piece]))
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(datas), pa.int64()), pa.array(range(low, high), pa.int32()), pa.array(datas, pa.binary()), pa.array(counts, pa.binary())], _FRAGMENT.names)
+
+
 def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
@@ -244,7 +275,7 @@ _OWNED = T.StructType(
 
 
 def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterator[pa.RecordBatch]:
-    """Passes the fragments on, tokens as kind 0 and keys as kind 1, and adds for each part that comes the owner's row of kind 2: words with exact counts, statistics, filter."""
+    """Passes the keys on as kind 1, and adds for each part that comes its filter, kind 2, and its words with exact counts and its statistics, kind 3."""
     held: dict[int, list[_Sums]] = {}
     longs = pa.list_(pa.int64())
     shift = _U(64 - bits)
@@ -256,11 +287,10 @@ def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterat
     for batch in batches:
         parts = batch.column("part").to_pylist()
         for part, data, counts in zip(parts, batch.column("data"), batch.column("counts"), strict=True):
-            if part >= 0:
-                own = held.setdefault(part, [_Sums(), _Sums(), _Sums()])
-                for sums, k, c in zip(own, pickle.loads(data.as_py()), pickle.loads(counts.as_py()), strict=True):
-                    sums.add(_unpack_sorted(k), _unpack(c))
-        yield rows([int(p >= 0) for p in parts], batch.column("part"), batch.column("chunk"), batch.column("data"))
+            own = held.setdefault(part, [_Sums(), _Sums(), _Sums()])
+            for sums, k, c in zip(own, pickle.loads(data.as_py()), pickle.loads(counts.as_py()), strict=True):
+                sums.add(_unpack_sorted(k), _unpack(c))
+        yield rows([1] * len(parts), batch.column("part"), batch.column("chunk"), batch.column("data"))
     for part in list(held):
         sums = [s.sum() for s in held.pop(part)]
         level = [levels(c) for _, c in sums]
@@ -272,7 +302,9 @@ def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterat
                 stats[6 * LEVELS + 5 * (i - 1) : 6 * LEVELS + 5 * i] = np.bincount(np.minimum(c, 5), minlength=6)[:5] if len(c) else 0
         words, n = sums[0]
         filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), per_level)
-        yield rows([2], pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([filled], pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
+        at, none = pa.array([part], pa.int32()), pa.nulls(1, pa.int64())
+        yield rows([2], at, none, pa.array([filled], pa.binary()))
+        yield rows([3], at, none, pa.nulls(1, pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
 
 
 def _head(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -429,12 +461,10 @@ def _join(batches: Iterator[pa.RecordBatch], sent, bits: int, id_type: pa.DataTy
     at, parts = None, []
 
     def close() -> pa.RecordBatch:
-        rows, *packed = pickle.loads(parts[0])
-        words, tokens, sizes = map(_unpack, packed)
-        chunk = Chunk(rows, words, tokens, sizes.astype(np.int64))
+        chunk = Chunk.unpacked(parts[0])
         answers = [[_unpack(x) for x in pickle.loads(p)] for p in parts[1:]]
         pair, triple = chunk.grams(bits)
-        return _sums(chunk, *(_by_key(k, [a[i] for a in answers]) for i, k in enumerate((words, pair, triple))), model, id_type)
+        return _sums(chunk, *(_by_key(k, [a[i] for a in answers]) for i, k in enumerate((chunk.words, pair, triple))), model, id_type)
 
     for batch in batches:
         for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
@@ -447,6 +477,45 @@ def _join(batches: Iterator[pa.RecordBatch], sent, bits: int, id_type: pa.DataTy
         yield close()
 
 
+_ANSWER = "chunk long, part int, data binary"
+
+
+def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, per_level: int, group_bytes: int, path: str, answered: str) -> None:
+    """Counts the n-grams of some parts, builds their filters, and writes the levels that the chunks ask for. The n-grams and filters are deleted once they are used."""
+    spark = tokens.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete(folder: str) -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+
+    cut = tokens.mapInArrow(lambda it: _cut(it, low, high, parts, bits), _FRAGMENT)
+    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, bits, per_level), _OWNED)
+    owned.write.mode("append").option("compression", "uncompressed").partitionBy("kind", "part").parquet(path)
+    del cut, owned
+    reclaim(spark)
+    read = spark.read.schema(_OWNED).parquet(path).where(F.col("part").between(low, high - 1))
+    filters = read.where("kind = 2").select("part", "data")
+    groups: list[list[int]] = [[]]
+    held = 0
+    for k, n in filters.select("part", F.octet_length("data")).sort("part").collect():  # a row for each part
+        if held + n > group_bytes and groups[-1]:
+            groups.append([])
+            held = 0
+        groups[-1].append(k)
+        held += n
+    for group in filter(None, groups):
+        inside = F.col("part").between(group[0], group[-1])
+        asked = spark.sparkContext.broadcast(Filter.of({k: bytes(b) for k, b in filters.where(inside).collect()}, parts))  # group_bytes, or one part
+        probes = read.where((F.col("kind") == 1) & inside).select("chunk", "part", "data")
+        probes.mapInArrow(lambda it, asked=asked: _answer(it, asked, bits), _ANSWER).write.mode("append").option("compression", "uncompressed").parquet(answered)
+        asked.destroy()
+        for k in group:
+            delete(f"{path}/kind=1/part={k}")
+            delete(f"{path}/kind=2/part={k}")
+    reclaim(spark)
+
+
 def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, part_text: int = PART_TEXT, per_level: int = BITS) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -454,20 +523,17 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     rows = docs.select(docs[id_col].alias("id"), held_out(docs[id_col], folds).alias("held_out"), utf8(docs[text_col]).alias("text"))
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = materialize(rows, "lm-docs")  # a task that runs again must find the same chunks
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(partitions(spark), -(-n_bytes // part_text))
+    n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    if not n_docs:
+        return rows.select(F.col("id").alias(id_col), "held_out", *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")), *(F.lit(0.0).alias(c) for c in ("base_score", "score")))
+    parts = max(partitions(spark), -(-n_bytes // (SLICES * part_text))) * SLICES
     bits = min(56, max(40, int(n_bytes // 4).bit_length() + 9))  # one n-gram in 512, at most, shares its hash
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    cut = numbered.mapInArrow(lambda it: _cut(it, parts, bits), _FRAGMENT)
-    where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
-    path = scratch(spark, "lm-parts")
-    owned = cut.repartitionById(parts, where).mapInArrow(lambda it: _own(it, bits, per_level), _OWNED)
-    owned.write.option("compression", "uncompressed").partitionBy("kind", "part").parquet(path)
-    read = spark.read.schema(_OWNED).parquet(path)
-    del cut, owned
-    reclaim(spark)
-
-    table = read.where("kind = 2")
+    tokens = materialize(numbered.mapInArrow(_tokenize, _TOKENS), "lm-tokens")
+    path, answered = scratch(spark, "lm-parts"), scratch(spark, "lm-answers")
+    for part in range(0, parts, parts // SLICES):
+        _slice(tokens, part, part + parts // SLICES, parts, bits, per_level, group_bytes, path, answered)
+    table = spark.read.schema(_OWNED).parquet(path).where("kind = 3")
     stats = np.zeros(_STATS)
     for k, n in table.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect():  # a row for each statistic
         stats[k] = n
@@ -482,39 +548,14 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     ]
     model = Model(head, counts, float(space), *(np.stack(x) for x in zip(*both, strict=True)))
 
-    groups: list[list[int]] = [[]]
-    held = 0
-    for k, n in table.select("part", F.octet_length("data")).sort("part").collect():  # a row for each part
-        if held + n > group_bytes and groups[-1]:
-            groups.append([])
-            held = 0
-        groups[-1].append(k)
-        held += n
-    answered = scratch(spark, "lm-answers")
-    answer_type = "chunk long, part int, data binary"
-    for group in filter(None, groups):
-        inside = F.col("part").between(group[0], group[-1])
-        filters = {k: bytes(b) for k, b in table.where(inside).select("part", "data").collect()}  # group_bytes, or one part
-        asked = spark.sparkContext.broadcast(Filter.of(filters, parts))
-        del filters
-        probes = read.where((F.col("kind") == 1) & inside).select("chunk", "part", "data")
-        probes.mapInArrow(lambda it, asked=asked: _answer(it, asked, bits), answer_type).write.mode("append").option("compression", "uncompressed").parquet(answered)
-        asked.destroy()
-        for k in group:  # answered; frees the disk
-            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=1/part={k}")
-            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
-    reclaim(spark)
     sent = spark.sparkContext.broadcast(model)
     scored_type = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
         + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
     )
-    if groups == [[]]:
-        scored = spark.createDataFrame([], scored_type)
-    else:
-        together = read.where("kind = 0").select("chunk", "part", "data").unionByName(spark.read.schema(answer_type).parquet(answered))
-        together = together.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
-        scored = materialize(together.mapInArrow(lambda it: _join(it, sent, bits, id_type), scored_type), "lm-scored")
+    together = tokens.select("chunk", F.lit(-1).alias("part"), "data").unionByName(spark.read.schema(_ANSWER).parquet(answered))
+    together = together.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
+    scored = materialize(together.mapInArrow(lambda it: _join(it, sent, bits, id_type), scored_type), "lm-scored")
     sent.unpersist()
     reclaim(spark)
     rare = table.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c")).where(F.col("c") < float(_LEAST[least] if least < LEVELS else np.inf))
