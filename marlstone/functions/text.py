@@ -96,16 +96,117 @@ def like(column: Column, pattern: str, case_sensitive: bool) -> Column:
     return column.rlike(r"(?is)\A" + "".join(".*" if p.startswith("%") else "." if p == "_" else _quoted(p) for p in parts) + r"\z")
 
 
+#: The POSIX classes of ASCII characters.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": "\x00-\x7f", "blank": "\t ", "cntrl": "\x00-\x1f\x7f", "digit": "0-9", "graph": "!-~",
+    "lower": "a-z", "print": " -~", "punct": "!-/:-@[-`{-~", "space": "\t\n\v\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+#: Long names of general categories, and their codes.
+CATEGORIES = {"letter": "L", "uppercase_letter": "Lu", "lowercase_letter": "Ll", "mark": "M", "number": "N", "decimal_number": "Nd", "punctuation": "P", "symbol": "S", "separator": "Z", "other": "C"}
+_CODE = re.compile(r"[A-Z][a-z]?")
+_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]+))?([:)])")
+_POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
+_PROPERTY = re.compile(r"\\([pP])(?:\{(\^?)(?:(?:gc|sc|scx|Script|General_Category)=)?([A-Za-z_ -]+)\}|([A-Z]))")
+
+
+class PatternError(ValueError):
+    """A pattern that can't be said in java.util.regex."""
+
+
+def _ranges(members: str, negated: bool) -> str:
+    """A POSIX class, or its complement, as ranges of code points for within brackets."""
+    pairs = [(ord(a or c), ord(b or c)) for a, b, c in re.findall("(.)-(.)|(.)", members, re.S)]
+    if negated:
+        edges = [-1, *(x for p in sorted(pairs) for x in p), 0x110000]
+        pairs = [(a + 1, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True) if a + 1 <= b - 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in pairs)
+
+
+def _property(m: re.Match) -> str:
+    """A Unicode property by a name that Java knows."""
+    name = m[3] or m[4]
+    code = CATEGORIES.get(name.lower(), name)
+    letter = m[1] if not m[2] else {"p": "P", "P": "p"}[m[1]]
+    return rf"\{letter}{{{code if _CODE.fullmatch(code) else 'Is' + code.removeprefix('Is')}}}"
+
+
 def java_pattern(pattern: str, case_sensitive: bool) -> str:
-    """A pattern with Unicode classes, ``.`` for all but line feed, and ``$`` for the very end, in java.util.regex."""
-    out, inside, k = [], 0, 0
-    while k < len(pattern):
+    """A pattern of the language in java.util.regex: Unicode classes, ``.`` for all but line feed, ``^`` and ``$`` for the very ends, or under the flag ``m`` for those of lines; POSIX classes within brackets."""
+    out: list[str] = []
+    lines = [False]  # whether ``m`` holds, for each open group
+    depth, k, n = 0, 0, len(pattern)
+    while k < n:
         c = pattern[k]
-        if c == "\\" and k + 1 < len(pattern):
+        if c == "\\" and k + 1 < n:
+            if m := _PROPERTY.match(pattern, k):
+                out.append(_property(m))
+                k = m.end()
+                continue
             out.append(pattern[k : k + 2])
             k += 2
             continue
-        inside += (c == "[") - (c == "]" and inside > 0)
-        out.append(r"\z" if c == "$" and not inside else c)
+        if depth:
+            if c == "[" and (m := _POSIX.match(pattern, k)):
+                if m[2] not in POSIX:
+                    raise PatternError(f"unknown class {m[2]}")
+                out.append(_ranges(POSIX[m[2]], bool(m[1])))
+                k = m.end()
+                continue
+            if pattern.startswith(("--", "~~"), k):
+                raise PatternError("difference of classes")
+            if c == "[":
+                depth += 1
+            elif c == "]":
+                depth -= 1
+            out.append(c)
+            k += 1
+            if c == "[":
+                k = _first(pattern, k, out)
+            continue
+        if c == "[":
+            depth = 1
+            out.append(c)
+            k = _first(pattern, k + 1, out)
+            continue
+        if c == "(":
+            m = _FLAGS.match(pattern, k)
+            if m:
+                on, off = m[1], m[2] or ""
+                if set(on + off) - set("imsux"):
+                    raise PatternError("unknown flag")
+                inner = True if "m" in on else False if "m" in off else lines[-1]
+                say = lambda f: f.replace("m", "").replace("u", "Uu")
+                flags = say(on) + ("-" + say(off) if say(off) else "")
+                if m[3] == ")":
+                    lines[-1] = inner
+                    out.append(f"(?{flags})" if flags else "")
+                else:
+                    lines.append(inner)
+                    out.append(f"(?{flags}:")
+                k = m.end()
+                continue
+            lines.append(lines[-1])
+            if pattern.startswith("(?P<", k):
+                out.append("(?<")
+                k += 4
+                continue
+        elif c == ")" and len(lines) > 1:
+            lines.pop()
+        elif c == "$":
+            c = r"(?=\n|\z)" if lines[-1] else r"\z"
+        elif c == "^" and lines[-1]:
+            c = r"(?:\A|(?<=\n))"
+        out.append(c)
+        k += 1
+    return f"(?dU{'' if case_sensitive else 'iu'})" + "".join(out)
+
+
+def _first(pattern: str, k: int, out: list[str]) -> int:
+    """What follows an opening bracket: a caret, and a closing bracket that stands for itself."""
+    if pattern.startswith("^", k):
+        out.append("^")
+        k += 1
+    if pattern.startswith("]", k):
+        out.append(r"\]")
         k += 1
-    return f"(?dU{'' if case_sensitive else 'iu'})" + "".join(out).replace("(?P<", "(?<")
+    return k

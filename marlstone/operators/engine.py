@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import time
 from collections import OrderedDict, deque
@@ -14,10 +16,10 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import bm25
-from ..functions.text import fold
+from ..functions.text import ascii_lower, fold
 from ..functions.values import Flags, Variant
 from ..plans.lexer import normalize
-from ..plans.syntax import QueryError
+from ..plans.syntax import Many, Node, Predicate, Query, QueryError
 from ..sources import records as io
 from . import search as s
 from .aggregate import aggregate
@@ -26,6 +28,8 @@ from .search import ROW_ID, Dataset
 #: Fields that are indexed unless others are named; sizes of the result cache and of the latency window.
 DEFAULT_INDEXES = ("category", "country", "active")
 CACHE_SIZE, CACHE_MIN_HITS, WINDOW, SLOW_MS = 128, 2, 200, 50.0
+#: An index narrows a query if it leaves at most so many rows; their numbers are broadcast.
+CANDIDATES = 100_000
 
 
 class HandleError(KeyError):
@@ -94,10 +98,8 @@ class Metrics:
         self.recent.append(ms)
 
     def p95(self) -> float:
-        if not self.recent:
-            return 0.0
         ranked = sorted(self.recent)
-        return ranked[min(len(ranked) - 1, int(len(ranked) * 0.95))]
+        return ranked[math.ceil(len(ranked) * 0.95) - 1] if ranked else 0.0
 
 
 class Engine:
@@ -107,23 +109,38 @@ class Engine:
         self.cache = ResultCache(self.options.query_cache_cap)
         self.metrics = Metrics()
         self._tokens: DataFrame | None = None
+        self._postings: dict[str, DataFrame] = {}
+        self._size: int | None = None
 
     # queries
 
     def query(self, text: str) -> DataFrame:
-        """Rows of a query; lazily, but from the cache if it was asked often enough."""
-        started = time.perf_counter()
-        df = self._cached(text, "query", lambda q: s.search(self.data, q, self._ranked(q)))
-        self._note(started, 0)
-        return df
+        """Rows of a query; lazily, but from the cache if it was asked often enough. Nothing runs here, so the metrics don't count it: ``execute``, ``query_json`` and ``page`` do."""
+        return self._cached(text, "query", self._search)
+
+    def _search(self, query: Query) -> DataFrame:
+        return s.search(self._narrowed(query), query, self._ranked(query))
+
+    def execute(self, text: str) -> list:
+        """Rows of a query as objects, run and measured."""
+        return [json.loads(r) for r in self._run(text)]
 
     def query_json(self, text: str) -> str:
-        """Rows as a JSON array."""
-        started = time.perf_counter()
-        df = self._cached(text, "query", lambda q: s.search(self.data, q, self._ranked(q)))
+        """Rows as a JSON array, run and measured."""
+        return "[" + ",".join(self._run(text)) + "]"
+
+    def _run(self, text: str) -> list[str]:
+        started, hits = time.perf_counter(), self.cache.hits
+        df = self._cached(text, "query", self._search)
         rows = [r["json"] for r in s.json_rows(self.data, df).select("json").collect()]
-        self._note(started, len(rows))
-        return "[" + ",".join(rows) + "]"
+        self._note(started, 0 if self.cache.hits > hits else self._rows())
+        return rows
+
+    def _rows(self) -> int:
+        """Rows of the data; a scan reads them all."""
+        if self._size is None:
+            self._size = self.data.df.count()
+        return self._size
 
     def row_ids(self, text: str) -> DataFrame:
         return self._cached(text, "ids", lambda q: s.row_ids(self.data, q))
@@ -135,8 +152,8 @@ class Engine:
         whole = replace(query, limit=None, offset=0, order=(), select=None)
         everything = self._cached(repr(whole), "matches", lambda _: s.matched(self.data, whole)[0], whole)
         total = everything.count()
-        self._note(started, total)
-        return total, s.search(self.data, query, self._ranked(query))
+        self._note(started, self._rows())
+        return total, self._search(query)
 
     def page_json(self, text: str) -> dict:
         total, rows = self.page(text)
@@ -161,6 +178,44 @@ class Engine:
         if self.metrics.p95() > SLOW_MS:
             self.cache.min_hits = 1
 
+    # indexes in queries
+
+    def _narrowed(self, query: Query) -> Dataset:
+        """The data, or in a strict query without regard to case only the rows that an index leaves, if these are few. The condition is applied to them all the same."""
+        if query.case_sensitive or not query.strict or query.needs_score or ROW_ID not in self.data.df.columns:
+            return self.data
+        parts = query.where.parts if isinstance(query.where, Many) and query.where.kind == "and" else (query.where,)
+        for p in parts:
+            keys = self._keys(p)
+            if keys is None:
+                continue
+            rows = self.postings(p.path).where(F.col("key").isin(keys)).select(ROW_ID).distinct()
+            if len(rows.limit(CANDIDATES + 1).take(CANDIDATES + 1)) <= CANDIDATES:
+                return replace(self.data, df=self.data.df.join(F.broadcast(rows), ROW_ID, "left_semi"))  # CANDIDATES numbers at most
+        return self.data
+
+    def _keys(self, node: Node) -> list[str] | None:
+        """Keys of an equality or a list over an indexed field; None if the index can't answer it."""
+        if not isinstance(node, Predicate) or node.op not in ("=", "IN") or node.path not in self.indexes or not node.values:
+            return None
+        keys = []
+        for v in node.values:
+            if isinstance(v, bool):
+                keys.append(f"b:{str(v).lower()}")
+            elif isinstance(v, float):
+                keys.append("n:" + self.data.df.sparkSession.range(1).select(F.lit(v).cast("double").cast("string")).first()[0])
+            elif isinstance(v, str):
+                keys.append("s:" + ascii_lower(v))
+            else:
+                return None
+        return keys
+
+    def postings(self, path: str) -> DataFrame:
+        """The index of a field, made by the first query that uses it, in the order of its keys so that a lookup reads few blocks, and kept until the data changes."""
+        if path not in self._postings:
+            self._postings[path] = self.index(path).repartitionByRange("key").sortWithinPartitions("key").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._postings[path]
+
     # data
 
     def update(self, data: Dataset) -> None:
@@ -174,6 +229,10 @@ class Engine:
         if self._tokens is not None:
             self._tokens.unpersist()
             self._tokens = None
+        for held in self._postings.values():
+            held.unpersist()
+        self._postings.clear()
+        self._size = None
 
     def data_size(self) -> dict:
         """Rows, and bytes of their JSON text."""
@@ -191,6 +250,8 @@ class Engine:
     def drop_index(self, path: str) -> None:
         if path in self.indexes:
             self.indexes.remove(path)
+        if held := self._postings.pop(path, None):
+            held.unpersist()
 
     def index(self, path: str) -> DataFrame:
         """Postings: key (typed, ASCII lower case) and row number; an array is one entry for each element. Objects and nulls have none."""
@@ -208,7 +269,7 @@ class Engine:
             kind = value.kind.elementType if is_array else value.kind
             text = isinstance(kind, T.StringType)
             mark = "s:" if text else "b:" if isinstance(kind, T.BooleanType) else "n:"
-            key = F.concat(F.lit(mark), fold(F.col("v")) if text else F.col("v").cast("string"))
+            key = F.concat(F.lit(mark), fold(F.col("v")) if text else F.col("v").cast("string") if mark == "b:" else F.col("v").cast("double").cast("string"))
         else:
             return self.data.df.select(F.lit(None).cast("string").alias("key"), ids.alias(ROW_ID)).limit(0)
         return each.select(key.alias("key"), ROW_ID).where(F.col("key").isNotNull())
@@ -287,6 +348,11 @@ def search_json(spark: SparkSession, items: list, text: str) -> list[str]:
     return [r["json"] for r in s.json_rows(data, s.search(data, text)).select("json").collect()]
 
 
+def search_objects(spark: SparkSession, items: list, text: str) -> list:
+    """Rows of a query over Python objects, as Python objects."""
+    return [json.loads(r) for r in search_json(spark, items, text)]
+
+
 def execute_query_json(spark: SparkSession, items_json: str, text: str) -> str:
     data = io.from_json_array(spark, items_json)
     return io.to_json_array(data, s.search(data, text))
