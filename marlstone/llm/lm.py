@@ -307,6 +307,16 @@ def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterat
         yield rows([3], at, none, pa.nulls(1, pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
 
 
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the statistics of a task's parts."""
+    out = np.zeros(_STATS, np.int64)
+    for batch in batches:
+        for stats in batch.column("stats"):
+            out += stats.values.to_numpy()
+    used = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(out[used])], ["pos", "n"])
+
+
 def _head(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of each part the words of at least that level, and their counts."""
     for batch in batches:
@@ -535,7 +545,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         _slice(tokens, part, part + parts // SLICES, parts, bits, per_level, group_bytes, path, answered)
     table = spark.read.schema(_OWNED).parquet(path).where("kind = 3")
     stats = np.zeros(_STATS)
-    for k, n in table.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect():  # a row for each statistic
+    for k, n in table.select("stats").mapInArrow(_total, "pos int, n long").groupBy("pos").agg(F.sum("n")).collect():  # a row for each statistic
         stats[k] = n
     words_n, words_sum, pairs_n, pairs_sum, triples_n, _ = stats[: 6 * LEVELS].reshape(6, LEVELS)
     space = words_sum.sum() + 0.5 * (words_n.sum() + 1)
