@@ -1,13 +1,14 @@
 """Main-text extraction with a tree-structured graphical model.
 
 A page becomes a tree of block elements; inline elements belong to their block. Each node is content or not. Node
-potentials are log-odds of its features (tag, words of class, id and role, share of its text in links);
-a potential for each kind of parent couples the labels of parent and child. Both are counted on labelled pages (see
-``html_pages``). Sum-product messages go up from the leaves and down from the root, which gives exact
+potentials are log-odds of its features (tag, words of class, id and role, how much text it and all below it have and the share of that in links, whether it
+stands beside an ``article`` or ``main`` that the page has); a potential for each kind of parent couples the labels of parent and child. Both are counted on
+labelled pages (see ``html_pages``), among them pages without names and with names that mean nothing; at a name that training hasn't seen the rest decides. Sum-product messages go up from the leaves and down from the root, which gives exact
 marginals; the text of nodes that are more likely content than not is the result.
 
-Scripts, styles, comments, the head, and form controls never have text. Character references are decoded after the tags are split off;
-white space (line breaks ``<br>`` too) becomes one space; blocks without text are left out. Null or empty pages give an empty text.
+Scripts, styles, comments, the head, form controls and elements that their attributes hide never have text. Character references are decoded after the tags are split off;
+white space (line breaks ``<br>`` too) becomes one space; blocks without text are left out. Null or empty pages give an empty text, an empty table no rows; pages of any length are read whole.
+Tags are read by the attribute states of the HTML standard, so that stray quotes don't turn markup into text; of a value whose quote is never closed, the tag ends at its first ``>``.
 Unclosed, misnested or deeply nested elements are no error. Repeated rows each get their row; other columns are not read.
 """
 
@@ -16,10 +17,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +40,40 @@ BLOCKS = set("html body main article section nav aside header footer div p h1 h2
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 LABELS = "data-y"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: What stands in the names of an element that its attributes hide.
+UNSHOWN = "-hidden-"
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z>])[^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>\x00]*)", re.S)
+#: Attributes of a tag as they are mostly written, up to its end; the rest goes through ``_attribute_end``.
+_PLAIN = re.compile(r"(?:[\s/]++[^\s/>=\"'<]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+[\s/]*+>")
+_NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)\s*+(=?)\s*+")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\s(hidden)(?=[\s/>]|\Z)", re.I)
+_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _attribute_end(source: str, at: int) -> int:
+    """Where a tag ends whose attributes begin at ``at``, after the closing ``>``."""
+    if m := _PLAIN.match(source, at):
+        return m.end()
+    n = len(source)
+    while at < n:
+        m = _NAME.match(source, at)
+        at = m.end()
+        if at >= n or source[at] == ">" and not m[2]:
+            return min(n, at + 1)
+        if m[2]:
+            quote = source[at]
+            if quote in "\"'":
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    end = source.find(">", at)
+                    return n if end < 0 else end + 1
+                at = end + 1
+            else:
+                at = _UNQUOTED.match(source, at).end()
+        elif m.end() == m.start():
+            at += 1
+    return n
 
 
 @dataclass(slots=True)
@@ -52,44 +86,62 @@ class Node:
     linked: int = 0
 
 
-_CONTAINERS = frozenset(html_pages.CONTENT)
-
-
 @dataclass(slots=True)
 class Page:
     nodes: list[Node] = field(default_factory=list)
     #: Runs of text in page order: node and text.
     blocks: list[tuple[int, str]] = field(default_factory=list)
-    container: bool | None = None
-
-    def contained(self) -> bool:
-        """Whether some element is an article by its tag or name."""
-        if self.container is None:
-            self.container = any(n.tag in ("article", "main") or not _CONTAINERS.isdisjoint(n.names) for n in self.nodes)
-        return self.container
-
-
-@cache
+    _sums: tuple[list[int], list[int], list[int], list[bool]] | None = None
+
+    def sums(self) -> tuple[list[int], list[int], list[int], list[bool]]:
+        """Of each node the text and the linked text in it and below, how many of its children are paragraphs, and whether it stands beside the page's articles."""
+        if self._sums is None:
+            nodes = self.nodes
+            text, linked = [n.text for n in nodes], [n.linked for n in nodes]
+            holds = [n.tag in ("article", "main") for n in nodes]  # an article, or some below
+            within = list(holds)
+            paragraphs = [0] * len(nodes)
+            for k in range(len(nodes) - 1, 0, -1):
+                p = nodes[k].parent
+                text[p] += text[k]
+                linked[p] += linked[k]
+                paragraphs[p] += nodes[k].tag in PARAGRAPHS and nodes[k].text > nodes[k].linked
+                holds[p] = holds[p] or holds[k]
+            for k in range(1, len(nodes)):
+                within[k] = within[k] or within[nodes[k].parent]
+            self._sums = text, linked, paragraphs, [holds[0] and not (h or w) for h, w in zip(holds, within, strict=True)]
+        return self._sums
+
+
+@lru_cache(1 << 12)
 def _names(attrs: str) -> tuple[tuple[str, ...], str | None]:
     """Words of class, id and role; the training label."""
     found: set[str] = set()
     label = None
     for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
+        key, value = (m[5] or m[1]).lower(), next((g for g in m.groups()[1:4] if g is not None), "")
         if key in ("class", "id", "role"):
             whole = value.lower().split()
             found.update(w for x in whole for w in (x, *re.split(r"[^a-z]+", x)) if w)
         elif key == LABELS:
             label = value
-        elif key in ("hidden", "aria-hidden") and value.lower() != "false":
-            found.add("-hidden-")
+        elif key in ("hidden", "aria-hidden") and value.lower() != "false" or key == "style" and _UNSHOWN.search(value):
+            found.add(UNSHOWN)
     return tuple(sorted(found)), label
 
 
+def _telling(attrs: str) -> str:
+    """What of a tag's attributes can matter, so that links with an address each are one key of the cache."""
+    return attrs if any(k in attrs for k in _KEYS) else ""
+
+
+_KEYS = ("class", "id", "role", "hidden", "style", "CLASS", "ID", "ROLE", "Class", "Id", LABELS)
+
+
 def parse(source: str) -> Page:
     page = Page([Node("html", (), -1, None)])
     nodes = page.nodes
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block each belongs to
+    stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # open elements, the block each belongs to, and whether it isn't shown
     counts: Counter[str] = Counter()
     hidden = links = 0
     run: list[str] = []
@@ -112,9 +164,9 @@ def parse(source: str) -> Page:
     def close(k: int) -> None:
         nonlocal hidden, links
         flush()
-        for tag, _ in stack[k:]:
+        for tag, _, unshown in stack[k:]:
             counts[tag] -= 1
-            hidden -= tag in HIDDEN
+            hidden -= unshown
             links -= tag == "a"
         del stack[k:]
 
@@ -129,6 +181,8 @@ def parse(source: str) -> Page:
             if m[0].startswith("<![CDATA["):
                 say(html.escape(m[0][9:-3]))
             continue
+        end = _attribute_end(source, at)
+        attrs, at = source[at : end - 1], end
         tag = tag.lower()
         block = tag in BLOCKS
         if m[1]:
@@ -138,13 +192,13 @@ def parse(source: str) -> Page:
                 k = len(stack) - 1
                 while stack[k][0] != tag:
                     k -= 1
-                if block or tag in HIDDEN or not any(t in BLOCKS for t, _ in stack[k + 1 :]):
-                    if block or any(t in BLOCKS for t, _ in stack[k + 1 :]):
+                if block or tag in HIDDEN or not any(t in BLOCKS for t, *_ in stack[k + 1 :]):
+                    if block or any(t in BLOCKS for t, *_ in stack[k + 1 :]):
                         close(k)
                     else:  # an inline element ends within its block
-                        for t, _ in stack[k:]:
+                        for t, _, unshown in stack[k:]:
                             counts[t] -= 1
-                            hidden -= t in HIDDEN
+                            hidden -= unshown
                             links -= t == "a"
                         del stack[k:]
             continue
@@ -176,17 +230,17 @@ def parse(source: str) -> Page:
                     k -= 1
                 if last is not None:
                     close(last)
-        names, label = _names(m[3]) if m[3] else ((), None)
+        names, label = _names(_telling(attrs)) if attrs else ((), None)
         if tag == "html":
             continue
         own = stack[-1][1]
-        if block:
+        if block and not hidden and UNSHOWN not in names:
             nodes.append(Node(tag, names, own, label if label is not None else nodes[own].label))
             own = len(nodes) - 1
-        if not m[3].endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, own))
+        if not attrs.endswith("/") or tag not in ("svg", "path"):
+            stack.append((tag, own, unshown := tag in HIDDEN or UNSHOWN in names))
             counts[tag] += 1
-            hidden += tag in HIDDEN
+            hidden += unshown
             links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(source, at)
@@ -194,32 +248,39 @@ def parse(source: str) -> Page:
             close(len(stack) - 1) if block else None
             if not block:
                 counts[tag] -= 1
-                hidden -= tag in HIDDEN
+                hidden -= 1
                 stack.pop()
     flush()
     return page
 
 
-@cache
-def _features(tag: str, names: tuple[str, ...], text: str, place: str) -> tuple[str, ...]:
-    return (f"{tag}/{text}", *(f"name={w}" for w in names), *((f"{place}/{tag}",) if place else ()))
+@lru_cache(1 << 14)
+def _features(tag: str, names: tuple[str, ...], own: str, below: str, paragraphs: int, beside: bool, top: bool) -> tuple[str, ...]:
+    return (f"{tag}/{own}", *((f"below/{below}", f"paragraphs/{paragraphs}") if below else ()), *(f"name={w}" for w in names), *((f"unnamed/{tag}",) if not names and tag in ("div", "section") else ()), *((f"beside/{tag}",) if beside else ()), *((f"top/{tag}",) if top else ()))
+
+
+def _amount(text: int, linked: int) -> str:
+    """How much text, and the share of it in links by quarters."""
+    return f"{bisect(AMOUNTS, text)}-{4 * min(linked, text) // text if text else 0}"
 
 
 def features(page: Page, k: int) -> tuple[str, ...]:
-    """Of a node: tag with the share of its text in links (in quarters), or that it has no text of its own; its names; for children of the body whether the page has a container for an article."""
+    """Of a node: its tag with the amount of its own text; the amount of all text in it and the number of its paragraphs, if some lies below; its names; its tag if it stands beside the page's articles, and if it is a child of the body."""
     n = page.nodes[k]
-    place = ("loose" if page.contained() else "free") if page.nodes[n.parent].tag in ("body", "html") else ""
-    return _features(n.tag, n.names, str(int(4 * min(1.0, n.linked / n.text))) if n.text else "bare", place)
+    text, linked, paragraphs, beside = page.sums()
+    return _features(n.tag, n.names, _amount(n.text, n.linked), _amount(text[k], linked[k]) if text[k] > n.text else "", min(3, paragraphs[k]), beside[k], page.nodes[n.parent].tag in ("body", "html"))
 
 
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 pre blockquote".split())
+#: Bounds of amounts of text, in characters.
+AMOUNTS = (1, 60, 400)
 #: Kinds of parents that couple with their children alike.
 KINDS = {"html": "page", "body": "page", "main": "main", "article": "article", "section": "section", "div": "section", "ul": "list", "ol": "list", "table": "list", "tbody": "list", "tr": "list", "dl": "list"}
 
 
 def kind(node: Node) -> str:
-    """Kind of a parent; sections that are named like an article couple more closely than wrappers."""
-    found = KINDS.get(node.tag, "leaf")
-    return "named" if found == "section" and not _CONTAINERS.isdisjoint(node.names) else found
+    """Kind of a parent."""
+    return KINDS.get(node.tag, "leaf")
 
 
 @dataclass

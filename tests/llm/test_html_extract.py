@@ -1,6 +1,9 @@
 import html
+import itertools
+import math
 import re
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -93,3 +96,59 @@ def test_layouts():
     for page in LAYOUTS:
         blocks = H.extract(page, H.trained()).split("\n\n")
         assert len(blocks) == page.count("KEEP") and all("KEEP" in b for b in blocks)
+
+
+S = "Some sentence of usual length stands here."
+#: Pages without names, with names that mean nothing, hidden blocks and stray quotes; written by hand, with the blocks that must come out.
+PROBES = {
+    "<body><div><p>Only a paragraph of text in a container without a name.</p></div></body>": 1,
+    f"<body><div><h1>Title here</h1><p>{S} {S}</p><p>{S}</p><p>{S}</p></div></body>": 4,
+    f"<body><div class='xq1'>{f'<p>{S} {S}</p>' * 4}</div><div class='zrt'>{f'<p>{S} {S}</p>' * 4}</div></body>": 8,
+    f"<body><div><div>{S} {S}</div><div>{S}</div></div></body>": 2,
+    f'<body><article><p class="a"">{S}</p><p>See <a href="x">that</a> and more.</p></article></body>': 2,
+    f'<body><article><p>{S}<a href="x>link</a> more text.</p><p>{S}</p></article></body>': 2,
+    f"<body><article><p title='a>b' data-x=\"<p>\">{S}</p><p/class=x>{S}</p><p a='1'b=\"2\">{S}</p></article></body>": 3,
+    f"<body><div><p>{S}</p><div hidden><p>no</p></div><p>{S}</p><p style='display: none'>no</p><span hidden>no</span></div></body>": 2,
+    f"<body><p>{S}</p></body>": 1,
+    S: 1,
+    f"<p>{S}<p>{S}": 2,
+    f"<body><table><tr><td><p>{S} {S}</p><p>{S}</p></td></tr></table></body>": 2,
+}
+
+
+@pytest.mark.parametrize("source", PROBES)
+def test_pages_without_telling_names(source):
+    blocks = H.extract(source, H.trained()).split("\n\n")
+    assert len(blocks) == PROBES[source] and all(blocks)
+    assert not any("<" in b.replace("a>b", "") or "class" in b or b == "no" for b in blocks)
+
+
+def test_menus_without_names():
+    page = f"<body><div id=q1><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul></div><div id=q2><h1>Head</h1><p>{S}</p><p>{S}</p></div></body>"
+    assert H.extract(page, H.trained()).split("\n\n") == ["Head", S, S]
+
+
+@pytest.mark.parametrize("source", [p for p in [*LAYOUTS, *PROBES] if len(H.parse(p).nodes) <= 12])
+def test_extract_against_enumeration(source):
+    """The extraction is the blocks of the nodes that are more likely content than not, summed over all labellings of the tree."""
+    page, model = H.parse(source), H.trained()
+    total, on = 0.0, [0.0] * len(page.nodes)
+    local = [1 / (1 + math.exp(-max(-30.0, min(30.0, sum(model.odds.get(f, 0.0) for f in H.features(page, k)))))) for k in range(len(page.nodes))]
+    for labels in itertools.product((0, 1), repeat=len(page.nodes) - 1):
+        y = (1, *labels)
+        w = math.prod((local[k] if y[k] else 1 - local[k]) * model.couple.get(H.kind(page.nodes[n.parent]), ((0.5, 0.5),) * 2)[y[n.parent]][y[k]] for k, n in enumerate(page.nodes[1:], 1))
+        total += w
+        on = [a + w * b for a, b in zip(on, y, strict=True)]
+    assert H.extract(source, model) == "\n\n".join(t for k, t in page.blocks if on[k] / total > 0.5)
+
+
+def test_caches_are_bounded():
+    H.extract("".join(f"<p class='c{k}'><a href='/{k}' id='i{k}'>x</a></p>" for k in range(20_000)), H.trained())
+    for cached in (H._names, H._features):
+        assert cached.cache_info().maxsize and cached.cache_info().currsize <= cached.cache_info().maxsize
+
+
+def test_clashing_columns(spark):
+    names = "page_id long, url string, html string, text string, n_chars string, label string, names string"
+    df = spark.createDataFrame([(1, "u", f"<article><p>{S}</p></article>", "other", "x", "y", "z")], names)
+    assert [tuple(r) for r in H.main_text(df).collect()] == [(1, "u", S, len(S))]
