@@ -1,15 +1,16 @@
 """WARC records in ZIP packages: writing, and reading by ranges without extraction.
 
 A package is a ZIP file with stored members: ``archive/*.warc.gz`` (each record a gzip member of its own) and
-``indexes/*.cdxj`` (a line per record: member, offset, length). The reader takes the file's tail, parses the end record, the
+``indexes/*.cdxj`` (sorted lines, one per record: the address as a SURT key, the time, and member, offset and length). The reader takes the file's tail, parses the end record, the
 ZIP64 end record where there is one, and the central directory, finds the stored members from their local headers, reads the
-index and then each record by its range. Nothing is unpacked to disk and no archive is read whole.
+index and then the records by their ranges, adjacent ones in one read of bounded size. Nothing is unpacked to disk and no archive is read whole.
 
 Packages lie in the shared folder and are reached through pyarrow.fs, so it can be a local path, HDFS or an object store.
 A task writes under a temporary name and renames at the end, so a repeated task leaves one whole package; readers take the
 paths from the rows of the tasks that succeeded.
 
-Null payloads count as empty. Records with equal payloads of at least ``revisit_bytes`` bytes: rows with the smallest page_id (null
+Null payloads count as empty; an empty table gives no package and no rows; a very long payload is a record like any other. Ids are percent-encoded in the records' names, a null id has a name of its own. Payloads are equal if
+their SHA-256, SHA-1 and length are: SHA-1 alone, which the records state, has known collisions. Records with equal payloads of at least ``revisit_bytes`` bytes: rows with the smallest page_id (null
 ids come last) are responses, the others revisit it. Repeated rows with that id are all responses. Smaller payloads are always responses.
 """
 
@@ -25,11 +26,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, scratch, utf8
@@ -40,7 +42,7 @@ READ_AHEAD = 4 << 20
 #: Fixed values of the ZIP format: signatures and the extra field of ZIP64.
 LOCAL, CENTRAL, END, END64, LOCATOR, ZIP64_EXTRA = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 0x0001
 M32, M16 = 0xFFFFFFFF, 0xFFFF
-_DATE = "2024-01-01T00:00:00Z"
+_DATE, _TIME = "2024-01-01T00:00:00Z", "20240101000000"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -159,8 +161,25 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return head, raw[k + 4 : k + 4 + int(head["Content-Length"])]
 
 
+#: Name of a record whose page has no id; no encoded id begins like it.
+NO_ID = "urn:no-page"
+
+
 def _urn(page_id) -> str:
-    return f"urn:page:{'null' if page_id is None else page_id}"
+    return NO_ID if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
+def surt(url: str | None) -> str:
+    """Sort key of an address: its host's parts from the last to the first, then port, path and query."""
+    try:
+        parts = urlsplit("".join((url or "").split()))
+        host, port = (parts.hostname or ""), parts.port
+    except ValueError:  # an address that can't be taken apart
+        return "-)/"
+    if not host:
+        return "-)/" + quote(parts.path, safe="/%:@")
+    key = ",".join(reversed(host.removeprefix("www.").split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (parts.path or "/")
+    return key + (f"?{parts.query}" if parts.query else "")
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -188,7 +207,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, zip64: bool) -> Itera
         if lines:
             name = f"{members:05d}"
             package.add(f"archive/{name}.warc.gz", warc.getvalue())
-            package.add(f"indexes/{name}.cdxj", "".join(f"{u} {json.dumps(x | {'filename': f'archive/{name}.warc.gz'})}\n" for u, x in lines).encode())
+            package.add(f"indexes/{name}.cdxj", "".join(sorted(f"{key} {_TIME} {json.dumps(x | {'filename': f'archive/{name}.warc.gz'})}\n" for key, x in lines)).encode())
             members += 1
         warc, lines = io.BytesIO(), []
 
@@ -209,8 +228,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, zip64: bool) -> Itera
                 begin()
                 n = 0
             revisit = first is not None and first != page_id
-            record = warc_record("revisit" if revisit else "response", _urn(page_id), url, html, base32_sha1(html), _urn(first) if revisit else None)
-            lines.append(("urn", {"offset": warc.tell(), "length": len(record)}))
+            digest = base32_sha1(html)
+            record = warc_record("revisit" if revisit else "response", _urn(page_id), url, html, digest, _urn(first) if revisit else None)
+            lines.append((surt(url), {"url": url or "", "digest": f"sha1:{digest}", "offset": warc.tell(), "length": len(record)}))
             warc.write(record)
             n += 1
             if warc.tell() >= MEMBER_BYTES:
@@ -223,15 +243,21 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, zip64: bool) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], ["path", "n_records"])
 
 
+def payload_key(payload: Column) -> Column:
+    """What equal payloads share, and others don't."""
+    return F.concat_ws(" ", F.sha2(payload, 256), F.sha1(payload), F.octet_length(payload).cast("string"))
+
+
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, zip64: bool = False) -> DataFrame:
     """Write a record for each page; returns path and n_records of each package (written when that is evaluated)."""
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), utf8(pages[html_col]).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    large = rows.where(F.octet_length("html") >= revisit_bytes)
-    # only payloads that occur again need the join; rows of a hot payload are split by the skew join, since the other side has one row
-    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    keyed = rows.withColumn("key", payload_key(F.col("html")))
+    large = keyed.where(F.octet_length("html") >= revisit_bytes)
+    # Only payloads that occur again are joined, found from their keys alone and written, so that their number is known: where they are few they are broadcast
+    # by Spark's own bound and no payload is shuffled; where they are many, rows of a hot payload are split by the skew join, since the other side has one row.
+    firsts = materialize(large.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "warc-repeated")
     first = F.when(F.octet_length("html") >= revisit_bytes, F.col("first"))
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", first.alias("first"), "html")
+    joined = keyed.join(firsts, "key", "left").select("page_id", "url", first.alias("first"), "html")
     return joined.mapInArrow(lambda it: _write(it, folder, zip64), "path string, n_records long")
 
 
@@ -244,12 +270,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with fs.open_input_file(at) as file:
                 package = PackageReader(file, file.size())
                 for index in sorted(m for m in package.members if m.startswith("indexes/")):
-                    entries = [json.loads(line.split(" ", 1)[1]) for line in package.range(*package.data_at(index)).decode().splitlines()]
+                    entries = [json.loads(line.split(" ", 2)[2]) for line in package.range(*package.data_at(index)).decode().splitlines()]
                     where = {name: package.data_at(name)[0] for name in {e["filename"] for e in entries}}
                     out: list[list] = []
                     held = 0
-                    for e in entries:
-                        head, body = parse_record(package.range(where[e["filename"]] + e["offset"], e["length"]))
+                    for data in _ranges(package, [(where[e["filename"]] + e["offset"], e["length"]) for e in entries]):
+                        head, body = parse_record(data)
                         refers = head.get("WARC-Refers-To")
                         if head["WARC-Type"] == "response" and (head["WARC-Payload-Digest"] != f"sha1:{base32_sha1(body)}" or int(head["WARC-Payload-Length"]) != len(body)):
                             raise ValueError(f"{path}: the payload of {head['WARC-Record-ID']} isn't what its header says")
@@ -262,6 +288,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _records(out, names)
 
 
+def _ranges(package: PackageReader, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes of ranges, in the order of their places; runs of adjacent ones are read at once, up to ``READ_AHEAD`` bytes."""
+    ranges = sorted(ranges)
+    k = 0
+    while k < len(ranges):
+        start, length = ranges[k]
+        end, n = start + length, k + 1
+        while n < len(ranges) and ranges[n][0] == end and end + ranges[n][1] - start <= READ_AHEAD:
+            end += ranges[n][1]
+            n += 1
+        data = package.range(start, end - start)
+        yield from (data[a - start : a - start + m] for a, m in ranges[k:n])
+        k = n
+
+
 def _records(out: list[list], names: list[str]) -> pa.RecordBatch:
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -279,5 +320,5 @@ def round_trip(pages: DataFrame, revisit_bytes: int = 0, id_col: str = "page_id"
     folder = scratch(spark, "warc")
     written = materialize(write_packages(pages, folder, id_col=id_col, revisit_bytes=revisit_bytes, **columns), "warc-packages")
     records = read_packages(written.repartition(partitions(spark)))
-    plain = lambda c: F.when(F.col(c) != "urn:page:null", F.substring(c, 10, 1 << 30)).cast(id_type)
+    plain = lambda c: F.when(F.col(c) != NO_ID, F.url_decode(F.substring(c, 10, 1 << 30))).cast(id_type)
     return records.select(plain("urn").alias(id_col), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", plain("refers_to").alias("refers_to"))

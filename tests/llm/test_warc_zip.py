@@ -1,12 +1,15 @@
 import base64
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from marlstone.llm import warc_zip
 from marlstone.llm.warc_zip import PackageReader, PackageWriter, parse_record, read_packages, round_trip, warc_record, write_packages
 
 
@@ -72,3 +75,47 @@ def test_payloads(spark, tmp_path):
     written = spark.createDataFrame(paths.collect(), "path string, n_records long")
     found = {r["urn"]: r for r in read_packages(written).collect()}
     assert bytes(found["urn:page:1"]["payload"]).decode() == "<p>é</p>" and found["urn:page:2"]["payload"] == b"" and found["urn:page:2"]["refers_to"] == "urn:page:1"
+
+
+def test_equal_digests_of_unequal_payloads(spark, monkeypatch):
+    """SHA-1 has known collisions; here all payloads have one digest."""
+    monkeypatch.setattr(warc_zip.F, "sha1", lambda c: F.lit("same"))
+    df = spark.createDataFrame([(1, "u", "one"), (2, "v", "two"), (3, "w", "one"), (4, "x", "six")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["refers_to"] for r in round_trip(df).collect()} == {1: None, 2: None, 3: 1, 4: None}
+
+
+def test_ids_of_any_text(spark):
+    ids = ["null", None, "a b", "line\nbreak", "é/%2F+?", "", "urn:no-page", " x "]
+    df = spark.createDataFrame([(i, "http://x", f"<p>{k // 2}</p>") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    found = [(r["page_id"], r["refers_to"]) for r in round_trip(df).collect()]
+    assert sorted(i or "" for i, _ in found) == sorted(i or "" for i in ids) and [i for i, _ in found].count(None) == 1
+    assert sorted(t for _, t in found if t is not None) == sorted(["null", "a b", "", " x "])
+
+
+def test_index_lines(spark, tmp_path):
+    urls = ["https://www.Example.com/b?q=1", "http://a.example.org:8080", None, "no address", "http://[bad"]
+    assert [warc_zip.surt(u) for u in urls] == ["com,example)/b?q=1", "org,example,a:8080)/", "-)/", "-)/noaddress", "-)/"]
+    df = spark.createDataFrame([(k, u, f"p{k}") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    (path,) = [r["path"] for r in write_packages(df, f"file://{tmp_path}/w").collect()]
+    with zipfile.ZipFile(path.removeprefix("file://")) as z:
+        lines = z.read("indexes/00000.cdxj").decode().splitlines()
+        assert lines == sorted(lines) and lines[-1].startswith("org,example,a:8080)/ 20240101000000 {")
+        warc = z.read("archive/00000.warc.gz")
+        for line in lines:
+            e = json.loads(line.split(" ", 2)[2])
+            head, body = parse_record(warc[e["offset"] : e["offset"] + e["length"]])
+            assert head["WARC-Payload-Digest"] == e["digest"] and body.startswith(b"p")
+
+
+def test_adjacent_ranges_are_read_at_once(monkeypatch):
+    reads = []
+
+    class Package:
+        def range(self, at, length):
+            reads.append((at, length))
+            return bytes(k % 251 for k in range(at, at + length))
+
+    monkeypatch.setattr(warc_zip, "READ_AHEAD", 100)
+    ranges = [(40, 10), (0, 40), (50, 60), (200, 5), (110, 300)]
+    assert [len(x) for x in warc_zip._ranges(Package(), ranges)] == [40, 10, 60, 300, 5]
+    assert reads == [(0, 50), (50, 60), (110, 300), (200, 5)]
