@@ -3,9 +3,9 @@
 A text is cut into sentences; each is normalised (ASCII lower case, ``licence`` spelled ``license``, comment marks and punctuation gone) and
 mapped to the identifier of a known licence sentence, if it is one. Rules, tried in their order from each place on, match sequences of
 identifiers; sentences that are not known end a sequence, neutral ones (copyright lines) don't. A sentence that grants a licence by
-name, or an SPDX tag, is a rule by itself.
+name, or an SPDX tag, has the name in its identifier; the last rules of the table are for these.
 
-Null and empty texts have no licence. Sentences of unlimited length are read whole. Repeated rows each get their row.
+Null and empty texts have no licence; an empty table gives no rows. Sentences of unlimited length are read whole. Repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 @cache
 def _patterns() -> tuple[re.Pattern, list[tuple[str, re.Pattern, str]], re.Pattern]:
     """Names of licences (a group for each), sentences with gaps (over words, each before a blank) after the longest literal they need, copyright lines."""
-    names = re.compile("|".join(rf"(?P<n{k}>\b(?:{re.sub('[?]P<[a-f]>', '?:', p)})\b)" for k, p in enumerate(NAMES.values())))
+    names = re.compile("|".join(rf"(?P<n{k}>\b(?:{re.sub('[?]P<[a-z]>', '?:', p)})\b)" for k, p in enumerate(NAMES.values())))
     gap = lambda s: "".join(r"(?:\S+ ){0,12}?" if w == "*" else re.escape(w) + " " for w in s.split())
     need = lambda s: max((x.strip() for x in s.split("*")), key=len)
     return names, [(need(s), re.compile(gap(s)), k) for k, s in SENTENCES.items() if "*" in s], re.compile(r"(?:copyright|c) (?:copyright |c )*\d{4}.*|copyright .{0,80}|portions copyright .*")
@@ -106,13 +106,17 @@ def _match(ids: list[str | None], at: int, rule: tuple[str, ...]) -> int:
         while j < len(ids) and some and ids[j] in NEUTRAL:
             j += 1
         have = ids[j] if j < len(ids) else None
-        if have is not None and have == want.rstrip("?"):
+        if have is not None and _meets(have, want.rstrip("?")):
             k, some = j + 1, True
         elif not want.endswith("?"):
             return at
     return k
 
 
+def _meets(have: str, want: str) -> bool:
+    return have.startswith(want[:-1]) if want.endswith("*") else have == want
+
+
 def licences(ids: list[str | None]) -> list[str]:
     """Licences that the rules find, in their order in the text."""
     out, at = [], 0
@@ -123,12 +127,9 @@ def licences(ids: list[str | None]) -> list[str]:
             for name, rule in RULES:
                 end = _match(ids, at, rule)
                 if end > at:
-                    out.append(name)
+                    out.append(name or here.split(":", 1)[1])
                     step = end
                     break
-            else:
-                if here.startswith(("grant:", "spdx:")):
-                    out.append(here.split(":", 1)[1])
         at = step
     return out
 

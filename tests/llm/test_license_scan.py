@@ -1,11 +1,12 @@
 import itertools
+import random
 import re
 import time
 
 import pytest
 
 from marlstone.llm.license_scan import licences, scan, sequence
-from marlstone.llm.license_tables import GRANT, NAMES, SENTENCES
+from marlstone.llm.license_tables import GRANT, NAMES, NEUTRAL, RULES, SENTENCES
 
 MIT = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + ". ".join(SENTENCES[k].upper() for k in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")) + "."
 BSD = "Copyright 2019, X.\nAll rights reserved.\n\n" + f"{SENTENCES['bsd-grant']}:\n\n1. {SENTENCES['bsd-source'][2:]}.\n2. {SENTENCES['bsd-binary'][2:]}.\n"
@@ -91,3 +92,83 @@ def test_headers_as_they_are_written():
     assert sequence(mpl)[:2] == ["mpl2-subject", "mpl2-copy"] and licences(sequence(mpl)) == ["MPL-2.0"]
     for text, name in {"Distributed under the terms of the GPL v3.": "GPL-3.0", "This code is covered by the GPL 3.": "GPL-3.0", "Released under the 3-clause BSD.": "BSD-3-Clause", "Released under\nMIT.": "MIT"}.items():
         assert licences(sequence(text))[0].startswith(name), text
+
+
+def test_more_names_and_bodies():
+    for text, names in {
+        "Licensed under the EUPL.": ["EUPL"],
+        "Licensed under the EUPL, Version 1.2.": ["EUPL-1.2"],
+        "Released under the Artistic License 2.0.": ["Artistic-2.0"],
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": ["OFL-1.1"],
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. The GNU General Public License is a free, copyleft license for software and other kinds of works.": ["GPL-3.0"],
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at x.": ["EPL-2.0"],
+    }.items():
+        assert licences(sequence(text)) == names, text
+
+
+def test_every_licence_of_the_names_has_rules_over_sentences():
+    ruled = {name for name, rule in RULES if any(not want.startswith(("grant:", "spdx:")) for want in rule)}
+    missing = {n for n in NAMES if not any(r == n or r.startswith(n) for r in ruled)}
+    assert missing == {"Artistic", "CDDL", "MS-PL", "BUSL-1.1", "SSPL-1.0", "PSF-2.0"}  # known by name only
+
+
+def brute_licences(ids):
+    """The rules as regular expressions over the identifiers, tried at each place in their order."""
+    text = "".join(f"<{x or '-'}>" for x in ids)
+    neutral = "(?:" + "|".join(f"<{n}>" for n in NEUTRAL) + ")*"
+    token = lambda w: "<" + (re.escape(w[:-1]) + "[^>]*" if w.endswith("*") else re.escape(w)) + ">"
+
+    def patterns(rule):
+        """All forms of a rule, those with more of its first optional parts before others."""
+        forms = [[]]
+        for want in rule:
+            forms = [f + x for f in forms for x in ([[want.rstrip("?")], []] if want.endswith("?") else [[want]])]
+        return [neutral.join(map(token, f)) for f in forms if f]
+
+    table = [(name, [re.compile(p) for p in patterns(rule)]) for name, rule in RULES]
+    out, at = [], 0
+    while at < len(text):
+        for name, forms in table:
+            m = next((m for p in forms if (m := p.match(text, at))), None)
+            if m:
+                out.append(name or m[0].split(":", 1)[1].split(">")[0])
+                at = m.end()
+                break
+        else:
+            at = text.index(">", at) + 1
+    return out
+
+
+def test_against_brute_force(docs_of):
+    """Texts put together from known sentences, grants, tags, copyright lines and others."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfgh") + r.choice("aeiou") for _ in range(3))
+    say = lambda key: " ".join(word() if w == "*" else w for w in SENTENCES[key].split()).capitalize()
+    keys = list(SENTENCES)
+    rows, wanted = [], {}
+    for k in range(150):
+        ids, parts = [], []
+        for _ in range(r.randint(0, 9)):
+            x = r.random()
+            if x < 0.45:
+                at = r.randrange(len(keys))
+                run = keys[at : at + r.choice((1, 1, 2, 4))]  # neighbours in the table are often neighbours in a rule
+                ids += run
+                parts += [say(i) for i in run]
+            elif x < 0.6:
+                name = r.choice(["MIT", "ISC", "Zlib", "Apache-2.0", "BSL-1.0"])
+                ids.append(f"grant:{name}")
+                parts.append({"MIT": "Released under the MIT license", "ISC": "Licensed under the ISC license", "Zlib": "Available under the zlib license", "Apache-2.0": "Licensed under the Apache License 2", "BSL-1.0": "Distributed under the Boost Software License 1"}[name])
+            elif x < 0.7:
+                ids.append("spdx:X-1")
+                parts.append("SPDX-License-Identifier: X-1\n\n")
+            elif x < 0.8:
+                ids.append("copyright")
+                parts.append(f"Copyright 2020 {word()}")
+            else:
+                ids.append(None)
+                parts.append(f"{word()} {word()} {word()}")
+        rows.append((k, "".join(p if p.endswith("\n") else p + ". " for p in parts), "en", "s"))
+        wanted[k] = (",".join(i for i in ids if i), ",".join(dict.fromkeys(brute_licences(ids))))
+    for row in scan(docs_of(rows)).collect():
+        assert (row["sentence_ids"], row["licenses"]) == wanted[row["doc_id"]], rows[row["doc_id"]][1]
