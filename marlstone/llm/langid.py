@@ -3,10 +3,10 @@
 Texts become code points, lower-cased, everything but letters turned into a space and runs of spaces into one. All 1-, 2-
 and 3-grams are hashed into buckets; the matrix of their log-probabilities per language goes to the workers (``CELLS``
 values at most) and batches are scored by summing its rows. The matrix is fitted on a bounded sample of labelled rows,
-``FIT_DOCS`` in all and an equal share for each language, chosen by a hash of the id; whole texts are read always.
+``FIT_DOCS`` in all and an equal share for each language, chosen by a hash of id and text, so that null or equal ids neither empty nor swell it; whole texts are read always.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if no row is labelled. Null ids hash like
-an empty text. Repeated rows each get their row; other columns are not read.
+an empty text. Repeated rows each get their row, an empty table none; very long texts are scored in pieces whose sums are added. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col: str =
     buckets = 1 << max(8, min(16, (cells // len(sizes)).bit_length() - 1))
     each = max(1, fit_docs // len(sizes))
     share = F.element_at(F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, each / v)))), lang)
-    luck = F.pmod(F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20))
+    luck = F.pmod(F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), text, F.lit("fit")), F.lit(1 << 20))
     sample = usable.where((luck < share * (1 << 20)) & text.isNotNull()).select(lang.alias("lang"), text.alias("text")).repartition(8)  # bounded by fit_docs
     totals: dict[str, np.ndarray] = {}
     for key, counts in sample.mapInArrow(lambda it: _count(it, buckets), "lang string, counts binary").collect():  # 8 rows a language at most

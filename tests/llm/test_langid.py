@@ -1,4 +1,8 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 from marlstone.llm.langid import fit, held_out, identify
 from marlstone.llm.queries import op10_language_id
@@ -39,3 +43,52 @@ def test_one_text_or_many_make_no_difference(docs_of):
 def test_nothing_to_learn_from(docs_of):
     assert run(docs_of([])).collect() == []
     assert {r["lang_pred"] for r in run(docs_of([(1, "text", None, "s")])).collect()} == {"und"}
+
+
+def test_against_brute_force(docs_of):
+    """Naive Bayes by the book over the same buckets: counts with 0.5 added, log-probabilities added up gram by gram."""
+    r = random.Random(3)
+    letters = {"en": "etaoinshrdlu", "de": "enisratdhulcäöüß", "fr": "esaitnrulodcéèà", "ru": "оеаинтсрвлкмд"}
+    text = lambda lang: " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(1, 8))) for _ in range(r.randint(0, 12)))
+    rows = [(k, text(lang := r.choice(list(letters))) + r.choice(["", " 12", "!", " ЖÉ"]), lang if r.random() < 0.9 else None, "s") for k in range(300)]
+    docs = docs_of(rows)
+    buckets = 1 << 16  # of four languages
+
+    def grams(t):
+        folded = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        s = " " + re.sub(" +", " ", folded) + "  "
+        for at in range(len(s) - 2):
+            h = 0
+            for n, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                h = (h ^ ord(s[at + n])) * factor % 2**32
+                yield (h ^ h >> 15) * 0x27D4EB2F % 2**32 >> 16
+
+    train = [(t, lang) for i, t, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: Counter() for lang in langs}
+    for t, lang in train:
+        counts[lang].update(grams(t))
+    size = {lang: sum(counts[lang].values()) + 0.5 * buckets for lang in langs}
+    prior = Counter(lang for _, lang in train)
+    found = {x["doc_id"]: x for x in run(docs).collect()}
+    for i, t, _, _ in rows:
+        if not any(c.isalpha() for c in t):
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        logs = {lang: math.log(prior[lang] / len(train)) + sum(math.log((counts[lang][g] + 0.5) / size[lang]) for g in grams(t)) for lang in langs}
+        top = max(logs.values())
+        wanted = 1 / sum(math.exp(v - top) for v in logs.values())
+        assert abs(found[i]["score"] - wanted) < 1e-6, (i, t)
+        assert logs[found[i]["lang_pred"]] > top - 1e-6
+
+
+def test_the_sample_is_bounded_where_ids_are_alike(docs_of):
+    rows = [(None if k % 2 else 7, f"the cat w{k} and dog" if k % 3 else f"der Hund w{k} und Katze", "en" if k % 3 else "de", "s") for k in range(600)]
+    for limit in (60, 16_000):
+        langs, _ = fit(docs_of(rows), fit_docs=limit)
+        assert langs == ["de", "en"]
+
+
+def test_a_very_long_text(docs_of):
+    rows = [(k, "the cat and the dog" if k % 2 else "der Hund und die Katze", "en" if k % 2 else "de", "s") for k in range(60)] + [(100, "the dog and cat " * 150_000, None, "s")]
+    assert {r["doc_id"]: r["lang_pred"] for r in run(docs_of(rows)).collect()}[100] == "en"
