@@ -9,13 +9,16 @@ number follows the source's rows, and over the ranges. So a source with a third
 
 Schedule: slot k of the mix maps the golden-ratio point frac(k * phi) through the cumulative targets to a source; the r-th
 slot of a source takes its r-th block, starting again after the last. Sources whose slots fall short of their target by the
-sequence's discrepancy get their last slots after the others; the last slot of a source is cut so that its words meet the target.
+sequence's discrepancy get their last slots after the others; the last slot of a source is cut so that its words meet the target. Slots meet the pieces of
+documents in their blocks in a join; these rows are the mix, and what is taken of a document is their sum.
 
-Null texts have no words. Repeated rows are documents of their own. Without words nothing is taken and targets are 0.
+Null texts have no words. Repeated rows are documents of their own. Without words nothing is taken and targets are 0; an empty table gives no rows. A very long text lies in many blocks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -80,8 +83,23 @@ def _schedule(plan: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "key", "turn").unionByName(late)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """What the mix takes of each document (id, size, source_size, target, taken), and the schedule (slot, source, turn, block, words)."""
+@dataclass(frozen=True)
+class Mix:
+    """A mix: ``documents`` has id, size, source_size, target, taken, first_slot and last_slot of each document (null if nothing is taken); ``schedule`` has slot, source, turn,
+    block and words; ``pieces`` has slot, id, first_word and end_word, the words of a document that a slot takes, and their place on the source's line. In the order of slot and place they are the mix itself."""
+
+    documents: DataFrame
+    schedule: DataFrame
+    pieces: DataFrame
+
+
+def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of each document, and the schedule; see ``Mix``."""
+    found = scheduled_mix(docs, **options)
+    return found.documents, found.schedule
+
+
+def scheduled_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> Mix:
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), n_words(docs[text_col]).alias("size"))
     hashed = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     rows = materialize(rows.withColumn("hash", hashed).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
@@ -113,14 +131,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     last = (F.col("turn") == F.col("turns") - 1) & (F.col("cut") > 0)
     schedule = schedule.withColumn("words", F.when(last, F.col("cut")).otherwise(length))
-    uses = schedule.groupBy("key", "block").agg(F.sum(F.when(last, 0).otherwise(1)).alias("whole"), F.max(F.when(last, F.col("cut")).otherwise(0)).alias("cut"))
 
+    # every slot joins the pieces of its block
     end = F.col("start") + F.greatest("size", F.lit(1)) - 1
     pieces = line.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(end / block))))
     low = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
-    high = F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block)
-    cut = F.least(high, "cut") - F.least(low, "cut")
-    taken = pieces.join(uses, ["key", "block"], "left").withColumn("took", F.coalesce(F.col("whole") * (high - low) + cut, F.lit(0)))
-    mixed = taken.groupBy("row").agg(*(F.first(c).alias(c) for c in ("id", "size", "source_size", "target")), F.sum("took").alias("taken"))
-    columns = (F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
-    return mixed.select(*columns), schedule.select("slot", "source", "turn", "block", "words")
+    high = F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block, F.coalesce("words", F.lit(0)))
+    joined = pieces.join(schedule.select("key", "block", "slot", "words"), ["key", "block"], "left").withColumns({"low": low, "took": F.greatest(F.lit(0), high - low)})
+    slot = F.when(F.col("took") > 0, F.col("slot"))
+    mixed = joined.groupBy("row").agg(*(F.first(c).alias(c) for c in ("id", "size", "source_size", "target")), F.sum("took").alias("taken"), F.min(slot).alias("first_slot"), F.max(slot).alias("last_slot"))
+    columns = (F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot", "last_slot")
+    first = F.col("block") * block + F.col("low") - F.col("start")
+    placed = joined.where("took > 0").select("slot", F.col("id").alias(id_col), first.alias("first_word"), (first + F.col("took")).alias("end_word"), (F.col("start") + first).alias("place"))
+    return Mix(mixed.select(*columns), schedule.select("slot", "source", "turn", "block", "words"), placed)

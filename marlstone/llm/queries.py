@@ -188,14 +188,33 @@ t AS (
   SELECT source, source_size,
          least(cap, coalesce((SELECT arg_min(level, ratio) FROM f WHERE level <= ratio) * weight, cap)) AS target
   FROM f),
+p AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, floor(target)::BIGINT AS words, greatest(source_size, 1) AS sz FROM t),
+q AS (SELECT *, words % sz AS rest, least(8192, greatest(64, (sum(words) OVER ())::BIGINT >> 14)) AS block FROM p),
+plan AS (
+  SELECT *, (sz + block - 1) // block AS blocks, (words // sz) * ((sz + block - 1) // block) + (rest + block - 1) // block AS turns,
+         CASE WHEN rest > 0 THEN rest - ((rest + block - 1) // block - 1) * block ELSE 0 END AS cut
+  FROM q),
+share AS (
+  SELECT *, slots, upto / slots::DOUBLE AS hi, (upto - turns) / slots::DOUBLE AS lo
+  FROM (SELECT *, (sum(turns) OVER (ORDER BY key))::BIGINT AS upto, (sum(turns) OVER ())::BIGINT AS slots FROM plan) WHERE turns > 0),
+point AS (SELECT slot, (slot + 1) * 0.6180339887498949e0 - floor((slot + 1) * 0.6180339887498949e0) AS u FROM (SELECT unnest(range(max(slots))) AS slot FROM share)),
+drawn AS (SELECT slot, key, turns, slots, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS turn FROM point JOIN share ON u >= lo AND u < hi),
+late AS (
+  SELECT turn + slots AS slot, key, turn
+  FROM (SELECT key, slots, unnest(range(coalesce((SELECT count(*) FROM drawn WHERE drawn.key = share.key), 0), turns)) AS turn FROM share)),
+slot AS (
+  SELECT slot, key, block, turn % blocks AS nth, CASE WHEN turn = turns - 1 AND cut > 0 THEN cut ELSE least(block, source_size - (turn % blocks) * block) END AS long
+  FROM (SELECT slot, key, turn FROM drawn WHERE turn < turns UNION ALL SELECT slot, key, turn FROM late) JOIN plan USING (key)),
 line AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS words,
+  SELECT row_number() OVER () AS row, d.*, t.key, t.source_size, t.target, block,
          (sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       ((words // greatest(source_size, 1)) * size
-        + greatest(0, least(start + size, words % greatest(source_size, 1)) - least(start, words % greatest(source_size, 1))))::BIGINT AS taken
-FROM line
+  FROM d JOIN plan t ON d.source IS NOT DISTINCT FROM t.source),
+piece AS (SELECT *, unnest(range(start // block, (start + greatest(size, 1) - 1) // block + 1)) AS nth FROM line),
+took AS (
+  SELECT piece.*, slot, greatest(0, least(piece.block, start + size - piece.nth * piece.block, coalesce(long, 0)) - greatest(0, start - piece.nth * piece.block)) AS took
+  FROM piece LEFT JOIN slot ON piece.key = slot.key AND piece.nth = slot.nth)
+SELECT doc_id, size, source_size, target, sum(took)::BIGINT AS taken, min(slot) FILTER (took > 0) AS first_slot, max(slot) FILTER (took > 0) AS last_slot
+FROM took GROUP BY row, doc_id, size, source_size, target
 """
 
 ORACLE_SQL["op8_jaccard_join"] = r"""

@@ -70,6 +70,38 @@ def test_schedule_is_even(docs_of):
         assert abs(sum(r["source"] == "a" for r in slots[:n]) - share * n) < 4
 
 
+def test_pieces_are_the_mix(docs_of):
+    """The pieces of each slot are its block's words, whole and once, and what is taken of a document is the sum of its pieces."""
+    docs = docs_of([(i, t, "en", s) for i, t, s in ROWS])
+    found = mixing.scheduled_mix(docs, block_words=64)
+    words, taken, ends = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in found.pieces.collect():
+        assert 0 <= r["first_word"] < r["end_word"]
+        words[r["slot"]] += r["end_word"] - r["first_word"]
+        taken[r["doc_id"]] += r["end_word"] - r["first_word"]
+        ends[r["slot"]] += [(r["place"], r["place"] + r["end_word"] - r["first_word"])]
+    assert {r["slot"]: r["words"] for r in found.schedule.collect() if r["words"]} == words
+    for runs in ends.values():
+        runs.sort()
+        assert all(a[1] == b[0] for a, b in zip(runs, runs[1:], strict=False))  # no gap, no overlap
+    slots = defaultdict(set)
+    for r in found.pieces.collect():
+        slots[r["doc_id"]].add(r["slot"])
+    by = defaultdict(list)
+    for r in found.documents.collect():
+        by[r["doc_id"]].append(r)
+    for i, rows in by.items():
+        assert sum(r["taken"] for r in rows) == taken[i]
+        if len(rows) == 1:
+            assert (rows[0]["first_slot"], rows[0]["last_slot"]) == ((min(slots[i]), max(slots[i])) if slots[i] else (None, None))
+
+
+def test_a_very_long_text(docs_of):
+    rows = [(1, "w " * 400_000, "a"), (2, "w " * 10, "b"), (3, None, "b")]
+    found = {r["doc_id"]: r for r in mix(docs_of([(i, t, "en", s) for i, t, s in rows]))[0].collect()}
+    assert found[1]["taken"] == 599_995 and found[2]["taken"] == 20 and found[3]["taken"] == 0
+
+
 def test_empty(docs_of):
     assert mix(docs_of([]))[0].collect() == []
     (row,) = mix(docs_of([(1, None, None, None)]))[0].collect()
