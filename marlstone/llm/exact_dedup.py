@@ -86,7 +86,7 @@ def build_directory(counts: dict[int, int], fine: int, capacity: int) -> Directo
     return found
 
 
-def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, window_rows: int = WINDOW_ROWS) -> Iterator[pa.RecordBatch]:
     """One row per document; the first row of each distinct text of a window carries the text, its size and largest id."""
     base = TaskContext.get().partitionId() << 36
     serial = 0
@@ -128,7 +128,7 @@ def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
             rows_at.append(row)
             ids.append(i)
             entry.append(c[0])
-            if held >= WINDOW_BYTES or len(ids) >= WINDOW_ROWS:
+            if held >= WINDOW_BYTES or len(ids) >= window_rows:
                 yield flush()
                 rows_at, ids, entry, chains, held = [], [], [], {}, 0
     if ids:
@@ -186,11 +186,11 @@ def _parts(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
         yield batch.set_column(at, "key", batch.column(at).field("key"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, row_col: str | None = None, hot: int = HOT) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, row_col: str | None = None, hot: int = HOT, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """One row per document: row (its number), id, keep_id, group_size, kept, text_sha256.
 
     ``capacity``: entries of a bucket. ``row_col``: the caller's column of stable row numbers; else ``row`` is a number of this run. ``hot``: entries of a key
-    beyond which they are chained in two steps.
+    beyond which they are chained in two steps. ``window_rows``: rows whose equal texts a scan task chains.
     """
     spark = docs.sparkSession
     id_field = docs.schema[id_col].dataType
@@ -200,7 +200,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         + [T.StructField("head", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("top", id_field), T.StructField("text", T.BinaryType())]
     )
     rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), row_number(row_col).alias("row"))  # scanned once
-    entries = materialize(rows.mapInArrow(lambda it: _local_chains(it, id_type), local), "dedup-entries")
+    entries = materialize(rows.mapInArrow(lambda it: _local_chains(it, id_type, window_rows), local), "dedup-entries")
     heads = entries.where("head").select("key", "entry", "size", "top", "text")
     chained = T.StructType(
         [T.StructField("entry", T.LongType()), T.StructField("keep_id", id_field), T.StructField("keep_entry", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("link", T.IntegerType())]

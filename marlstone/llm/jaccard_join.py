@@ -9,14 +9,15 @@ Sets are the 5-word shingles of a text (a shorter text is one shingle). Texts wi
    hardly shrinks, or is at the last level, (it holds hardly anything but similar sets) becomes one group of the next step as it is. Runs are repeated
    until a pair at the threshold is met with the probability ``recall``. A bucket yields the links of a spanning forest, not its pairs.
 3. Groups. Connected components of these links hold every pair that was met.
-4. Verification. Within a group all pairs whose signatures don't rule them out are compared exactly, in blocks of at most
-   ``BLOCK`` sets a side, each in a task of its own. A block yields for each set the number of its links and one link of a spanning forest.
+4. Verification. Within a group all pairs whose signatures don't rule them out are compared exactly, in blocks of at most about
+   ``BLOCK`` sets and ``BLOCK_BYTES`` of shingles a side, each in a task of its own. Each set goes to as many tasks as its group has blocks: the links of each set are counted exactly, so
+   a group of n different texts costs n * n / ``BLOCK`` rows and n * n / 2 comparisons, and no fewer. A block yields for each set the number of its links and one link of a spanning forest.
 5. The components of the verified links are the classes of near duplicates.
 
 No step puts out a row for each pair, and none gathers a bucket or a group of unbounded size in one task: rows of large
 buckets pass through, large groups are cut to blocks.
 
-Texts without words are linked to nothing. Repeated rows and equal texts are links of each other. Null ids are ignored in
+Texts without words are linked to nothing; an empty table gives no rows; very long texts are one set like any other. Repeated rows and equal texts are links of each other. Null ids are ignored in
 class_id and set_id unless there is no other. Other columns are not read.
 """
 
@@ -38,7 +39,8 @@ LIMIT = 4096
 LEVELS = 5
 #: A bucket that keeps more than this share of its parent's sets holds similar sets; splitting it further would only multiply its rows.
 STAYS = 0.75
-BLOCK = 512
+BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 BATCH_WORDS = 1 << 20
 #: Bits of the filter that keeps texts without a partner from being sent again; it only spares work.
 FILTER_BITS = 1 << 26
@@ -212,6 +214,13 @@ def _sets(batches: Iterator[pa.RecordBatch], sent, n: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(sets, pa.binary())], ["rep", "set"])
 
 
+def block_tasks(members: DataFrame) -> DataFrame:
+    """A row for each set and each task that compares its block with a block of its group: task, and side -1 (a block with itself), 0 or 1."""
+    tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return tasks.withColumns({"side": side, "task": F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))})
+
+
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999, row_col: str | None = None) -> DataFrame:
     """Per document: row (its number), id, class_id (least id of its component), set_id (least id of equal sets), n_links (documents linked), n_classes (sets linked), first (whether it is the row that stays for its class). ``row_col``: a column of row numbers that are the same in every scan; without one the texts are numbered and written once."""
     spark = docs.sparkSession
@@ -248,7 +257,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # groups, cut to blocks
     groups = components(edges, "join-groups")
-    sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    of_group = groups.join(sketches.select(F.col("row").alias("node"), "size"), "node").groupBy("label")
+    sizes = of_group.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
     placed = groups.join(sizes, "label").select(F.col("node").alias("rep"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     n = groups.count()
     placed = materialize(few(placed, n), "join-placed")
@@ -257,10 +267,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = placed.join(classes.select("rep", "n"), "rep").join(sketches.select(F.col("row").alias("rep"), "sig"), "rep").join(sets, "rep")
     members = materialize(members, "join-members")
     sent.unpersist()
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = members.withColumn("other", other).withColumns({"low": F.least("block", "other"), "side": F.when(F.col("blocks") == 1, -1).when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)})
-    tasks = tasks.withColumn("task", F.xxhash64("label", "low", F.greatest("block", "other")))
-    dealt = tasks.select("task", "side", "rep", "n", "sig", "set").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "rep")
+    dealt = block_tasks(members).select("task", "side", "rep", "n", "sig", "set").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "rep")
     verified = materialize(dealt.mapInArrow(lambda it: _verify(it, least, threshold), "rep long, links long, classes long, root long"), "join-verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
     labels = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-linked")

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from marlstone.llm.decontaminate import decontaminate, phrase_matches
+from marlstone.llm.decontaminate import build_index, decontaminate, phrase_matches, search_index
 
 
 def words(t):
@@ -54,3 +54,21 @@ def test_empty(spark, docs_of):
     assert decontaminate(docs_of([]), bench).collect() == []
     (row,) = decontaminate(docs_of([(1, "a b", None, None)]), bench).collect()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
+
+
+def test_one_index_serves_many_benchmarks(spark, docs_of):
+    docs = docs_of([(k, f"one two w{k} three four five", "en", "s") for k in range(50)])
+    index = build_index(docs)
+    for k in (3, 7):
+        bench = spark.createDataFrame([("q", f"w{k} three four")], "item_id string, text string")
+        assert [r["id"] for r in search_index(index, bench).collect() if r["items"]] == [k]
+    terms = {t for r in index.collect() for t in r["terms"]}
+    assert len(terms) == 5 + 50  # every word of every text has a list
+
+
+def test_a_very_long_text_and_a_common_word(spark, docs_of):
+    """A text longer than a shard, and a word that most of all texts is made of."""
+    long = "the " * 1_200_000 + "a b c d e f g h i j k " + "the " * 1000
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "the " * 10)], "item_id int, text string")
+    found = {r["doc_id"]: r for r in decontaminate(docs_of([(1, long, "en", "s"), (2, "the the", "en", "s")]), bench).collect()}
+    assert (found[1]["n_words"], found[1]["n_hit"], found[1]["n_items"]) == (1_201_011, 1_201_011, 2) and found[2]["n_hit"] == 0

@@ -5,7 +5,6 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from marlstone.llm import exact_dedup as exact
 from marlstone.llm.exact_dedup import build_directory, exact_dedup
 
 
@@ -21,16 +20,31 @@ def brute(rows):
 
 
 @pytest.mark.parametrize(("capacity", "hot"), [(None, 1024), (2, 1024), (2, 2)])
-def test_against_brute_force(docs_of, monkeypatch, capacity, hot):
-    monkeypatch.setattr(exact, "WINDOW_ROWS", 3)  # copies of a text in many windows
+def test_against_brute_force(docs_of, capacity, hot):
+    """Windows of three rows: copies of a text are entries of many."""
     rows = [(k, ["a", "", None, "b" * 50_000, f"t{k}", "A", "a "][k % 7]) for k in range(60)] + [(None, "a"), (None, "only null"), (59, "t59"), (3, "b" * 50_000)]
-    found = exact_dedup(docs_of([(i, t, "en", "s") for i, t in rows]), capacity=capacity, hot=hot).collect()
+    found = exact_dedup(docs_of([(i, t, "en", "s") for i, t in rows]), capacity=capacity, hot=hot, window_rows=3).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found), key=str) == brute(rows)
     kept = [r for r in found if r["kept"]]
     assert len(kept) == len({t or "" for _, t in rows})  # one row of each group, repeated rows too
     assert all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+def test_one_huge_group(docs_of):
+    """A third of all rows are one text; it reaches its owner from about sqrt(n) tasks, and one row of it stays."""
+    rows = [(k, "same" if k % 3 == 0 else f"t{k}") for k in range(3000)]
+    found = exact_dedup(docs_of([(i, t, "en", "s") for i, t in rows]), hot=10, window_rows=4).collect()
+    same = [r for r in found if r["doc_id"] % 3 == 0]
+    assert {(r["keep_id"], r["group_size"]) for r in same} == {(2997, 1000)} and [r["doc_id"] for r in same if r["kept"]] == [2997]
+    assert len(found) == 3000 and sum(r["kept"] for r in found) == 2001
+
+
+def test_a_very_long_text(docs_of):
+    long = "x" * 20_000_000
+    found = {r["doc_id"]: r for r in exact_dedup(docs_of([(1, long, "en", "s"), (2, long, "en", "s"), (3, long + "y", "en", "s")])).collect()}
+    assert [found[k]["kept"] for k in (1, 2, 3)] == [False, True, True] and found[1]["text_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_empty(docs_of):
     assert exact_dedup(docs_of([])).collect() == []
 

@@ -52,10 +52,11 @@ def corpus(seed, groups, size, others):
     return rows
 
 
-@pytest.mark.parametrize(("limit", "block"), [(4096, 512), (8, 7)])
-def test_against_brute_force(docs_of, monkeypatch, limit, block):
+@pytest.mark.parametrize(("limit", "block", "size"), [(4096, 2048, 16 << 20), (8, 7, 16 << 20), (8, 2048, 1 << 12)])
+def test_against_brute_force(docs_of, monkeypatch, limit, block, size):
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
     texts = corpus(3, 6, 12, 40)
     rows = list(enumerate(texts)) + [(500, texts[0]), (501, texts[0].upper() + "!"), (502, ""), (503, None), (504, "..."), (505, "one two"), (506, "One, two"), (507, "two one"), (0, texts[0]), (None, texts[1]), (None, "q r s")]
     found = similarity_join(docs_of([(i, t, "en", "s") for i, t in rows])).collect()
@@ -67,3 +68,21 @@ def test_against_brute_force(docs_of, monkeypatch, limit, block):
 
 def test_empty(docs_of):
     assert similarity_join(docs_of([])).collect() == []
+
+
+def test_rows_of_a_huge_group(spark):
+    """100,000 members of one group: rows go with the number of blocks, each pair of blocks is one task, and no task has more than two blocks."""
+    n, blocks = 100_000, -(-100_000 // jaccard_join.BLOCK)
+    members = spark.range(n).selectExpr("id AS rep", "0L AS label", f"{blocks}L AS blocks", f"pmod(xxhash64(id), {blocks}L) AS block")
+    tasks = jaccard_join.block_tasks(members)
+    assert tasks.count() == n * blocks
+    sizes = [r["count"] for r in tasks.groupBy("task").count().collect()]
+    assert len(sizes) == blocks * (blocks + 1) // 2 and max(sizes) < 2.4 * jaccard_join.BLOCK
+
+
+def test_a_very_long_text(docs_of):
+    r = random.Random(5)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300_000))
+    rows = [(1, long), (2, long + " and a few words more"), (3, long[: len(long) // 2])]
+    found = {x["doc_id"]: x for x in similarity_join(docs_of([(i, t, "en", "s") for i, t in rows])).collect()}
+    assert found[1]["class_id"] == found[2]["class_id"] == 1 and found[3]["class_id"] == 3 and found[2]["n_links"] == 1
