@@ -6,7 +6,7 @@
 2. Directory. Entries are keyed by the first 64 bits of SHA-256. Buckets that exceed their capacity are split by the next
    bit; where a bucket is as deep as the directory, the directory doubles. It has at most ``2 ** MAX_DEPTH`` slots.
 3. Owner tasks. Each owns whole buckets, i.e. key ranges, reads their entries in key order, chains collisions and compares
-   bytes. It writes the index: window entry -> row that stays and size of the group.
+   bytes. It writes the index, in the order of bucket and key: window entry -> row that stays and size of the group. ``Index.lookup`` finds texts in it by bucket.
 4. Rows meet the index by window entry; an entry has a bounded number of rows, so no key is hot.
 
 Nulls count as empty texts. Of equal texts the row with the largest id stays (null ids are smallest); of repeated rows
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ WINDOW_BYTES = 16 << 20
 WINDOW_ROWS = 50_000
 #: Entries of a key that go to its owner at once.
 HOT = 1024
+#: Buckets that a lookup names to the scan; lookups of more read the index whole.
+MOST_BUCKETS = 1000
 #: The directory may double this often.
 MAX_DEPTH = 18
 
@@ -186,8 +188,44 @@ def _parts(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
         yield batch.set_column(at, "key", batch.column(at).field("key"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, row_col: str | None = None, hot: int = HOT, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """One row per document: row (its number), id, keep_id, group_size, kept, text_sha256.
+@dataclass(frozen=True)
+class Index:
+    """The written index: ``table`` has a row for each entry (bucket, key, entry, keep_id, keep_entry, group_size, and whether it leads its chain), in files sorted by bucket and key,
+    so that a lookup reads the blocks of its buckets; ``entries`` has the documents by entry, and the text of each."""
+
+    directory: Directory
+    slots: DataFrame
+    table: DataFrame
+    entries: DataFrame
+    id_col: str
+
+    def documents(self) -> DataFrame:
+        """One row per document: row, id, keep_id, group_size, kept, text_sha256."""
+        kept = F.coalesce(F.col("keep_entry") == F.col("entry"), F.lit(False)) & F.col("best")
+        found = self.table.select("entry", "keep_id", "keep_entry", "group_size")
+        return self.entries.select("row", "id", "entry", "best", "sha").join(found, "entry").select("row", F.col("id").alias(self.id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+    def lookup(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        """Of each distinct text that the index has: text_sha256, keep_id, group_size. Keys lead to buckets by the directory, and bytes are compared."""
+        asked = texts.select(utf8(texts[text_col]).alias("asked")).distinct().withColumn("sha", F.sha2("asked", 256))
+        asked = asked.withColumn("key", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")).withColumn("slot", self._slot()).join(F.broadcast(self.slots), "slot")
+        buckets = [r["bucket"] for r in asked.select("bucket").distinct().limit(MOST_BUCKETS + 1).collect()]
+        table = self.table.where("lead")
+        table = table.where(F.col("bucket").isin(buckets)) if len(buckets) <= MOST_BUCKETS else table
+        found = table.join(asked, ["bucket", "key"]).join(self.entries.where("head").select("entry", "text"), "entry").where("text = asked")
+        return found.select(F.col("sha").alias("text_sha256"), "keep_id", "group_size")
+
+    def _slot(self) -> Column:
+        return F.shiftrightunsigned("key", 64 - self.directory.depth) if self.directory.depth else F.lit(0).cast("long")
+
+
+def exact_dedup(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: row (its number), id, keep_id, group_size, kept, text_sha256. Options: as ``build_index``."""
+    return build_index(docs, **options).documents()
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, row_col: str | None = None, hot: int = HOT, window_rows: int = WINDOW_ROWS) -> Index:
+    """Index the texts.
 
     ``capacity``: entries of a bucket. ``row_col``: the caller's column of stable row numbers; else ``row`` is a number of this run. ``hot``: entries of a key
     beyond which they are chained in two steps. ``window_rows``: rows whose equal texts a scan task chains.
@@ -233,13 +271,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .repartition(partitions(spark), "bucket")
         .sortWithinPartitions("bucket", "key", "entry")
     )
-    index = owned.select("key", "entry", "size", "top", "text").mapInArrow(lambda it: _own(it, id_type), chained).drop("text")
+    index = owned.select("key", "entry", "size", "top", "text").mapInArrow(lambda it: _own(it, id_type), chained)
+    index = index.select("key", "entry", "keep_id", "keep_entry", "group_size", F.col("text").isNotNull().alias("lead"), slot.alias("slot")).join(F.broadcast(slots), "slot").drop("slot")
     found = materialize(index, "dedup-index")
     if chains is not None:
         of_part = chains.select(F.col("entry").alias("member"), F.col("keep_entry").alias("entry"), F.col("entry").eqNullSafe(F.col("keep_entry")).alias("own"))
-        part = of_part.join(found, "entry").select(F.col("member").alias("entry"), "keep_id", F.when(F.col("own"), F.col("keep_entry")).alias("keep_entry"), "group_size")
-        found = found.join(often.select("key"), "key", "left_anti").select("entry", "keep_id", "keep_entry", "group_size").unionByName(part)
+        part = of_part.join(found, "entry").select("bucket", "key", F.col("member").alias("entry"), "keep_id", F.when(F.col("own"), F.col("keep_entry")).alias("keep_entry"), "group_size", (F.col("own") & F.col("lead")).alias("lead"))
+        found = found.join(often.select("key"), "key", "left_anti").unionByName(part)
     reclaim(spark)
-
-    kept = F.coalesce(F.col("keep_entry") == F.col("entry"), F.lit(False)) & F.col("best")
-    return entries.select("row", "id", "entry", "best", "sha").join(found.select("entry", "keep_id", "keep_entry", "group_size"), "entry").select("row", F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return Index(directory, slots, found, entries, id_col)

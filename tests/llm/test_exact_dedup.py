@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from marlstone.llm.exact_dedup import build_directory, exact_dedup
+from marlstone.llm.exact_dedup import build_directory, build_index, exact_dedup
 
 
 def brute(rows):
@@ -30,6 +30,18 @@ def test_against_brute_force(docs_of, capacity, hot):
     assert all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_lookup(docs_of, spark, hot):
+    rows = [(k, ["a", "b" * 5000, f"t{k}", None][k % 4]) for k in range(80)]
+    index = build_index(docs_of([(i, t, "en", "s") for i, t in rows]), capacity=4, hot=hot, window_rows=3)
+    assert len(index.directory.buckets) > 1
+    asked = spark.createDataFrame([("a",), ("t2",), ("none such",), ("",), ("b" * 5000,), ("a",), ("b" * 5001,)], "text string")
+    found = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in index.lookup(asked).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found == {sha("a"): (76, 20), sha("t2"): (2, 1), sha(""): (79, 20), sha("b" * 5000): (77, 20)}
+    assert index.lookup(asked.limit(0)).collect() == []
+
+
 def test_one_huge_group(docs_of):
     """A third of all rows are one text; it reaches its owner from about sqrt(n) tasks, and one row of it stays."""
     rows = [(k, "same" if k % 3 == 0 else f"t{k}") for k in range(3000)]
