@@ -257,10 +257,10 @@ u AS (SELECT doc_id, k, piece, array_to_string(ws, ' ') AS norm, len(ws) AS n, s
 edges AS (SELECT doc_id, k, upto FROM u UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM u),
 ahead AS (
   SELECT a.doc_id, a.k AS s, greatest(min(b.k), a.k + 2) AS e
-  FROM edges a ASOF JOIN (SELECT doc_id, upto, min(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto + 8 <= b.upto GROUP BY a.doc_id, a.k),
+  FROM edges a ASOF JOIN (SELECT doc_id, upto, min(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto + 16 <= b.upto GROUP BY a.doc_id, a.k),
 back AS (
   SELECT a.doc_id, least(max(b.k), a.k - 2) AS s, a.k AS e
-  FROM edges a ASOF JOIN (SELECT doc_id, upto, max(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto - 8 >= b.upto WHERE a.k > 0 GROUP BY a.doc_id, a.k),
+  FROM edges a ASOF JOIN (SELECT doc_id, upto, max(k) AS k FROM edges GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.upto - 16 >= b.upto WHERE a.k > 0 GROUP BY a.doc_id, a.k),
 span AS (
   SELECT doc_id, s, e FROM ahead UNION SELECT doc_id, s, e FROM back WHERE s >= 0 UNION SELECT doc_id, k - 1, k FROM u WHERE n >= 20),
 run AS (

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import filter_has, filter_of, materialize, numbered, reclaim, sorted_unique
 
 SPAN_SENTENCES = 2
-SPAN_WORDS = 8
+SPAN_WORDS = 16
 LONG_WORDS = 20
 #: Sentences of more words are cut to clauses, after one word in ``CLAUSE``.
 OVERLONG = 24
