@@ -42,9 +42,10 @@ from .common import hashes, materialize, partitions, reclaim, scratch, utf8, wor
 from .langid import held_out
 
 BASE = 1.5
-#: Bits for each level of each n-gram, and probes of a level.
-BITS = 9
-PROBES = 3
+#: Bits and probes for the first level of each n-gram, which says that it was seen at all, and for each level above, where an error only takes one count for the next.
+#: A filter so filled errs at the first level for one unseen n-gram in about 80,000, and above for one in 40.
+BITS, PROBES = 24, 12
+UPPER_BITS, UPPER_PROBES = 9, 4
 GROUP_BYTES = 32 << 20
 HEAD = 1 << 20
 #: Text whose n-grams make a part, about; an owner holds one at a time.
@@ -248,21 +249,31 @@ class _Sums:
         return self.keys[0], self.counts[0]
 
 
-def _bits(keys: np.ndarray, level: np.ndarray | int, probe: int, size: np.ndarray | int) -> np.ndarray:
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a key at a level; the probes step from the one by the other."""
+    h = _mix(keys + _U(level * 0x8EBC6AF09C88C6E3 % (1 << 64)))
+    return h, h * _U(0x589965CC75374CC3) | _U(1)
+
+
+def _bit(first: np.ndarray, step: np.ndarray, probe: int, size: np.uint64) -> np.ndarray:
     """Bit of a probe in a filter of ``size`` bits."""
-    h = _mix(keys + np.asarray(level, np.uint64) * _U(0x8EBC6AF09C88C6E3) + _U(probe) * _U(0x589965CC75374CC3))
-    return (h >> _U(32)) * np.asarray(size, np.uint64) >> _U(32)
+    return ((first + _U(probe) * step >> _U(32)) * size >> _U(32)).astype(np.int64)
+
+
+def _probes(level: int) -> int:
+    return PROBES if level == 1 else UPPER_PROBES
 
 
-def build(keys: np.ndarray, level: np.ndarray, per_level: int = BITS) -> bytes:
-    """Filter of the keys up to their levels."""
-    size = max(64, -(-int(level.sum()) * per_level // 64) * 64)
+def build(keys: np.ndarray, level: np.ndarray, spread: int = 1) -> bytes:
+    """Filter of the keys up to their levels; ``spread`` times as many bits as it needs make it err less."""
+    size = max(64, -(-int((level > 0).sum() * BITS + np.maximum(level.astype(np.int64) - 1, 0).sum() * UPPER_BITS) * spread // 64) * 64)
     bits = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        some = keys = keys[level >= j]
-        level = level[level >= j]
-        for p in range(PROBES):
-            bits[_bits(some, j, p, size).astype(np.int64)] = 1
+        some = level >= j
+        keys, level = keys[some], level[some]
+        first, step = _hashed(keys, j)
+        for p in range(_probes(j)):
+            bits[_bit(first, step, p, _U(size))] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -274,7 +285,7 @@ _OWNED = T.StructType(
 )
 
 
-def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterator[pa.RecordBatch]:
+def _own(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iterator[pa.RecordBatch]:
     """Passes the keys on as kind 1, and adds for each part that comes its filter, kind 2, and its words with exact counts and its statistics, kind 3."""
     held: dict[int, list[_Sums]] = {}
     longs = pa.list_(pa.int64())
@@ -301,7 +312,7 @@ def _own(batches: Iterator[pa.RecordBatch], bits: int, per_level: int) -> Iterat
             if i:
                 stats[6 * LEVELS + 5 * (i - 1) : 6 * LEVELS + 5 * i] = np.bincount(np.minimum(c, 5), minlength=6)[:5] if len(c) else 0
         words, n = sums[0]
-        filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), per_level)
+        filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), spread)
         at, none = pa.array([part], pa.int32()), pa.nulls(1, pa.int64())
         yield rows([2], at, none, pa.array([filled], pa.binary()))
         yield rows([3], at, none, pa.nulls(1, pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
@@ -359,10 +370,12 @@ class Filter:
         left = np.arange(len(keys))
         j = 1
         while len(left):
-            for p in range(PROBES):
-                b = _bits(keys, j, p, size).astype(np.int64)
-                there = (self.bits[offset + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1 == 1
-                left, keys = left[there], keys[there]
+            first, step = _hashed(keys, j)
+            for p in range(_probes(j)):
+                b = _bit(first, step, p, size)
+                there = np.flatnonzero((self.bits[offset + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1)
+                if len(there) < len(left):
+                    left, keys, first, step = left[there], keys[there], first[there], step[there]
             level[left] = j
             j += 1
         return level
@@ -490,7 +503,7 @@ def _join(batches: Iterator[pa.RecordBatch], sent, bits: int, id_type: pa.DataTy
 _ANSWER = "chunk long, part int, data binary"
 
 
-def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, per_level: int, group_bytes: int, path: str, answered: str) -> None:
+def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, spread: int, group_bytes: int, path: str, answered: str) -> None:
     """Counts the n-grams of some parts, builds their filters, and writes the levels that the chunks ask for. The n-grams and filters are deleted once they are used."""
     spark = tokens.sparkSession
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -500,7 +513,7 @@ def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, per_le
         at.getFileSystem(conf).delete(at, True)
 
     cut = tokens.mapInArrow(lambda it: _cut(it, low, high, parts, bits), _FRAGMENT)
-    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, bits, per_level), _OWNED)
+    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, bits, spread), _OWNED)
     owned.write.mode("append").option("compression", "uncompressed").partitionBy("kind", "part").parquet(path)
     del cut, owned
     reclaim(spark)
@@ -526,8 +539,8 @@ def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, per_le
     reclaim(spark)
 
 
-def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, part_text: int = PART_TEXT, per_level: int = BITS) -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, part_text: int = PART_TEXT, spread: int = 1) -> DataFrame:
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``spread``: times more bits for the filters."""
     spark = docs.sparkSession
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
     rows = docs.select(docs[id_col].alias("id"), held_out(docs[id_col], folds).alias("held_out"), utf8(docs[text_col]).alias("text"))
@@ -542,7 +555,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     tokens = materialize(numbered.mapInArrow(_tokenize, _TOKENS), "lm-tokens")
     path, answered = scratch(spark, "lm-parts"), scratch(spark, "lm-answers")
     for part in range(0, parts, parts // SLICES):
-        _slice(tokens, part, part + parts // SLICES, parts, bits, per_level, group_bytes, path, answered)
+        _slice(tokens, part, part + parts // SLICES, parts, bits, spread, group_bytes, path, answered)
     table = spark.read.schema(_OWNED).parquet(path).where("kind = 3")
     stats = np.zeros(_STATS)
     for k, n in table.select("stats").mapInArrow(_total, "pos int, n long").groupBy("pos").agg(F.sum("n")).collect():  # a row for each statistic

@@ -51,7 +51,8 @@ def test_filter():
     assert (got >= level).all()  # a Bloom filter never forgets
     assert (got == level).mean() > 0.9
     unseen = np.random.default_rng(3).integers(0, 1 << 40, 5000, dtype=np.uint64)
-    assert (f.level(unseen, 2) > 0).mean() < 0.06 and not f.level(keys, 1).any()
+    assert (f.level(np.random.default_rng(4).integers(0, 1 << 40, 1_000_000, dtype=np.uint64), 2) > 0).mean() < 4e-5
+    assert (f.level(unseen, 2) > 0).mean() < 0.001 and not f.level(keys, 1).any()
 
 
 def test_levels():
@@ -129,7 +130,7 @@ def corpus():
 def test_score_against_brute_force(docs_of, options):
     rows = corpus()
     _, _, wanted = brute_scores(rows)
-    found = lm.score(docs_of([(i, t, "en", "s") for i, t in rows]), per_level=400, **options).collect()  # so wide that no probe errs
+    found = lm.score(docs_of([(i, t, "en", "s") for i, t in rows]), spread=20, **options).collect()  # so wide that no probe errs
     assert len(found) == len(rows)
     for (i, x), (k, y) in zip(sorted(((r["doc_id"], r["score"]) for r in found), key=str), sorted(wanted, key=str), strict=True):
         assert i == k and abs(x - y) < 1e-6, (i, x, y)
