@@ -35,7 +35,7 @@ RANGE_ROWS = 2_000
 #: Hexadecimal digits of the hash that ranges are cut by.
 DIGITS = 5
 #: Slots that are ranked at once.
-RANK_SLOTS = 4096
+RANK_SLOTS = 1024
 #: Parts that a source's rows are dealt to when they meet their source's target.
 SALTS = 32
 #: Cells of [0, 1) by which slots meet the cumulative targets.
