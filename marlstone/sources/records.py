@@ -6,6 +6,7 @@ import base64
 import gzip
 import json
 from collections.abc import Iterable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -110,6 +111,12 @@ def read_parquet(spark: SparkSession, path: str, json_columns: Iterable[str] = (
     return Dataset(df, **options)
 
 
+def write_parquet(data: Dataset, path: str) -> Dataset:
+    """Records as Parquet with their VARIANT columns, parsed once for all queries; returns the dataset that reads them."""
+    data.df.write.parquet(path)
+    return replace(data, df=data.df.sparkSession.read.schema(data.df.schema).parquet(path))
+
+
 def to_json_array(data: Dataset, df: DataFrame) -> str:
     """All rows as one JSON array; for results that a driver holds."""
     rows = json_rows(data, df)

@@ -49,6 +49,17 @@ def test_files(spark, tmp_path):
     assert json.loads(io.to_json_array(again, search(again, "ORDER BY n"))) == items[3:]
 
 
+def test_parquet_keeps_variants(spark, sf, tmp_path):
+    events = io.read_parquet(spark, f"{sf}/events.parquet", ("props",))
+    kept = io.write_parquet(events, f"file://{tmp_path}/events")
+    for text in ("props.k > 50", "props.k IN (1, 2)", "NOT props.zzz EXISTS", "*5*"):
+        assert sorted(r["event_id"] for r in search(kept, text).collect()) == sorted(r["event_id"] for r in search(events, text).collect())
+    again = io.read_parquet(spark, f"file://{tmp_path}/events")
+    assert search(again, "props.k > 50").count() == search(events, "props.k > 50").count()
+    records = io.write_parquet(io.from_json_array(spark, '[{"a": [1, {"b": "x"}]}, 7]'), f"file://{tmp_path}/records")
+    assert [r[0] for r in row_ids(records, 'a.1.b = "x"').collect()] == [0] and records.record == "rec"
+
+
 def test_stream(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/orders.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
