@@ -41,7 +41,7 @@ class HandleError(KeyError):
 class Options:
     indexes: tuple[str, ...] = ()
     query_cache_cap: int = CACHE_SIZE
-    #: Accepted for compatibility; Parquet and VARIANT are read by column anyway.
+    #: Keep the data in Spark's columnar cache, with statistics by which blocks are skipped. It holds all fields, so ``columnar_fields`` needs no more.
     columnar: bool = False
     columnar_fields: tuple[str, ...] = ()
 
@@ -104,7 +104,8 @@ class Metrics:
 
 class Engine:
     def __init__(self, data: Dataset, options: Options | None = None) -> None:
-        self.data, self.options = data, options or Options()
+        self.options = options or Options()
+        self.data = self._held(data)
         self.indexes = list(dict.fromkeys(self.options.indexes or DEFAULT_INDEXES))
         self.cache = ResultCache(self.options.query_cache_cap)
         self.metrics = Metrics()
@@ -112,6 +113,12 @@ class Engine:
         self._postings: dict[str, DataFrame] = {}
         self._size: int | None = None
 
+    def _held(self, data: Dataset) -> Dataset:
+        """The data, or with the option ``columnar`` its columnar copy, filled by the first query and kept until the data changes."""
+        if not self.options.columnar:
+            return data
+        return replace(data, df=data.df.select("*").persist(StorageLevel.MEMORY_AND_DISK))
+
     # queries
 
     def query(self, text: str) -> DataFrame:
@@ -221,7 +228,7 @@ class Engine:
     def update(self, data: Dataset) -> None:
         """Other data under the same options; caches, tokens and metrics start again."""
         self.close()
-        self.data, self.metrics = data, Metrics()
+        self.data, self.metrics = self._held(data), Metrics()
         self.cache = ResultCache(self.options.query_cache_cap)
 
     def close(self) -> None:
@@ -229,6 +236,8 @@ class Engine:
         if self._tokens is not None:
             self._tokens.unpersist()
             self._tokens = None
+        if self.options.columnar:
+            self.data.df.unpersist()
         for held in self._postings.values():
             held.unpersist()
         self._postings.clear()

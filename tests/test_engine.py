@@ -41,3 +41,15 @@ def test_metrics_are_of_executions(spark):
         some.record(float(k), 1)
     assert some.p95() == 190
     assert E.search_objects(spark, [{"a": 1}, {"a": 2}], "a = 2") == [{"a": 2}]
+
+
+def test_columnar_data_is_held_and_let_go(spark):
+    data = from_json_array(spark, RECORDS)
+    engine = E.Engine(data, E.Options(columnar=True, columnar_fields=("a",)))
+    assert engine.data.df.is_cached and not data.df.is_cached
+    assert len(engine.execute('a = "x"')) == 2
+    held = engine.data.df
+    engine.update(from_json_array(spark, "[1]"))
+    assert not held.is_cached and engine.execute("") == [1]
+    engine.close()
+    assert not engine.data.df.is_cached
