@@ -119,3 +119,11 @@ def test_adjacent_ranges_are_read_at_once(monkeypatch):
     ranges = [(40, 10), (0, 40), (50, 60), (200, 5), (110, 300)]
     assert [len(x) for x in warc_zip._ranges(Package(), ranges)] == [40, 10, 60, 300, 5]
     assert reads == [(0, 50), (50, 60), (110, 300), (200, 5)]
+
+
+def test_clashing_columns_and_a_very_long_payload(spark):
+    names = "page_id long, url string, html string, key string, digest string, first long, path string, urn string, n long, record_type string"
+    long = "é<p>" * 3_000_000
+    df = spark.createDataFrame([(k, "u", t, "k", "d", 9, "p", "urn:page:5", 3, "x") for k, t in enumerate((long, long, "b"))], names)
+    found = {r["page_id"]: r for r in round_trip(df).collect()}
+    assert found[0]["payload_bytes"] == len(long.encode()) and [found[k]["refers_to"] for k in range(3)] == [None, 0, None]
