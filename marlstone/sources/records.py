@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import replace
 
@@ -32,26 +33,43 @@ def _dataset(df: DataFrame, **options) -> Dataset:
 
 def from_json_array(spark: SparkSession, text: str, **options) -> Dataset:
     """Records of a JSON array held by the driver; each keeps its spelling and its place in the array."""
-    try:
-        items = json.loads(text)
-    except json.JSONDecodeError as e:
-        raise SourceError(f"Invalid JSON: {e}") from None
-    if not isinstance(items, list):
-        raise SourceError("Invalid JSON: an array is expected")
     return from_items(spark, _spellings(text), **options)
 
 
+_BLANK = re.compile(r"[ \t\r\n]*")
+_DECODER = json.JSONDecoder()
+
+
 def _spellings(text: str) -> list[str]:
-    """Source text of each element of a JSON array."""
-    decoder, at, out = json.JSONDecoder(), text.index("[") + 1, []
-    while True:
-        while text[at] in " \t\r\n,":
-            at += 1
-        if text[at] == "]":
-            return out
-        _, end = decoder.raw_decode(text, at)
-        out.append(text[at:end])
-        at = end
+    """Source text of each element of a JSON array, read once."""
+    skip = lambda at: _BLANK.match(text, at).end()
+    out: list[str] = []
+    at = skip(0)
+    if text[at : at + 1] != "[":
+        try:
+            _DECODER.raw_decode(text, at)
+        except json.JSONDecodeError as e:
+            raise SourceError(f"Invalid JSON: {e}") from None
+        raise SourceError("Invalid JSON: an array is expected")
+    at = skip(at + 1)
+    if text[at : at + 1] == "]":
+        at = skip(at + 1)
+    else:
+        mark = ","
+        while mark == ",":
+            try:
+                _, end = _DECODER.raw_decode(text, at)
+            except json.JSONDecodeError as e:
+                raise SourceError(f"Invalid JSON: {e}") from None
+            out.append(text[at:end])
+            at = skip(end)
+            mark = text[at : at + 1]
+            at = skip(at + 1)
+        if mark != "]":
+            raise SourceError(f"Invalid JSON: a comma or the end of the array is expected at {end}")
+    if at < len(text):
+        raise SourceError(f"Invalid JSON: more after the array, at {at}")
+    return out
 
 
 def from_items(spark: SparkSession, texts: Iterable[str], **options) -> Dataset:

@@ -23,7 +23,8 @@ def test_arrays_keep_spelling_and_order(spark):
     assert [r["raw"] for r in data.df.orderBy("_row_id").collect()] == ['{"b": 1.0, "a": "x,]"}', "7", '[1, {"c": null}]', '"s"', "null", "true"]
     assert [r[0] for r in row_ids(data, '"1.0"').collect()] == [0]
     assert [r[0] for r in row_ids(data, '"7"').collect()] == [1]
-    for bad in ("{}", "[", "nope"):
+    assert io._spellings(" [ ] ") == [] and io._spellings("[[],{}, -1.50 ]\n") == ["[]", "{}", "-1.50"]
+    for bad in ("{}", "[", "nope", "", "[1 2]", "[1,]", "[1] x", "[1", "[,1]", "[1]]", "[nul]", "  "):
         with pytest.raises(io.SourceError):
             io.from_json_array(spark, bad)
     with pytest.raises(io.SourceError):
