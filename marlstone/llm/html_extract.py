@@ -25,7 +25,6 @@ from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.spread import spread
 from . import html_pages
@@ -42,7 +41,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 LABELS = "data-y"
 #: What stands in the names of an element that its attributes hide.
 UNSHOWN = "-hidden-"
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z>])[^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>\x00]*)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z>])[^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>\x00]*)", re.S)
 #: Attributes of a tag as they are mostly written, up to its end; the rest goes through ``_attribute_end``.
 _PLAIN = re.compile(r"(?:[\s/]++[^\s/>=\"'<]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+[\s/]*+>")
 _NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)\s*+(=?)\s*+")
@@ -243,7 +242,7 @@ def parse(source: str) -> Page:
             hidden += unshown
             links += tag == "a"
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*/?>", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
             close(len(stack) - 1) if block else None
             if not block:

@@ -107,10 +107,6 @@ def _unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-
-
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes]]]:
     """Rows (without the last column, the text) and texts, in runs of about ``size`` words."""
     rows, texts, held = [], [], 0

@@ -110,6 +110,7 @@ PROBES = {
     f"<body><article><p title='a>b' data-x=\"<p>\">{S}</p><p/class=x>{S}</p><p a='1'b=\"2\">{S}</p></article></body>": 3,
     f"<body><div><p>{S}</p><div hidden><p>no</p></div><p>{S}</p><p style='display: none'>no</p><span hidden>no</span></div></body>": 2,
     f"<body><p>{S}</p></body>": 1,
+    f"<body><!--><p>{S}</p><!-- <p>no</p> --><script>if (a</b) '</scripty>';</script foo><p>{S}</p></body>": 2,
     S: 1,
     f"<p>{S}<p>{S}": 2,
     f"<body><table><tr><td><p>{S} {S}</p><p>{S}</p></td></tr></table></body>": 2,
