@@ -53,7 +53,7 @@ def _variant_text(column: Column) -> Column:
     def strings(sources):
         import json
 
-        from .freetext import _Number, _scalars
+        from .freetext import _Number
 
         def text(s):
             value = json.loads(s, parse_float=_Number, parse_int=_Number)
