@@ -32,7 +32,7 @@ LONG_WORDS = 20
 OVERLONG = 24
 CLAUSE = 8
 FILTER_BITS = 1 << 28
-_BREAK = re.compile(r"(?<=[.!?。！？])[^\S\n]+|\s*\n\s*")
+_BREAK = re.compile(r"[.!?。！？][^\S\n]+|\n\s*")
 _WORD = re.compile(r"\s*(\S+)\s*")
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -59,7 +59,8 @@ def sentences(text: str) -> list[str]:
         if b <= a:
             continue
         part = text[a:b]
-        if b - a > 2 * OVERLONG and len(part.split()) > OVERLONG:
+        # white space other than blanks isn't printable; most parts are told short by their blanks
+        if b - a > 2 * OVERLONG and (part.count(" ") >= OVERLONG or not part.isprintable()) and len(part.split()) > OVERLONG:
             at = 0
             for m in _WORD.finditer(part):
                 if _ends[m[1].lower()] and m.end() < len(part):
@@ -109,9 +110,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct spans of each document with their first place, and bounds of the runs that later places cover."""
     ints = lambda x, t: pa.array([v.astype(np.int64) for v in x], pa.list_(t))
     for batch in batches:
-        hashes, checks, starts, ends, again = [], [], [], [], []
+        sizes, hashes, checks, starts, ends, again = [], [], [], [], [], []
         for t in batch.column("text"):
-            h, s, e = spans(sentences(t.as_py() or ""))
+            parts = sentences(t.as_py() or "")
+            sizes.append(len(parts))
+            h, s, e = spans(parts)
             order = np.lexsort((s, h[:, 1], h[:, 0]))
             same = np.zeros(len(h), bool)
             same[1:] = (h[order[1:]] == h[order[:-1]]).all(1)
@@ -121,7 +124,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(s[first])
             ends.append(e[first])
             again.append(np.stack([s[later], e[later]], 1).ravel())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), ints(hashes, pa.int64()), ints(checks, pa.int64()), ints(starts, pa.int32()), ints(ends, pa.int32()), ints(again, pa.int32())], ["row", "id", "spans", "checks", "starts", "ends", "again"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(sizes, pa.int64()), ints(hashes, pa.int64()), ints(checks, pa.int64()), ints(starts, pa.int32()), ints(ends, pa.int32()), ints(again, pa.int32())], ["row", "id", "n", "spans", "checks", "starts", "ends", "again"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -137,20 +140,24 @@ def _likely(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, gone, words, out = [], [], [], []
+        gone, words, out = [], [], []
         for t, runs in zip(batch.column("text"), batch.column("runs").to_pylist(), strict=True):
             text = t.as_py() or ""
+            if not runs:
+                gone.append(0)
+                words.append(0)
+                out.append(text)
+                continue
             parts = sentences(text)
             cover = np.zeros(len(parts) + 1, np.int64)
             for a, b in zip(runs[::2], runs[1::2], strict=True):
                 cover[a] += 1
                 cover[b] -= 1
             covered = np.cumsum(cover[:-1]) > 0
-            n.append(len(parts))
             gone.append(int(covered.sum()))
             words.append(sum(len(p.split()) for p, c in zip(parts, covered.tolist(), strict=True) if c))
             out.append("".join(p for p, c in zip(parts, covered.tolist(), strict=True) if not c).strip() if gone[-1] else text)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, gone, words)), pa.array(out, pa.string())], ["id", "n_sentences", "n_removed", "words_removed", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array(x, pa.int64()) for x in (gone, words)), pa.array(out, pa.string())], ["id", "n_sentences", "n_removed", "words_removed", "text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +166,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = numbered(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), "spans-docs")
     ints, longs = "array<int>", "array<long>"
-    found = materialize(rows.select("row", "id", "text").mapInArrow(_emit, f"row long, id {id_type}, spans {longs}, checks {longs}, starts {ints}, ends {ints}, again {ints}"), "spans")
+    found = materialize(rows.select("row", "id", "text").mapInArrow(_emit, f"row long, id {id_type}, n long, spans {longs}, checks {longs}, starts {ints}, ends {ints}, again {ints}"), "spans")
     each = found.select("id", F.explode(F.arrays_zip("spans", "checks")).alias("x")).select("id", F.col("x.spans").alias("span"), F.col("x.checks").alias("check"))
     # equal ids count as one document: a span is repeated if its ids differ
     counted = each.groupBy("span", "check").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("known"), F.count(F.lit(1)).alias("n"))
@@ -171,7 +178,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = materialize(later.groupBy("row").agg(F.flatten(F.collect_list("run")).alias("runs")), "spans-later")  # at most a document's own spans
     sent.unpersist()
     reclaim(spark)
-    again = found.where(F.size("again") > 0).select("row", "again")
-    runs = later.join(again, "row", "full").select("row", F.concat(F.coalesce("runs", F.array().cast(ints)), F.coalesce("again", F.array().cast(ints))).alias("runs"))
-    cut = rows.join(runs, "row", "left").select("id", "text", F.coalesce("runs", F.array().cast(ints)).alias("runs"))
+    runs = found.select("row", "n", "again").join(later, "row", "left").select("row", "n", F.concat(F.coalesce("runs", F.array().cast(ints)), "again").alias("runs"))
+    cut = rows.join(runs, "row").select("id", "text", "n", "runs")
     return cut.mapInArrow(_remove, f"id {id_type}, n_sentences long, n_removed long, words_removed long, text string").withColumnRenamed("id", id_col)
