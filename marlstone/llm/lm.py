@@ -251,26 +251,38 @@ def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return h, h * _U(0x589965CC75374CC3) | _U(1)
 
 
-def _bit(first: np.ndarray, step: np.ndarray, probe: int, size: np.uint64) -> np.ndarray:
-    """Bit of a probe in a filter of ``size`` bits."""
-    return ((first + _U(probe) * step >> _U(32)) * size >> _U(32)).astype(np.int64)
-
-
 def _probes(level: int) -> int:
     return PROBES if level == 1 else UPPER_PROBES
 
 
-def build(keys: np.ndarray, level: np.ndarray, spread: int = 1) -> bytes:
-    """Filter of the keys up to their levels; ``spread`` times as many bits as it needs make it err less."""
-    size = max(64, -(-int((level > 0).sum() * BITS + np.maximum(level.astype(np.int64) - 1, 0).sum() * UPPER_BITS) * spread // 64) * 64)
-    bits = np.zeros(size, np.uint8)
+#: Filters are made of blocks of 2 ** BLOCK bits. A key's place within its part picks the block, so sorted keys go through a filter from its start to its end; hashes pick the bits within.
+BLOCK = 15
+#: Keys that are looked up or entered at once.
+_STRIDE = 1 << 14
+
+
+def _block(keys: np.ndarray, part: int, parts: int, bits: int, blocks: int, width: int) -> np.ndarray:
+    """First bit of each key's block, in a filter of so many blocks of 2 ** width bits."""
+    place = (keys >> _U(bits - 40)) * _U(parts) - _U(part << 40)
+    return (np.minimum(place >> _U(8), _U(0xFFFFFFFF)) * _U(blocks) >> _U(32)) << _U(width)
+
+
+def build(keys: np.ndarray, level: np.ndarray, part: int, parts: int, bits: int, spread: int = 1) -> bytes:
+    """Filter of a part's keys up to their levels; ``spread`` times as many bits as it needs make it err less."""
+    total = max(1, int((level > 0).sum() * BITS + np.maximum(level.astype(np.int64) - 1, 0).sum() * UPPER_BITS) * spread)
+    width = min(BLOCK, max(6, (total - 1).bit_length()))
+    blocks = -(-total // (1 << width))
+    found = np.zeros(blocks << width, np.uint8)
+    base = _block(keys, part, parts, bits, blocks, width)
     for j in range(1, int(level.max(initial=0)) + 1):
         some = level >= j
-        keys, level = keys[some], level[some]
-        first, step = _hashed(keys, j)
-        for p in range(_probes(j)):
-            bits[_bit(first, step, p, _U(size))] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+        keys, level, base = keys[some], level[some], base[some]
+        for a in range(0, len(keys), _STRIDE):
+            bit, step = _hashed(keys[a : a + _STRIDE], j)
+            for _ in range(_probes(j)):
+                found[(bit >> _U(64 - width) | base[a : a + _STRIDE]).view(np.int64)] = 1
+                bit += step
+    return np.packbits(found, bitorder="little").tobytes()
 
 
 #: Statistics of a part, by level: number and sum of words, of pairs, of triples; and numbers of pairs and triples seen once to four times.
@@ -281,7 +293,7 @@ _OWNED = T.StructType(
 )
 
 
-def _own(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iterator[pa.RecordBatch]:
+def _own(batches: Iterator[pa.RecordBatch], parts: int, bits: int, spread: int) -> Iterator[pa.RecordBatch]:
     """Passes the keys on as kind 1, and adds for each part that comes its filter, kind 2, and its words with exact counts and its statistics, kind 3."""
     held: dict[int, list[_Sums]] = {}
     longs = pa.list_(pa.int64())
@@ -292,12 +304,12 @@ def _own(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iterator[
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), part, chunk, data, *lists], _OWNED.names)
 
     for batch in batches:
-        parts = batch.column("part").to_pylist()
-        for part, data, counts in zip(parts, batch.column("data"), batch.column("counts"), strict=True):
+        own_parts = batch.column("part").to_pylist()
+        for part, data, counts in zip(own_parts, batch.column("data"), batch.column("counts"), strict=True):
             own = held.setdefault(part, [_Sums(), _Sums(), _Sums()])
             for sums, k, c in zip(own, pickle.loads(data.as_py()), pickle.loads(counts.as_py()), strict=True):
                 sums.add(_unpack_sorted(k), _unpack(c))
-        yield rows([1] * len(parts), batch.column("part"), batch.column("chunk"), batch.column("data"))
+        yield rows([1] * len(own_parts), batch.column("part"), batch.column("chunk"), batch.column("data"))
     for part in list(held):
         sums = [s.sum() for s in held.pop(part)]
         level = [levels(c) for _, c in sums]
@@ -308,7 +320,7 @@ def _own(batches: Iterator[pa.RecordBatch], bits: int, spread: int) -> Iterator[
             if i:
                 stats[6 * LEVELS + 5 * (i - 1) : 6 * LEVELS + 5 * i] = np.bincount(np.minimum(c, 5), minlength=6)[:5] if len(c) else 0
         words, n = sums[0]
-        filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), spread)
+        filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), part, parts, bits, spread)
         at, none = pa.array([part], pa.int32()), pa.nulls(1, pa.int64())
         yield rows([2], at, none, pa.array([filled], pa.binary()))
         yield rows([3], at, none, pa.nulls(1, pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
@@ -343,38 +355,43 @@ def head_of(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filter:
-    """Bloom filters of some parts; ``offset`` is -1 for those that it lacks."""
+    """Bloom filters of some parts."""
 
-    offset: np.ndarray
-    size: np.ndarray
-    bits: np.ndarray
-
-    @staticmethod
-    def of(filters: dict[int, bytes], parts: int) -> Filter:
-        offset, size, at = np.full(parts, -1, np.int64), np.zeros(parts, np.uint64), 0
-        for k, b in filters.items():
-            offset[k], size[k] = at, len(b) * 8
-            at += len(b)
-        return Filter(offset, size, np.frombuffer(b"".join(filters.values()) or b"\0", np.uint8))
+    parts: int
+    bits: int
+    own: dict[int, bytes]
 
     def level(self, keys: np.ndarray, part: int) -> np.ndarray:
         """Level of each key of a part, 0 where it isn't a member."""
         level = np.zeros(len(keys), np.uint8)
-        if self.offset[part] < 0:
+        if part not in self.own:
             return level
-        offset, size = int(self.offset[part]), self.size[part]
-        left = np.arange(len(keys))
-        j = 1
+        words = np.frombuffer(self.own[part], np.uint64)
+        width = min(BLOCK, len(words).bit_length() + 5)
+        for a in range(0, len(keys), _STRIDE):
+            some = keys[a : a + _STRIDE]
+            self._levels(some, _block(some, part, self.parts, self.bits, len(words) << 6 >> width, width), words, width, level[a : a + _STRIDE])
+        return level
+
+    @staticmethod
+    def _levels(keys: np.ndarray, base: np.ndarray, words: np.ndarray, width: int, out: np.ndarray) -> None:
+        left, j = np.arange(len(keys)), 1
         while len(left):
-            first, step = _hashed(keys, j)
+            bit, step = _hashed(keys, j)
+            held = None
             for p in range(_probes(j)):
-                b = _bit(first, step, p, size)
-                there = np.flatnonzero((self.bits[offset + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1)
-                if len(there) < len(left):
-                    left, keys, first, step = left[there], keys[there], first[there], step[there]
-            level[left] = j
+                at = bit >> _U(64 - width) | base
+                found = words.take((at >> _U(6)).view(np.int64)) >> (at & _U(63))
+                held = found if held is None else held & found
+                bit += step
+                if p in (1, 4):  # most of those that aren't members are out by now
+                    there = np.flatnonzero(held & _U(1))
+                    if len(there) < 0.9 * len(left):
+                        left, keys, base, bit, step, held = left[there], keys[there], base[there], bit[there], step[there], held[there]
+            there = np.flatnonzero(held & _U(1))
+            left, keys, base = left[there], keys[there], base[there]
+            out[left] = j
             j += 1
-        return level
 
 
 def _answer(batches: Iterator[pa.RecordBatch], sent, bits: int) -> Iterator[pa.RecordBatch]:
@@ -509,7 +526,7 @@ def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, spread
         at.getFileSystem(conf).delete(at, True)
 
     cut = tokens.mapInArrow(lambda it: _cut(it, low, high, parts, bits), _FRAGMENT)
-    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, bits, spread), _OWNED)
+    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, parts, bits, spread), _OWNED)
     owned.write.mode("append").option("compression", "uncompressed").partitionBy("kind", "part").parquet(path)
     del cut, owned
     reclaim(spark)
@@ -525,7 +542,7 @@ def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, spread
         held += n
     for group in filter(None, groups):
         inside = F.col("part").between(group[0], group[-1])
-        asked = spark.sparkContext.broadcast(Filter.of({k: bytes(b) for k, b in filters.where(inside).collect()}, parts))  # group_bytes, or one part
+        asked = spark.sparkContext.broadcast(Filter(parts, bits, {k: bytes(b) for k, b in filters.where(inside).collect()}))  # group_bytes, or one part
         probes = read.where((F.col("kind") == 1) & inside).select("chunk", "part", "data")
         probes.mapInArrow(lambda it, asked=asked: _answer(it, asked, bits), _ANSWER).write.mode("append").option("compression", "uncompressed").parquet(answered)
         asked.destroy()

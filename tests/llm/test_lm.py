@@ -43,15 +43,16 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark):
 
 
 def test_filter():
-    keys = np.random.default_rng(1).integers(0, 1 << 40, 5000, dtype=np.uint64)
+    some = lambda seed, n: np.random.default_rng(seed).integers(1 << 43, 3 << 42, n, dtype=np.uint64)  # noqa: E731  part 2 of 4, of 44 bits
+    keys = some(1, 5000)
     counts = np.random.default_rng(2).integers(1, 500, 5000)
     level = lm.levels(counts)
-    f = lm.Filter.of({2: lm.build(keys, level)}, 4)
+    f = lm.Filter(4, 44, {2: lm.build(keys, level, 2, 4, 44)})
     got = f.level(keys, 2)
     assert (got >= level).all()  # a Bloom filter never forgets
     assert (got == level).mean() > 0.9
-    unseen = np.random.default_rng(3).integers(0, 1 << 40, 5000, dtype=np.uint64)
-    assert (f.level(np.random.default_rng(4).integers(0, 1 << 40, 1_000_000, dtype=np.uint64), 2) > 0).mean() < 4e-5
+    unseen = some(3, 5000)
+    assert (f.level(some(4, 1_000_000), 2) > 0).mean() < 4e-5
     assert (f.level(unseen, 2) > 0).mean() < 0.001 and not f.level(keys, 1).any()
 
 
