@@ -549,7 +549,7 @@ def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, spread
         for k in group:
             delete(f"{path}/kind=1/part={k}")
             delete(f"{path}/kind=2/part={k}")
-    reclaim(spark)
+        reclaim(spark)  # what the driver held of a group goes before the next comes
 
 
 def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, part_text: int = PART_TEXT, spread: int = 1) -> DataFrame:
