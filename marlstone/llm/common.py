@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -67,6 +68,46 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim; None where the C library lacks it."""
+    try:
+        found = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+    found.argtypes = [ctypes.c_size_t]
+    return found
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, which returns free memory after each batch and at its end. Python workers outlive their tasks and serve all operators: each would keep the most that any of its tasks needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in work(batches):
+                yield batch
+                del batch
+                give_back()
+        finally:
+            give_back()
+
+    return run
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``BATCH_BYTES``, for each exists whole on both sides of its way to the JVM."""
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only a local master may go without: it gets a temporary folder, and the session's settings stay as they are."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -227,9 +268,9 @@ def filter_of(keys: DataFrame, most_bits: int) -> bytes | None:
         for k, own in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
 
-    placed = keys.mapInArrow(place, "part int, bit long").repartition(ranges, "part")
+    placed = keys.mapInArrow(lean(place), "part int, bit long").repartition(ranges, "part")
     out = np.zeros(bits // 8, np.uint8)
-    for part, own in placed.mapInArrow(fill, "part int, bits binary").collect():  # most_bits in all
+    for part, own in placed.mapInArrow(lean(fill), "part int, bits binary").collect():  # most_bits in all
         out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bytes(own), np.uint8)
     return out.tobytes()
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_blanks, ascii_words, hashes, materialize, row_number, sorted_unique, utf8, word_numbers
+from .common import ascii_blanks, ascii_words, hashes, lean, materialize, row_number, sorted_unique, utf8, word_numbers
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -186,7 +186,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), row_number(row_col).alias("row"))  # scanned once
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     index_type = T.StructType([T.StructField("rows", longs), T.StructField("ids", T.ArrayType(id_field)), T.StructField("lengths", ints), T.StructField("terms", longs), T.StructField("counts", ints), T.StructField("positions", ints)])
-    return materialize(rows.mapInArrow(lambda it: _shards(it, id_type), index_type), "decontaminate-index")
+    return materialize(rows.mapInArrow(lean(lambda it: _shards(it, id_type)), index_type), "decontaminate-index")
 
 
 def search_index(index: DataFrame, items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -200,14 +200,14 @@ def search_index(index: DataFrame, items: DataFrame, item_id_col: str = "item_id
         number = dict(zip(words, np.searchsorted(wanted, keys).tolist(), strict=True))
         asked = spark.sparkContext.broadcast(wanted)  # block_bytes at most
         seen = np.zeros(len(wanted) + 1, np.int64)
-        frequency = index.select("terms", "counts").mapInArrow(lambda it, asked=asked: _frequency(it, asked), "term int, n long")
+        frequency = index.select("terms", "counts").mapInArrow(lean(lambda it, asked=asked: _frequency(it, asked)), "term int, n long")
         for term, n in frequency.groupBy("term").agg(F.sum("n")).collect():  # a row for each term of the block
             seen[term] = n
         asked.unpersist()
         names = sorted(block)
         texts = [(k, np.array([number[w] for w in own], np.int32)) for k, name in enumerate(names) for own in block[name]]
         sent = spark.sparkContext.broadcast((names, texts, wanted, seen, window))  # block_bytes at most
-        found = index.select("rows", "lengths", "terms", "counts", "positions").mapInArrow(lambda it, sent=sent: _search(it, sent, slop), "row long, items array<string>, runs array<int>")
+        found = index.select("rows", "lengths", "terms", "counts", "positions").mapInArrow(lean(lambda it, sent=sent: _search(it, sent, slop)), "row long, items array<string>, runs array<int>")
         parts.append(materialize(found, "decontaminate-found"))
         sent.unpersist()
     found = reduce(DataFrame.unionByName, parts)

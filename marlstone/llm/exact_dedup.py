@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, reclaim, row_number, utf8
+from .common import lean, materialize, partitions, pieces, reclaim, row_number, utf8
 
 WINDOW_BYTES = 16 << 20
 WINDOW_ROWS = 50_000
@@ -131,10 +131,10 @@ def _local_chains(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, windo
             ids.append(i)
             entry.append(c[0])
             if held >= WINDOW_BYTES or len(ids) >= window_rows:
-                yield flush()
+                yield from pieces(flush())
                 rows_at, ids, entry, chains, held = [], [], [], {}, 0
     if ids:
-        yield flush()
+        yield from pieces(flush())
 
 
 def _own(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, key_type: pa.DataType = pa.int64()) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         + [T.StructField("head", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("top", id_field), T.StructField("text", T.BinaryType())]
     )
     rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), row_number(row_col).alias("row"))  # scanned once
-    entries = materialize(rows.mapInArrow(lambda it: _local_chains(it, id_type, window_rows), local), "dedup-entries")
+    entries = materialize(rows.mapInArrow(lean(lambda it: _local_chains(it, id_type, window_rows)), local), "dedup-entries")
     heads = entries.where("head").select("key", "entry", "size", "top", "text")
     chained = T.StructType(
         [T.StructField("entry", T.LongType()), T.StructField("keep_id", id_field), T.StructField("keep_entry", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("link", T.IntegerType())]
@@ -252,7 +252,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         salt = F.pmod(F.xxhash64("entry"), F.ceil(F.sqrt("n"))).alias("salt")
         parts = heads.join(often, "key").select("key", "entry", "size", "top", "text", salt).repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "entry")
         group = F.struct("key", "salt").alias("key")
-        chains = materialize(parts.select(group, "entry", "size", "top", "text").mapInArrow(lambda it: _parts(it, id_type), chained), "dedup-parts")
+        chains = materialize(parts.select(group, "entry", "size", "top", "text").mapInArrow(lean(lambda it: _parts(it, id_type)), chained), "dedup-parts")
         leads = chains.where("text IS NOT NULL").select("key", F.col("keep_entry").alias("entry"), F.col("group_size").alias("size"), F.col("keep_id").alias("top"), "text")
         heads = heads.join(often, "key", "left_anti").unionByName(leads)
 
@@ -271,7 +271,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .repartition(partitions(spark), "bucket")
         .sortWithinPartitions("bucket", "key", "entry")
     )
-    index = owned.select("key", "entry", "size", "top", "text").mapInArrow(lambda it: _own(it, id_type), chained)
+    index = owned.select("key", "entry", "size", "top", "text").mapInArrow(lean(lambda it: _own(it, id_type)), chained)
     index = index.select("key", "entry", "keep_id", "keep_entry", "group_size", F.col("text").isNotNull().alias("lead"), slot.alias("slot")).join(F.broadcast(slots), "slot").drop("slot")
     found = materialize(index, "dedup-index")
     if chains is not None:

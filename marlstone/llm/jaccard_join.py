@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, few, filter_has, filter_of, materialize, numbered, partitions, reclaim, row_number, sorted_unique, utf8
+from .common import ascii_words, components, few, filter_has, filter_of, lean, materialize, numbered, partitions, reclaim, row_number, sorted_unique, utf8
 
 SIGNATURE = 64
 LIMIT = 4096
@@ -229,7 +229,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = max(1 / SIGNATURE, threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / SIGNATURE))
     rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), *([] if row_col is None else [row_number(row_col).alias("row")]))
     rows = numbered(rows, "join-docs") if row_col is None else rows
-    sketches = materialize(rows.mapInArrow(lambda it: _sketch(it, words, runs), f"row long, id {id_field}, size int, digest binary, sig binary, keys array<long>"), "join-sketches")
+    sketches = materialize(rows.mapInArrow(lean(lambda it: _sketch(it, words, runs)), f"row long, id {id_field}, size int, digest binary, sig binary, keys array<long>"), "join-sketches")
     classes = materialize(sketches.where("size > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("id").alias("set_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("head")), "join-classes")
 
     # chosen paths
@@ -239,7 +239,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = paths.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("rep").alias("least")).where("count > 1")
         met = materialize(paths.join(counts, "key"), f"join-level{level}")
         small = met.where(F.col("count") <= LIMIT).repartition(partitions(spark), "key").sortWithinPartitions("key").select("key", "rep", "sig")
-        found = materialize(small.mapInArrow(lambda it: _brute(it, least), "a long, b long"), "join-met")
+        found = materialize(small.mapInArrow(lean(lambda it: _brute(it, least)), "a long, b long"), "join-met")
         edges = found if edges is None else edges.union(found)
         large = met.where(F.col("count") > LIMIT)
         if large.isEmpty():
@@ -263,12 +263,12 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = groups.count()
     placed = materialize(few(placed, n), "join-placed")
     sent = spark.sparkContext.broadcast(filter_of(placed.select("rep"), FILTER_BITS))
-    sets = rows.select("row", "text").mapInArrow(lambda it: _sets(it, sent, words), "rep long, set binary")
+    sets = rows.select("row", "text").mapInArrow(lean(lambda it: _sets(it, sent, words)), "rep long, set binary")
     members = placed.join(classes.select("rep", "n"), "rep").join(sketches.select(F.col("row").alias("rep"), "sig"), "rep").join(sets, "rep")
     members = materialize(members, "join-members")
     sent.unpersist()
     dealt = block_tasks(members).select("task", "side", "rep", "n", "sig", "set").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "rep")
-    verified = materialize(dealt.mapInArrow(lambda it: _verify(it, least, threshold), "rep long, links long, classes long, root long"), "join-verified")
+    verified = materialize(dealt.mapInArrow(lean(lambda it: _verify(it, least, threshold)), "rep long, links long, classes long, root long"), "join-verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
     labels = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-linked")
 

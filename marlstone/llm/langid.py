@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spread import spread
+from .common import lean
 
 FIT_DOCS = 16_000
 CELLS = 1 << 22
@@ -101,7 +102,7 @@ def fit(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col: str =
     luck = F.pmod(F.xxhash64(F.coalesce(ident.cast("string"), F.lit("")), text, F.lit("fit")), F.lit(1 << 20))
     sample = usable.where((luck < share * (1 << 20)) & text.isNotNull()).select(lang.alias("lang"), text.alias("text")).repartition(8)  # bounded by fit_docs
     totals: dict[str, np.ndarray] = {}
-    for key, counts in sample.mapInArrow(lambda it: _count(it, buckets), "lang string, counts binary").collect():  # 8 rows a language at most
+    for key, counts in sample.mapInArrow(lean(lambda it: _count(it, buckets)), "lang string, counts binary").collect():  # 8 rows a language at most
         totals[key] = totals.get(key, 0) + np.frombuffer(bytes(counts), np.int64)
     langs = sorted(totals)
     if not langs:
@@ -155,4 +156,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     kept = spread(docs).select(*(c.alias(k) for k, c in (keep or {}).items()), text.alias("text of the row"), letters(text).alias("has letters"))
     schema = T.StructType([*kept.schema.fields[:extra], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return kept.mapInArrow(lambda it: _predict(it, sent, extra), schema)
+    return kept.mapInArrow(lean(lambda it: _predict(it, sent, extra)), schema)
