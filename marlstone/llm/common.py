@@ -161,11 +161,15 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+#: Parquet settings for rows of megabytes. A writer holds a row group, and looks at its size after 100 rows only; a reader decodes up to 4096 rows of a group at once. So each would hold all rows of a file.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors. ``options`` are those of the writer."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

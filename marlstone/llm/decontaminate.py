@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_blanks, ascii_words, hashes, lean, materialize, row_number, sorted_unique, utf8, word_numbers
+from .common import LARGE_ROWS, ascii_blanks, ascii_words, hashes, lean, materialize, row_number, sorted_unique, utf8, word_numbers
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -186,7 +186,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("id"), utf8(docs[text_col]).alias("text"), row_number(row_col).alias("row"))  # scanned once
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     index_type = T.StructType([T.StructField("rows", longs), T.StructField("ids", T.ArrayType(id_field)), T.StructField("lengths", ints), T.StructField("terms", longs), T.StructField("counts", ints), T.StructField("positions", ints)])
-    return materialize(rows.mapInArrow(lean(lambda it: _shards(it, id_type)), index_type), "decontaminate-index")
+    return materialize(rows.mapInArrow(lean(lambda it: _shards(it, id_type)), index_type), "decontaminate-index", **LARGE_ROWS)
 
 
 def search_index(index: DataFrame, items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -64,3 +64,17 @@ def test_window_leaves_in_pieces(monkeypatch):
     found = pa.Table.from_batches(out)
     assert found["row"].to_pylist() == list(range(1_000)) and sum(found["head"].to_pylist()) == 900
     assert [t for t in found["text"].to_pylist() if t is not None] == texts[:900]
+
+
+def test_index_is_written_and_read_in_small_row_groups(spark):
+    """A row group is what a task of the JVM holds on both ways, whatever the size of the file."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from marlstone.llm.decontaminate import build_index
+
+    text = F.expr("array_join(transform(sequence(1, 1000000), i -> hex(i * (id + 7) % 4093)), ' ')")
+    files = build_index(spark.range(0, 8, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))).inputFiles()
+    groups = [f.metadata.row_group(k) for f in map(pq.ParquetFile, (p.removeprefix("file://") for p in files)) for k in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 4  # of two texts each
+    assert max(g.total_byte_size for g in groups) <= 16 << 20
