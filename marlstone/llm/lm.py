@@ -2,13 +2,13 @@
 
 Counting. The texts are written down once as tokens, in chunks of about a million words. Of each chunk the distinct words, pairs and triples
 (hashes) with their counts in training texts are dealt by ranges of the hash space (parts); the owner of a part adds the
-counts up and builds its filter. Counts are over all training texts. The hash space is gone through in ``SLICES`` slices one after the other, so that
+counts up, builds its filter and answers what the chunks ask of it. Counts are over all training texts. The hash space is gone through in ``SLICES`` slices one after the other, so that
 the n-grams of a slice only, and not of all, are on disk at once.
 
 Filter. A count c is quantised to the level 1 + floor(log_BASE c); level j of an n-gram is a member for each j up to
-that. A level is read by repeated probes, until one fails. The filters go to the workers by broadcast, in groups of parts of at most ``GROUP_BYTES``;
-each group answers what the chunks ask of it, and the answers meet the tokens
-again by chunk. That takes time in proportion to the texts, whatever the number of groups, and is done alike at every size.
+that. A level is read by repeated probes, until one fails. What a chunk asks is what it counts, so a filter is asked where it is built, and none leaves its task or passes through
+the driver; meanwhile the questions wait in memory up to ``GROUP_BYTES``, then in a temporary file of the task. The answers meet the tokens
+again by chunk. That takes time in proportion to the texts and is done alike at every size.
 
 Model. Trigrams interpolated with pairs and words by absolute discounting:
 P(w|h) = (r(c(h w)) + B(c(h)) P(w|h')) / (R(c(h)) + B(c(h))), with h' the shorter context and P(w) smoothed as the base score. r(c) = c - D(c), the discounts D for
@@ -28,6 +28,7 @@ chunk by itself. Words are known by 64-bit hashes.
 from __future__ import annotations
 
 import pickle
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hashes, materialize, partitions, reclaim, scratch, utf8, word_numbers
+from .common import BATCH_BYTES, LARGE_ROWS, give_back, hashes, materialize, partitions, reclaim, scratch, utf8, word_numbers
 from .langid import held_out
 
 BASE = 1.5
@@ -293,25 +294,20 @@ _OWNED = T.StructType(
 )
 
 
-def _own(batches: Iterator[pa.RecordBatch], parts: int, bits: int, spread: int) -> Iterator[pa.RecordBatch]:
-    """Passes the keys on as kind 1, and adds for each part that comes its filter, kind 2, and its words with exact counts and its statistics, kind 3."""
-    held: dict[int, list[_Sums]] = {}
+def _own(batches: Iterator[pa.RecordBatch], parts: int, bits: int, spread: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of each part that comes: as kind 1 the levels of what each chunk asks, and as kind 3 its words with exact counts and its statistics."""
+    held: dict[int, tuple[list[_Sums], Asked]] = {}
     longs = pa.list_(pa.int64())
     shift = _U(64 - bits)
-
-    def rows(kind: list[int], part: pa.Array, chunk: pa.Array, data: pa.Array, *lists: pa.Array) -> pa.RecordBatch:
-        lists = lists or (pa.nulls(len(kind), longs),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), part, chunk, data, *lists], _OWNED.names)
-
     for batch in batches:
-        own_parts = batch.column("part").to_pylist()
-        for part, data, counts in zip(own_parts, batch.column("data"), batch.column("counts"), strict=True):
-            own = held.setdefault(part, [_Sums(), _Sums(), _Sums()])
+        for part, number, data, counts in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist(), batch.column("data"), batch.column("counts"), strict=True):
+            own, asked = held.setdefault(part, ([_Sums(), _Sums(), _Sums()], Asked(group_bytes)))
+            asked.add(number, data.as_py())
             for sums, k, c in zip(own, pickle.loads(data.as_py()), pickle.loads(counts.as_py()), strict=True):
                 sums.add(_unpack_sorted(k), _unpack(c))
-        yield rows([1] * len(own_parts), batch.column("part"), batch.column("chunk"), batch.column("data"))
     for part in list(held):
-        sums = [s.sum() for s in held.pop(part)]
+        own, asked = held.pop(part)
+        sums = [s.sum() for s in own]
         level = [levels(c) for _, c in sums]
         stats = np.zeros(_STATS, np.int64)
         for i, (ls, (_, c)) in enumerate(zip(level, sums, strict=True)):
@@ -320,10 +316,13 @@ def _own(batches: Iterator[pa.RecordBatch], parts: int, bits: int, spread: int)
             if i:
                 stats[6 * LEVELS + 5 * (i - 1) : 6 * LEVELS + 5 * i] = np.bincount(np.minimum(c, 5), minlength=6)[:5] if len(c) else 0
         words, n = sums[0]
-        filled = build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), part, parts, bits, spread)
-        at, none = pa.array([part], pa.int32()), pa.nulls(1, pa.int64())
-        yield rows([2], at, none, pa.array([filled], pa.binary()))
-        yield rows([3], at, none, pa.nulls(1, pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs))
+        filled = Filter(parts, bits, {part: build(np.concatenate([words >> shift, sums[1][0], sums[2][0]]), np.concatenate(level), part, parts, bits, spread)})
+        del own, sums, level
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([words.view(np.int64)], longs), pa.array([n], longs), pa.array([stats], longs)], _OWNED.names)
+        for numbers, answers in _answers(asked, filled, part, bits):
+            rows = len(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * rows, pa.int32()), pa.array([part] * rows, pa.int32()), pa.array(numbers, pa.int64()), pa.array(answers, pa.binary()), *(pa.nulls(rows, longs),) * 3], _OWNED.names)
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,15 +393,37 @@ class Filter:
             j += 1
 
 
-def _answer(batches: Iterator[pa.RecordBatch], sent, bits: int) -> Iterator[pa.RecordBatch]:
-    """Levels of the words, pairs and triples that a part is asked for."""
-    own: Filter = sent.value
-    for batch in batches:
-        out = []
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
-            words, pairs, triples = map(_unpack_sorted, pickle.loads(data.as_py()))
-            out.append(pickle.dumps([_pack(own.level(k, part)) for k in (words >> _U(64 - bits), pairs, triples)]))
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("part"), pa.array(out, pa.binary())], ["chunk", "part", "data"])
+class Asked:
+    """What the chunks ask of a part; beyond ``most`` bytes it waits in a temporary file."""
+
+    def __init__(self, most: int) -> None:
+        self.chunks: list[tuple[int, int]] = []
+        self.file = tempfile.SpooledTemporaryFile(max_size=most)  # noqa: SIM115  closed when all is read
+
+    def add(self, chunk: int, data: bytes) -> None:
+        self.chunks.append((chunk, len(data)))
+        self.file.write(data)
+
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        with self.file as f:
+            f.seek(0)
+            for chunk, size in self.chunks:
+                yield chunk, f.read(size)
+
+
+def _answers(asked: Asked, own: Filter, part: int, bits: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Chunks, and the levels of the words, pairs and triples that each asks a part for, in runs of about ``BATCH_BYTES``."""
+    numbers, out, held = [], [], 0
+    for number, data in asked:
+        words, pairs, triples = map(_unpack_sorted, pickle.loads(data))
+        numbers.append(number)
+        out.append(pickle.dumps([_pack(own.level(k, part)) for k in (words >> _U(64 - bits), pairs, triples)]))
+        held += len(out[-1])
+        if held >= BATCH_BYTES:
+            yield numbers, out
+            numbers, out, held = [], [], 0
+    if numbers:
+        yield numbers, out
 
 
 @dataclass
@@ -513,47 +534,17 @@ def _join(batches: Iterator[pa.RecordBatch], sent, bits: int, id_type: pa.DataTy
         yield close()
 
 
-_ANSWER = "chunk long, part int, data binary"
-
-
-def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, spread: int, group_bytes: int, path: str, answered: str) -> None:
-    """Counts the n-grams of some parts, builds their filters, and writes the levels that the chunks ask for. The n-grams and filters are deleted once they are used."""
-    spark = tokens.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def delete(folder: str) -> None:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
-
+def _slice(tokens: DataFrame, low: int, high: int, parts: int, bits: int, spread: int, group_bytes: int, path: str) -> None:
+    """Counts the n-grams of some parts and writes the levels that the chunks ask for. The n-grams are deleted once they are used."""
     cut = tokens.mapInArrow(lambda it: _cut(it, low, high, parts, bits), _FRAGMENT)
-    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, parts, bits, spread), _OWNED)
-    owned.write.mode("append").option("compression", "uncompressed").partitionBy("kind", "part").parquet(path)
+    owned = cut.repartitionById(high - low, F.col("part") - low).mapInArrow(lambda it: _own(it, parts, bits, spread, group_bytes), _OWNED)
+    owned.write.mode("append").option("compression", "uncompressed").options(**LARGE_ROWS).parquet(path)
     del cut, owned
-    reclaim(spark)
-    read = spark.read.schema(_OWNED).parquet(path).where(F.col("part").between(low, high - 1))
-    filters = read.where("kind = 2").select("part", "data")
-    groups: list[list[int]] = [[]]
-    held = 0
-    for k, n in filters.select("part", F.octet_length("data")).sort("part").collect():  # a row for each part
-        if held + n > group_bytes and groups[-1]:
-            groups.append([])
-            held = 0
-        groups[-1].append(k)
-        held += n
-    for group in filter(None, groups):
-        inside = F.col("part").between(group[0], group[-1])
-        asked = spark.sparkContext.broadcast(Filter(parts, bits, {k: bytes(b) for k, b in filters.where(inside).collect()}))  # group_bytes, or one part
-        probes = read.where((F.col("kind") == 1) & inside).select("chunk", "part", "data")
-        probes.mapInArrow(lambda it, asked=asked: _answer(it, asked, bits), _ANSWER).write.mode("append").option("compression", "uncompressed").parquet(answered)
-        asked.destroy()
-        for k in group:
-            delete(f"{path}/kind=1/part={k}")
-            delete(f"{path}/kind=2/part={k}")
-        reclaim(spark)  # what the driver held of a group goes before the next comes
+    reclaim(tokens.sparkSession)
 
 
 def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, head_words: int = HEAD, part_text: int = PART_TEXT, spread: int = 1) -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``spread``: times more bits for the filters."""
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``group_bytes``: questions to a part that its task holds in memory. ``spread``: times more bits for the filters."""
     spark = docs.sparkSession
     id_type = docs.limit(0).select(id_col).toArrow().schema.field(0).type
     rows = docs.select(docs[id_col].alias("id"), held_out(docs[id_col], folds).alias("held_out"), utf8(docs[text_col]).alias("text"))
@@ -565,11 +556,12 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
     parts = max(partitions(spark), -(-n_bytes // (SLICES * part_text))) * SLICES
     bits = min(56, max(40, int(n_bytes // 4).bit_length() + 9))  # one n-gram in 512, at most, shares its hash
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    tokens = materialize(numbered.mapInArrow(_tokenize, _TOKENS), "lm-tokens")
-    path, answered = scratch(spark, "lm-parts"), scratch(spark, "lm-answers")
+    tokens = materialize(numbered.mapInArrow(_tokenize, _TOKENS), "lm-tokens", **LARGE_ROWS)
+    path = scratch(spark, "lm-parts")
     for part in range(0, parts, parts // SLICES):
-        _slice(tokens, part, part + parts // SLICES, parts, bits, spread, group_bytes, path, answered)
-    table = spark.read.schema(_OWNED).parquet(path).where("kind = 3")
+        _slice(tokens, part, part + parts // SLICES, parts, bits, spread, group_bytes, path)
+    written = spark.read.schema(_OWNED).parquet(path)
+    table = written.where("kind = 3")
     stats = np.zeros(_STATS)
     for k, n in table.select("stats").mapInArrow(_total, "pos int, n long").groupBy("pos").agg(F.sum("n")).collect():  # a row for each statistic
         stats[k] = n
@@ -589,7 +581,7 @@ def score(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str
         [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
         + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
     )
-    together = tokens.select("chunk", F.lit(-1).alias("part"), "data").unionByName(spark.read.schema(_ANSWER).parquet(answered))
+    together = tokens.select("chunk", F.lit(-1).alias("part"), "data").unionByName(written.where("kind = 1").select("chunk", "part", "data"))
     together = together.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").select("chunk", "data")
     scored = materialize(together.mapInArrow(lambda it: _join(it, sent, bits, id_type), scored_type), "lm-scored")
     sent.unpersist()

@@ -196,3 +196,41 @@ def test_smoothing_comes_from_all_training_texts(docs_of, monkeypatch):
     monkeypatch.setattr(lm, "tables", lambda *a: seen.append(int(a[2].sum())) or tables(*a))
     (row, *_) = lm.score(docs_of([(k, f"a b{k % 9}", "en", "s") for k in range(6000)])).collect()
     assert seen[0] == row["train_tokens"]
+
+
+def test_filters_do_not_pass_through_the_driver(docs_of, monkeypatch):
+    """What the driver collects and sends out stays the same when the n-grams grow."""
+    import pickle
+
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen = [0]
+    collect, broadcast = DataFrame.collect, SparkContext.broadcast
+
+    def collected(df):
+        rows = collect(df)
+        seen[0] += sum(len(v) if isinstance(v, bytes | bytearray) else 8 for r in rows for v in r)
+        return rows
+
+    def sent(context, value):
+        seen[0] += len(pickle.dumps(value))
+        return broadcast(context, value)
+
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    monkeypatch.setattr(SparkContext, "broadcast", sent)
+    found = []
+    for n in (200, 2_000):
+        seen[0] = 0
+        lm.score(docs_of([(k, " ".join(f"w{k * 30 + j}" for j in range(30)), "en", "s") for k in range(n)]), head_words=3)
+        found.append(seen[0])
+    assert found[1] <= 1.2 * found[0] + 10_000, found
+
+
+def test_questions_wait_in_a_file_in_their_order():
+    for most in (1, 1 << 20):
+        asked = lm.Asked(most)
+        rows = [(k, bytes([k]) * (k * 37 % 11)) for k in range(50)]
+        for k, data in rows:
+            asked.add(k, data)
+        assert list(asked) == rows
