@@ -138,12 +138,35 @@ class _Number(str):
     """A number's spelling, told apart from strings."""
 
 
+def _parsed(source: str):
+    return json.loads(source, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+
+
+def json_fuzzy(text: str, case_sensitive: bool) -> Callable[[str | None], bool]:
+    """The fuzzy test of JSON records, which remembers the tokens it has seen."""
+    t = folded(text, case_sensitive)
+    known = fz.nearby(t)
+    # numbers may be spelled otherwise in the source; this tells that none matches, however spelled
+    plain = sum(c not in "0123456789+-.einfa" for c in t) > fz.bound(t)
+
+    def test(source: str | None) -> bool:
+        if source is None:
+            return False
+        value = _parsed(source)
+        # without escapes, all texts and keys stand in the source between quotes
+        if plain and "\\" not in source and not fz.holds_near(source, t, known, case_sensitive):
+            return False
+        return any(fz.holds_near(s, t, known, case_sensitive) for s in _scalars(value, True))
+
+    return test
+
+
 def json_matches(source: str | None, text: str, how: str, case_sensitive: bool) -> bool:
+    if how == "fuzzy":
+        return json_fuzzy(text, case_sensitive)(source)
     if source is None:
         return False
-    value = json.loads(source, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
-    if how == "fuzzy":
-        return any(fz.matches(s, text, case_sensitive) for s in _scalars(value, True))
+    value = _parsed(source)
     want, test = folded(text, case_sensitive), _TEST[how]
     return any(test(folded(s, case_sensitive), want) for s in _scalars(value, how == "contains"))
 
@@ -154,7 +177,8 @@ def _json_term(record: Column, source: Column, text: str, how: str, flags: Flags
 
     @F.pandas_udf("boolean")
     def found(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: json_matches(s, text, how, sensitive)).astype(bool)
+        test = json_fuzzy(text, sensitive) if how == "fuzzy" else lambda s: json_matches(s, text, how, sensitive)
+        return sources.map(test).astype(bool)
 
     want = folded(text, sensitive)
     # letters and blanks are spelled as they are in canonical JSON; numbers, escapes and quotes may not be

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -45,11 +46,30 @@ def near(term: str, token: str) -> bool:
     return distance(term, token, bound(term)) <= bound(term)
 
 
+def nearby(term: str) -> Callable[[str], bool]:
+    """``near`` for many tokens: remembers them, and tells most that aren't near by their letters, since each one that the term lacks takes an edit."""
+    most, own = bound(term), dict.fromkeys(map(ord, term))
+
+    @lru_cache(100_000)
+    def known(token: str) -> bool:
+        return len(token.translate(own)) <= most and near(term, token)
+
+    return known
+
+
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def holds_near(text: str, term: str, known: Callable[[str], bool], case_sensitive: bool) -> bool:
+    """Whether a text has a folded term, or a token that ``known`` takes for near."""
+    c = folded(text, case_sensitive)
+    return bool(term) and (term in c or any(map(known, _TOKEN.findall(folded(c)))))
+
+
 def matches(text: str, term: str, case_sensitive: bool) -> bool:
     """Plain Python form, for records that are only known as JSON."""
     t = folded(term, case_sensitive)
-    c = folded(text, case_sensitive)
-    return bool(t) and (t in c or any(near(t, w) for w in re.split("[^a-z0-9]+", folded(c)) if w))
+    return holds_near(text, t, nearby(t), case_sensitive)
 
 
 def fuzzy(column: Column, term: str, case_sensitive: bool) -> Column:
@@ -67,7 +87,7 @@ def fuzzy(column: Column, term: str, case_sensitive: bool) -> Column:
 
     @F.pandas_udf("boolean")
     def close(texts: pd.Series) -> pd.Series:
-        known = lru_cache(100_000)(lambda w: near(t, w))
-        return texts.map(lambda s: s is not None and any(known(w) for w in re.split("[^a-z0-9]+", folded(s)) if w)).astype(bool)
+        known = nearby(t)
+        return texts.map(lambda s: s is not None and any(map(known, _TOKEN.findall(folded(s))))).astype(bool)
 
     return contains | F.coalesce(close(hard), F.lit(False))

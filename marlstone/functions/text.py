@@ -14,8 +14,11 @@ _FLOAT = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+
 _FLOAT_PY = re.compile(r"(?i)[+-]?(inf|infinity|nan|([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?)")
 
 
+_LOWERED = {ord(c): c.lower() for c in _UPPER}
+
+
 def ascii_lower(text: str) -> str:
-    return text.translate({ord(c): c.lower() for c in _UPPER})
+    return text.lower() if text.isascii() else text.translate(_LOWERED)
 
 
 def fold(column: Column, case_sensitive: bool = False) -> Column:
